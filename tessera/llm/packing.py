@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, texts
-from .tokenization import default_vocabulary, encoder
+from .tokenization import coder, default_vocabulary
 
 CAPACITY = 1024
 END = 2
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, encode = TaskContext.get().partitionId(), defaultdict(int), encoder(path)
+        part, seen, encode = TaskContext.get().partitionId(), defaultdict(int), coder(path)[0]
         for b in batches:
             out = [[] for _ in range(7)]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

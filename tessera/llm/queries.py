@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, packing, secrets, simhash, toxicity
+from . import chat, decontam, langid, licenses, lm, media, packing, secrets, simhash, toxicity
 from .common import fold, table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: A conversation whose texts hold the template's own control strings, added to the table's.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(*chat.prefix_tree(rows.unionByName(added)))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
     return langid.identify(docs, ~held, held)
@@ -20,10 +34,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1
+    return lm.score(docs, ~held, held)
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.read(media.store(table(spark, sf_dir, "documents"))))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -40,7 +63,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language, op4_packing, op6_media, op8_secrets, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat, op3_language, op4_packing, op5_lm_score, op6_media, op7_licenses, op8_secrets, op9_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from functools import lru_cache
 
 
@@ -13,12 +14,12 @@ def default_vocabulary() -> str:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """A function from text to ids, without special tokens (their strings are ordinary text).
+def coder(path: str) -> tuple[Callable[[str], list[int]], Callable[[list[int]], bytes]]:
+    """Functions from text to ids and from ids to bytes, without special tokens (their strings are ordinary text).
 
     The vocabulary of byte_bpe_50k.json also lies there as ranks; on those, tiktoken gives the
     same ids several times faster (tests hold the two against each other). Any other file is read
-    by tokenizers. One encoder is kept for each Python worker.
+    by tokenizers. One is kept for each Python worker.
     """
     if path.endswith("byte_bpe_50k.json"):
         import public_tokenizers
@@ -26,9 +27,10 @@ def encoder(path: str):
 
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        t = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return t.encode_ordinary, t.decode_bytes
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return lambda text: t.encode(text, add_special_tokens=False).ids
+    return lambda text: t.encode(text, add_special_tokens=False).ids, lambda ids: t.decode(ids, skip_special_tokens=False).encode()
