@@ -18,6 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -186,17 +187,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     repeated items with one id are reported for each text that the id has. Repeated rows of docs
     are reported each.
     """
-    spark = docs.sparkSession
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").alias("item_text"))
-    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("item_text")), F.lit(0)).alias("chars")).first()
-    passes = max(1, -(-size["n"] // ITEMS_A_PASS), -(-size["chars"] // CHARS_A_PASS))
     src = texts(docs)
     kind, item_kind = src.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
     names, arrow_item = ["doc_id", "item_id", "start", "end", "similarity", "hamming"], to_arrow_type(item_kind)
     out = None
-    for k in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(passes)) == k).collect()
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["item_text"]) for r in rows])
+    for shared in _passes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
@@ -213,3 +208,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = src.mapInArrow(run, f"doc_id {kind.simpleString()}, item_id {item_kind.simpleString()}, start long, end long, similarity double, hamming int")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _passes(benchmark: DataFrame) -> list[Broadcast]:
+    """The items in broadcasts of about ITEMS_A_PASS; at least one, which may be empty."""
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").alias("item_text"))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("item_text")), F.lit(0)).alias("chars")).first()
+    passes = max(1, -(-size["n"] // ITEMS_A_PASS), -(-size["chars"] // CHARS_A_PASS))
+    share = benchmark.sparkSession.sparkContext.broadcast
+    return [share([(r["item_id"], r["item_text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(passes)) == k).collect()]) for k in range(passes)]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item."""
+    at = docs.columns.index("text")
+    for shared in _passes(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value)
+            for b in batches:
+                yield b.filter(pa.array([not index.items or not search(t or "", index) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

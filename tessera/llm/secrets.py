@@ -94,9 +94,13 @@ def scan(docs: DataFrame, ratios: list[float], threshold: float = 12.0) -> DataF
     threshold that overlap none of them. Null and empty texts have none. Repeated rows are
     scanned each.
     """
+    return _judged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ratios, threshold).drop("text")
+
+
+def _judged(src: DataFrame, ratios: list[float], threshold: float) -> DataFrame:
+    """src with base and spans; src.text is not null."""
     model = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # folded to one literal
-    text = F.coalesce(F.col("text"), F.lit(""))
-    src = docs.select("doc_id", text.alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("base"))
+    src = src.withColumn("base", base_spans(F.col("text")))
 
     def ratio(start: Column, end: Column) -> Column:
         token = F.substring(F.col("text"), (start + 1).cast("int"), (end - start).cast("int"))
@@ -104,7 +108,7 @@ def scan(docs: DataFrame, ratios: list[float], threshold: float = 12.0) -> DataF
         return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda s, i: s + F.element_at(model, code(i) * 128 + code(i + 1) + 1))
 
     judged = F.filter(_places(F.col("text"), TOKEN, 3), lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (ratio(s["start"], s["end"]) >= threshold))
-    return src.select("doc_id", "base", F.array_sort(F.concat("base", judged)).alias("spans"))
+    return src.withColumn("spans", F.array_sort(F.concat("base", judged)))
 
 
 def as_text(spans: Column) -> Column:
@@ -116,3 +120,27 @@ def as_text(spans: Column) -> Column:
 def find(docs: DataFrame, threshold: float = 12.0) -> DataFrame:
     """Train on docs and scan docs."""
     return scan(docs, train(docs), threshold)
+
+
+def redact(docs: DataFrame, threshold: float = 12.0, mark: str = "[secret]") -> DataFrame:
+    """The rows of docs, with all their columns, with every span found replaced by mark.
+
+    Overlapping spans become one mark. n_chars, where there is such a column, is counted anew for
+    texts that change. A null text stays null.
+    """
+    ratios = train(docs)
+    cols = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = _judged(docs.select(cols, F.coalesce("text", F.lit("")).alias("text")), ratios, threshold)
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.concat(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+
+    done = F.aggregate("spans", begin, step)
+    new = F.when(F.size("spans") > 0, F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.lit(2**31 - 1)))).otherwise(F.col("row.text"))
+    changed = found.select("row", "spans", new.alias("new_text"))
+    value = {"text": F.col("new_text")}
+    if "n_chars" in docs.columns:
+        value["n_chars"] = F.when(F.size("spans") > 0, F.length("new_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return changed.select(*[value.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

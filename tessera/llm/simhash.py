@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -111,9 +112,35 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42)
     it has no other.
     """
     fps = materialize(fingerprints(docs, words_per_shingle, seed), "fingerprints")
+    member, named = _classes(fps)
+    classes = materialize(member.join(named, "root").select("fp", F.col("keep.least").alias("component_id")), "classes")
+    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fp, least, root) per fingerprint and (root, keep) per component; keep: its least doc_id and that one's fingerprint."""
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(fps.select("fp").distinct()))
     member = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(member.join(named, "root").select("fp", "component_id"), "classes")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "fp"))
+    return member, member.groupBy("root").agg(first.alias("keep"))
+
+
+def deduplicate(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for a component: of each the one of least doc_id.
+
+    Of repeated rows one stays. Documents without an id are one component's row only where all of
+    it is without; then one of them stays.
+    """
+    fps = materialize(fingerprints(docs, words_per_shingle, seed), "fingerprints")
+    _, named = _classes(fps)
+    keep = materialize(named.select(F.col("keep.fp").alias("keep_fp"), F.col("keep.least").alias("keep_id")), "kept")
+
+    @F.pandas_udf("long")
+    def own(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: fingerprint(t or "", words_per_shingle, seed))
+
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), own("text").alias("own_fp"))
+    kept = marked.join(keep, (F.col("own_fp") == F.col("keep_fp")) & F.col("own_id").eqNullSafe(F.col("keep_id")))
+    same = Window.partitionBy("own_fp", "own_id").orderBy(F.lit(0))
+    return kept.withColumn("nth", F.row_number().over(same)).where("nth = 1").select("row.*")

@@ -117,19 +117,22 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.05) / (p[2] + 0.1) for p in pools])
 
 
+def counted(text: str, vocabulary: dict[str, int]) -> tuple[list[int], list[int]]:
+    """Numbers of the vocabulary's terms in a text, rising, and how often each occurs."""
+    n = Counter(vocabulary[w] for w in WORD.findall(text.lower()) if w in vocabulary) if vocabulary else {}
+    terms = sorted(n)
+    return terms, [n[i] for i in terms]
+
+
 def features(docs: DataFrame, vocabulary: dict[str, int], carry: dict[str, Column]) -> DataFrame:
     """(doc_id, <carry>, idx, tf): counts of the vocabulary's terms in whole texts."""
     shared, kept = docs.sparkSession.sparkContext.broadcast(vocabulary), list(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
+        vocabulary = shared.value
         for b in batches:
-            idx, tf = [], []
-            for t in b.column(1).to_pylist():
-                n = Counter(number[w] for w in WORD.findall(t.lower()) if w in number) if number else {}
-                terms = sorted(n)
-                idx.append(terms)
-                tf.append([n[i] for i in terms])
+            got = [counted(t, vocabulary) for t in b.column(1).to_pylist()]
+            idx, tf = [i for i, _ in got], [n for _, n in got]
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(idx, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], ["doc_id", *kept, "idx", "tf"])
 
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[c.alias(n) for n, c in carry.items()])
@@ -137,28 +140,24 @@ def features(docs: DataFrame, vocabulary: dict[str, int], carry: dict[str, Colum
     return src.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in ("doc_id", *carry)) + ", idx array<int>, tf array<int>")
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence) per row of docs.
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, carry: dict[str, Column], settings: Settings = Settings()) -> tuple[Index, DataFrame]:
+    """The index, and the features of all rows of docs.
 
     labels: (doc_id, toxic); several rows of a document count as toxic if any is; null ids and
     labels are ignored. learn says which documents of docs may lend their labels. At most
     settings.per_class examples of either class, of least hash of the id, are learned from
     (weighted by the share of their class that they stand for); document frequencies cover all
-    documents. Texts without a term that tells labels apart, empty and null ones included, get
-    the rate of toxic examples among such texts. Without labels of both classes every score is
-    the rate of label 1. evidence: doc_ids of the nearest examples, nearest first.
+    documents.
     """
-    spark = docs.sparkSession
+    spark, id_kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = docs.where(learn & F.col("text").isNotNull()).select("doc_id").distinct().join(known, "doc_id")
-    rows = materialize(rows, "labelled")
+    rows = materialize(docs.where(learn & F.col("text").isNotNull()).select("doc_id").distinct().join(known, "doc_id"), "labelled")
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = [(r["doc_id"], r["toxic"]) for c in totals for r in rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.per_class).collect()]
     kept = Counter(c for _, c in picked)
     weight = {c: totals[c] / kept[c] for c in totals}
-    prior = totals.get(1, 0) / max(1, sum(totals.values()))
     # at most 2 * per_class rows of two numbers
-    chosen = F.broadcast(spark.createDataFrame(picked, f"learned_id {dict(docs.dtypes)['doc_id']}, toxic int"))
+    chosen = F.broadcast(spark.createDataFrame(picked, f"learned_id {id_kind}, toxic int"))
     seen = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("learned_id"))
     terms = seen.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where("term != ''")
     n1, n0 = float(max(1, kept.get(1, 0))), float(max(1, kept.get(0, 0)))
@@ -168,38 +167,70 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column
     g2 = 2 * (F.col("a") * F.log(F.col("a") / expected) + F.when(b > 0, b * F.log(b / eb)).otherwise(0.0))
     told = by_term.where(F.col("a") > expected).withColumn("g2", g2).where(F.col("g2") >= settings.least_g2)
     words = sorted(r["term"] for r in told.orderBy(F.desc("g2"), "term").limit(settings.max_terms).collect()) if len(kept) == 2 else []
-    vocabulary = {w: i for i, w in enumerate(words)}
 
-    feats = materialize(features(docs, vocabulary, {"held_out": held_out}), "features")
-    n_docs = feats.count()
-    df = np.zeros(len(words))
+    vocabulary = {w: i for i, w in enumerate(words)}
+    feats = materialize(features(docs, vocabulary, carry), "features")
+    n_docs, df = feats.count(), np.zeros(len(words))
     for r in feats.select(F.explode("idx").alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect():
         df[r["i"]] = r["n"]
-    index = Index(vocabulary, np.log((1 + n_docs) / (1 + df)) + 1e-3, prior)
-    index.empty_score = prior
+    index = Index(vocabulary, np.log((1 + n_docs) / (1 + df)) + 1e-3, totals.get(1, 0) / max(1, sum(totals.values())))
+    index.empty_score = index.prior
     if words:
         _learn(index, feats.join(chosen, F.col("doc_id") == F.col("learned_id")).select("doc_id", "toxic", "idx", "tf").toPandas(), weight, settings)
-    shared = spark.sparkContext.broadcast(index)
+    return index, feats
+
+
+class Scorer:
+    """Scores feature vectors; equal vectors of a task are looked up once."""
+
+    def __init__(self, index: Index, settings: Settings):
+        self.index, self.settings, self.seen = index, settings, {}
+
+    def __call__(self, idx: list[int], tf: list[int]) -> tuple[float, list[int]]:
+        key = (tuple(idx), tuple(tf))
+        if key not in self.seen:
+            if len(self.seen) > 50_000:
+                self.seen.clear()
+            near = self.index.nearest(idx, tf, self.settings.k) if idx else []
+            self.seen[key] = self.index.score(near, self.settings), [self.index.example[e] for _, e in near]
+        return self.seen[key]
+
+
+def classify(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence) per row of docs; see fit() for what is learned.
+
+    Texts without a term that tells labels apart, empty and null ones included, get the rate of
+    toxic examples among such texts. Without labels of both classes every score is the rate of
+    label 1. evidence: doc_ids of the nearest examples, nearest first. Repeated rows are scored each.
+    """
+    index, feats = fit(docs, labels, learn, {"held_out": held_out}, settings)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, cache = shared.value, {}
+        score = Scorer(shared.value, settings)
         for b in batches:
-            scores, evidence = [], []
-            for idx, tf in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                key = (tuple(idx), tuple(tf))
-                if key not in cache:
-                    if len(cache) > 50_000:
-                        cache.clear()
-                    near = index.nearest(idx, tf, settings.k) if idx else []
-                    cache[key] = index.score(near, settings), [index.example[e] for _, e in near]
-                scores.append(cache[key][0])
-                evidence.append(cache[key][1])
-            s = np.array(scores, float)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "evidence"])
+            got = [score(i, t) for i, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            s = np.array([x for x, _ in got], float)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array([e for _, e in got], pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     return feats.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int, evidence array<bigint>")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below 0.5."""
+    index, _ = fit(docs, labels, learn, {}, settings)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(shared.value, settings)
+        for b in batches:
+            keep = [score(*counted(t or "", score.index.vocabulary))[0] < 0.5 for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _learn(index: Index, rows, weight: dict[int, float], settings: Settings) -> None:
     """Fill the index and its calibration from at most 2 * per_class examples."""
     groups: dict[tuple, list] = defaultdict(list)
