@@ -30,6 +30,7 @@ class Settings:
     per_class: int = 8192  # labelled examples kept of each class, those of least hash
     max_terms: int = 4096
     least_g2: float = 15.0
+    least_lift: float = 4.0  # share of toxic examples with a term over that of clean ones
     least_docs: int = 3
     k: int = 8
     prior_weight: float = 0.5
@@ -165,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, carry: dict[str, Colu
     expected = F.col("n") * n1 / (n1 + n0)
     b, eb = F.col("n") - F.col("a"), F.col("n") * n0 / (n1 + n0)
     g2 = 2 * (F.col("a") * F.log(F.col("a") / expected) + F.when(b > 0, b * F.log(b / eb)).otherwise(0.0))
-    told = by_term.where(F.col("a") > expected).withColumn("g2", g2).where(F.col("g2") >= settings.least_g2)
+    lift = (F.col("a") / n1) / ((b + 0.5) / n0)
+    told = by_term.where((F.col("a") > expected) & (lift >= settings.least_lift)).withColumn("g2", g2).where(F.col("g2") >= settings.least_g2)
     words = sorted(r["term"] for r in told.orderBy(F.desc("g2"), "term").limit(settings.max_terms).collect()) if len(kept) == 2 else []
 
     vocabulary = {w: i for i, w in enumerate(words)}
