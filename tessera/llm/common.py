@@ -2,44 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Folds A-Z in UTF-8 bytes; every byte of a non-ASCII character is above 0x7F and stays.
-LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from tessera.tables import materialize, shared_dir, ship, table
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+__all__ = ["LOWER_AZ", "fold", "materialize", "shared_dir", "ship", "table", "texts"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Folds A-Z in UTF-8 bytes; every byte of a non-ASCII character is above 0x7F and stays.
+LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def fold(key: Column, parts: int) -> Column:

@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import components
+
 from .common import LOWER_AZ, materialize, texts
 
 BITS = 64
@@ -74,36 +76,6 @@ def links(fps: DataFrame) -> DataFrame:
     return near.where("a is not null and bit_count(a ^ fp) between 1 and 2").select("a", F.col("fp").alias("b")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node with a link; edges: (a, b) in one direction or both.
-
-    Each round every node moves to its neighbour (or itself) of least hash, with a new hash each
-    round, and links are redrawn between the places moved to. That shrinks the links by a factor
-    on average whatever the shape, so rounds grow with the logarithm of the largest component.
-    Only a count of links comes to the driver. Each round's tables are written to the shared folder.
-    """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = materialize(both(edges).where("a != b").distinct(), "links")
-    roots = None
-    for k in range(max_rounds):
-        if edges.isEmpty():
-            break
-        order = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
-        moves = edges.groupBy("a").agg(F.min(order("b")).alias("n")).select("a", F.least(order("a"), F.col("n"))["v"].alias("to"))
-        moves = materialize(moves, "moves")
-        if roots is None:
-            roots = moves.select(F.col("a").alias("node"), F.col("to").alias("root"))
-        else:
-            hop = moves.select(F.col("a").alias("root"), "to")
-            roots = materialize(roots.join(hop, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
-        ma, mb = moves.withColumnRenamed("to", "ta"), moves.select(F.col("a").alias("b"), F.col("to").alias("tb"))
-        moved = edges.join(ma, "a").join(mb, "b").where("ta != tb")
-        edges = materialize(moved.select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct(), "links")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of docs; repeated rows stay repeated.
 
@@ -112,35 +84,131 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42)
     it has no other.
     """
     fps = materialize(fingerprints(docs, words_per_shingle, seed), "fingerprints")
-    member, named = _classes(fps)
-    classes = materialize(member.join(named, "root").select("fp", F.col("keep.least").alias("component_id")), "classes")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _classes(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fp, least, root) per fingerprint and (root, keep) per component; keep: its least doc_id and that one's fingerprint."""
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(fps.select("fp").distinct()))
     member = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "fp"))
-    return member, member.groupBy("root").agg(first.alias("keep"))
+    named = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = materialize(member.join(named, "root").select("fp", "component_id"), "classes")
+    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Of wide fingerprints: bits, bits of a segment, and the distance beyond which pairs are not compared exactly.
+WIDE, WIDE_SEGMENT, WIDE_RADIUS = 128, 32, 28
+#: Shortest word, in bytes, that wide fingerprints are made of, and the fewest such words.
+LONG_WORD, FEW_WORDS = 6, 8
+#: Buckets of so many units or fewer give all their pairs.
+SMALL_BUCKET = 8
+
+
+def wide_fingerprint(words: list[bytes]) -> tuple[int, int]:
+    """Two signed 64-bit halves of a SimHash of the distinct long words (of all words where few are long)."""
+    features = {w for w in words if len(w) >= LONG_WORD}
+    if len(features) < FEW_WORDS:
+        features = set(words)
+    if not features:
+        return 0, 0
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, sorted(features))), ">u8").astype(np.uint64)
+    out = []
+    for k in range(WIDE // BITS):
+        x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones = sum(np.unpackbits(x[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) for at in range(0, len(x), BLOCK))
+        out.append(int(np.packbits(ones * 2 > len(x)).view(">i8")[0]))
+    return out[0], out[1]
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
 
 
-def deduplicate(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for a component: of each the one of least doc_id.
+def unit_of(words: list[bytes]) -> bytes:
+    """Names a sequence of words; equal sequences are one unit."""
+    return xxhash.xxh128_digest(b" ".join(words))
 
-    Of repeated rows one stays. Documents without an id are one component's row only where all of
-    it is without; then one of them stays.
+
+def shingles(words: list[bytes], size: int) -> list[int]:
+    """Distinct hashes of the runs of size words, or of all words where there are fewer."""
+    joined = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
+    return sorted({xxhash.xxh64_intdigest(s) - (1 << 63) for s in joined})
+
+
+def similar_units(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(units, links): unit, id, least doc_id; and (a, b, jaccard) of ids of at least the similarity.
+
+    Links of a few bits miss near copies of ordinary length, so candidates come from wide
+    fingerprints: the balls of radius one of each segment are table keys on both sides, so two
+    units meet that agree in some segment up to two bits. In each bucket every unit is paired with
+    the one that meets most others, in small buckets with all: buckets of any size stay linear. The
+    complete distance, then exact similarity of sets of shingles, decide.
     """
-    fps = materialize(fingerprints(docs, words_per_shingle, seed), "fingerprints")
-    _, named = _classes(fps)
-    keep = materialize(named.select(F.col("keep.fp").alias("keep_fp"), F.col("keep.least").alias("keep_id")), "kept")
 
-    @F.pandas_udf("long")
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [_words(t) for t in b.column(1).to_pylist()]
+            fps = [wide_fingerprint(w) for w in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(unit_of, words), pa.binary()), pa.array([f for f, _ in fps], pa.int64()), pa.array([g for _, g in fps], pa.int64())], ["doc_id", "unit", "f", "g"])
+
+    src = texts(docs)
+    kind = src.schema["doc_id"].dataType.simpleString()
+    marks = src.mapInArrow(mark, f"doc_id {kind}, unit binary, f long, g long")
+    units = marks.groupBy("unit").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("least"), F.min("f").alias("f"), F.min("g").alias("g"))
+    units = materialize(units.select("unit", F.col("least.doc_id").alias("least"), "f", "g", F.monotonically_increasing_id().alias("id")), "units")
+
+    flips = [0] + [1 << i for i in range(WIDE_SEGMENT)]
+    balls = []
+    for n, (half, shift) in enumerate((h, s) for h in ("f", "g") for s in (WIDE_SEGMENT, 0)):
+        part = f"shiftrightunsigned({half}, {shift}) & {(1 << WIDE_SEGMENT) - 1}L"
+        balls.append(f"transform(array({', '.join(f'{x}L' for x in flips)}), x -> shiftleft({n}L, {WIDE_SEGMENT}) | (({part}) ^ x))")
+    keys = units.select("id", F.explode(F.expr(f"concat({', '.join(balls)})")).alias("key"))
+    shared = keys.select("id", "key", F.count("*").over(Window.partitionBy("key")).alias("n")).where("n > 1")
+    shared = materialize(shared, "buckets")
+    met = shared.withColumn("degree", F.sum(F.col("n") - 1).over(Window.partitionBy("id")))
+    best = F.first("id").over(Window.partitionBy("key").orderBy(F.desc("degree"), "id"))
+    star = met.select("id", best.alias("other")).where("id != other")
+    small = shared.where(F.col("n") <= SMALL_BUCKET)
+    few = small.select("key", "id").join(small.select("key", F.col("id").alias("other")), "key").where("id < other").select("id", "other")
+    pairs = star.union(few).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    side = lambda n: units.select(F.col("id").alias(n), F.col("f").alias(f"f{n}"), F.col("g").alias(f"g{n}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(f"bit_count(fa ^ fb) + bit_count(ga ^ gb) <= {WIDE_RADIUS}").select("a", "b")
+    pairs = materialize(pairs, "pairs")
+
+    wanted = units.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "unit", "least")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [_words(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(unit_of, words), pa.binary()), pa.array([shingles(w, size) for w in words], pa.list_(pa.int64()))], ["of", "shingles"])
+
+    held = src.join(wanted.select(F.col("least").alias("wanted")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    sets = held.mapInArrow(gather, "of binary, shingles array<bigint>").join(wanted, F.col("of") == F.col("unit")).dropDuplicates(["id"]).select("id", "shingles")
+    sets = materialize(sets, "shingles")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    scored = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
+    return units.select("unit", "id", "least"), scored.where(F.col("jaccard") >= similarity)
+
+
+def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for a group of near-duplicates: of each the one of least doc_id.
+
+    Groups are connected by pairs of at least the similarity, of sets of shingles of size words
+    with A-Z lower-cased; equal sequences of words, blank ones among them, are always one. Of
+    repeated rows one stays. Rows without an id stand for a group only where all of it is without.
+    """
+    units, near = similar_units(docs, size, similarity)
+    roots = components(near)
+    member = units.join(roots.withColumnRenamed("node", "id"), "id", "left").select("unit", "least", F.coalesce("root", "id").alias("root"))
+    first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "unit"))
+    keep = member.groupBy("root").agg(first.alias("keep")).select(F.col("keep.unit").alias("keep_unit"), F.col("keep.least").alias("keep_id"))
+    keep = materialize(keep, "kept")
+
+    @F.pandas_udf("binary")
     def own(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: fingerprint(t or "", words_per_shingle, seed))
+        return text.map(lambda t: unit_of(_words(t)))
 
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), own("text").alias("own_fp"))
-    kept = marked.join(keep, (F.col("own_fp") == F.col("keep_fp")) & F.col("own_id").eqNullSafe(F.col("keep_id")))
-    same = Window.partitionBy("own_fp", "own_id").orderBy(F.lit(0))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), own(F.coalesce("text", F.lit(""))).alias("own_unit"))
+    kept = marked.join(keep, (F.col("own_unit") == F.col("keep_unit")) & F.col("own_id").eqNullSafe(F.col("keep_id")))
+    same = Window.partitionBy("own_unit", "own_id").orderBy(F.lit(0))
     return kept.withColumn("nth", F.row_number().over(same)).where("nth = 1").select("row.*")
