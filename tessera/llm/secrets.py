@@ -59,7 +59,7 @@ def _pairs(token: Column) -> Column:
     return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(token, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
-def train(docs: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(docs: DataFrame, smoothing: float = 0.5, backoff: float = 2.0) -> list[float]:
     """Log ratios of transition probabilities by 128 * first + second character code.
 
     Random strings: finds of the rules of 16 characters or more (SAMPLE_SECRETS at most). Ordinary
@@ -79,11 +79,15 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> list[float]:
     for r in pairs.collect():  # pairs of characters of the patterns' classes: 66 * 66 at most
         counts[r["random"]][ord(r["pair"][0]) * 128 + ord(r["pair"][1])] = r["n"]
     alphabet = [c for c in range(128) if chr(c).isalnum() or chr(c) in "+/_.=-"]
-    ratios = [0.0] * 16384
-    for a in alphabet:
-        rows = [[c[a * 128 + b] + smoothing for b in alphabet] for c in counts]
-        for b, x, y in zip(alphabet, rows[1], rows[0], strict=True):
-            ratios[a * 128 + b] = round(math.log(x / sum(rows[1])) - math.log(y / sum(rows[0])), 6)
+    ratios, logs = [0.0] * 16384, []
+    for c in counts:
+        # a transition is as likely as its second character where the first was rarely seen
+        seen = {b: sum(c[a * 128 + b] for a in alphabet) + smoothing for b in alphabet}
+        share = {b: n / sum(seen.values()) for b, n in seen.items()}
+        rows = {a: sum(c[a * 128 + b] for b in alphabet) + backoff for a in alphabet}
+        logs.append({(a, b): math.log((c[a * 128 + b] + backoff * share[b]) / rows[a]) for a in alphabet for b in alphabet})
+    for a, b in logs[0]:
+        ratios[a * 128 + b] = round(logs[1][a, b] - logs[0][a, b], 6)
     return ratios
 
 
