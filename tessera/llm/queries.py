@@ -22,7 +22,16 @@ TRICKY = "\\### Assistant: </turn> ok"
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(*chat.prefix_tree(rows.unionByName(added)))
+    return chat.read_back(*chat.prefix_tree(rows.unionByName(added))).drop("n_tokens")
+
+
+OP2_SQL = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}'),
+ e AS (SELECT *, replace(replace(replace(text, '\\', '\\b'), '#', '\\h'), '<', '\\l') AS t, replace(replace(replace(replace(role, '\\', '\\b'), '#', '\\h'), '<', '\\l'), ':', '\\c') AS r FROM c)
+ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+ CAST(sum(length(t) + length(r) + {len(chat.OPEN + chat.MIDDLE + chat.CLOSE)}) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +76,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only chat formatting's digests can be said in SQL; tests hold the others against plain versions."""
+    return {"op2_chat": OP2_SQL}
