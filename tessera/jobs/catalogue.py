@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import chunking, dedupe, lexical, retrieval, rounds, store, structure, validation, vectors
+from tessera.operators import chunking, dedupe, lexical, reports, retrieval, rounds, store, structure, validation, vectors
 from tessera.streaming import telemetry
 from tessera.tables import materialize, table
 
@@ -508,3 +508,67 @@ def events_windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = "*.parquet" if folder.endswith("events.parquet") else name
     telemetry.run_once(spark, folder, names, events.schema, f"{at}/sink", f"{at}/state").awaitTermination()
     return spark.read.schema(schema).parquet(f"{at}/sink")
+
+
+SECTION_SQL = f"list_extract([{', '.join(repr(x) for x in SECTIONS)}], CAST(doc_id % 8 + 1 AS INTEGER))"
+
+
+@query(f"""SELECT category, count(*) AS total FROM (SELECT CASE {SECTION_SQL} WHEN 'standards' THEN 'theory_k_options' WHEN 'kritik' THEN 'theory_k_options' WHEN 'claim' THEN 'warrants' WHEN 'warrant' THEN 'warrants'
+ WHEN 'impact' THEN 'impacts' WHEN 'solvency' THEN 'solvency' WHEN 'uniqueness' THEN 'uniqueness' WHEN 'link' THEN 'links' END AS category FROM documents) GROUP BY category""")
+def knowledge_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunks(spark, sf_dir).select(reports.category(F.lit("submodule"), F.col("section_type"), F.col("document_type")).alias("category"))
+    return c.groupBy("category").agg(F.count("*").alias("total"))
+
+
+@query(f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN {SECTION_SQL} IN ('solvency', 'uniqueness') AND (doc_id % 5 = 0 OR 2015 + doc_id % 12 < 2025) THEN 'empirical and undated or of an earlier year' END,
+ CASE WHEN doc_id % 5 <> 0 AND 2015 + doc_id % 12 > 2025 THEN 'dated later than the round' END, CASE WHEN doc_id % 3 = 0 THEN 'low support' END], lambda x: x IS NOT NULL), '; ') AS notes FROM documents""")
+def verification_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year = F.when(F.col("doc_id") % 5 != 0, 2015 + F.col("doc_id") % 12)
+    support = F.when(F.col("doc_id") % 3 == 0, "low").otherwise("high")
+    return chunks(spark, sf_dir).select("doc_id", F.array_join(reports.verification_notes(F.col("freshness"), F.col("section_type"), year, support, 2025), "; ").alias("notes"))
+
+
+@query("SELECT value, coalesce(total, 0) AS total FROM (SELECT unnest(['click', 'error', 'purchase', 'refund', 'signup', 'view']) AS value) LEFT JOIN (SELECT event_type AS value, count(*) AS total FROM events GROUP BY 1) USING (value)")
+def zero_filled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.zero_filled(table(spark, sf_dir, "events"), "event_type", ["click", "error", "purchase", "refund", "signup", "view"])
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def first_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.first_of_each(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("SELECT l_orderkey, count(*) = 3 AND count(DISTINCT l_linenumber) = 3 AND min(l_linenumber) = 1 AND max(l_linenumber) = 3 AS complete FROM lineitem GROUP BY l_orderkey")
+def exactly_three_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.exactly_once(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", 3)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS ordinal FROM lineitem")
+def member_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = reports.numbered(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"])
+    return n.select("l_orderkey", "l_linenumber", "l_partkey", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("""SELECT conv_id, string_agg('## ' || role || ' ' || turn || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn) AS document FROM conversations WHERE trim(coalesce(text, '')) <> '' GROUP BY conv_id""")
+def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("position"), F.concat_ws(" ", "role", "turn").alias("title"), F.col("text").alias("body"))
+    return reports.markdown(s).withColumnRenamed("case_id", "conv_id")
+
+
+@query("""SELECT doc_id, 'Path' IS NOT NULL AS framed, sha256('[Section] ' || source || chr(10) || chr(10) || text) AS fingerprint FROM documents""")
+def embedding_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    t = vectors.embedding_text(none, F.lit(None).cast("string"), F.lit(""), F.col("source"), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.startswith("[Section]").alias("framed"), F.sha2(t, 256).alias("fingerprint"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN 'partial' WHEN o_orderkey % 7 = 0 THEN 'failed' WHEN o_orderkey % 7 = 1 THEN 'no_results' ELSE 'completed' END AS status FROM orders""")
+def batch_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 7
+    status = reports.batch_status(F.lit(3), F.when(k == 0, 3).when(k == 6, 1).otherwise(0), F.lit(0), F.when(k == 1, 0).otherwise(2))
+    return table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"))

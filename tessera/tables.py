@@ -10,7 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed."""
+    """Let Python workers import this package where it is not installed, and get texts in small batches.
+
+    Rows are whole documents: Spark's usual 10,000 of them can be gigabytes in one Arrow batch.
+    """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch, "10000") == "10000":
+        spark.conf.set(batch, "1000")
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
