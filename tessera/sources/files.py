@@ -35,7 +35,7 @@ def source_group(folders: Column) -> Column:
     """The nearest folder that names a group decides; none: other. folders: outermost first."""
     norm = F.transform(F.reverse(folders), lambda p: F.trim(F.regexp_replace(F.lower(p), "[^a-z0-9]+", " ")))
     told = F.transform(norm, lambda p: F.coalesce(F.when(p.startswith("non personal") | p.startswith("other"), "other"), F.when(p.startswith("past"), "past_case"), F.when(p.startswith("personal"), "personal")))
-    return F.coalesce(F.filter(told, lambda x: x.isNotNull())[0], F.lit("other"))
+    return F.coalesce(F.get(F.filter(told, lambda x: x.isNotNull()), F.lit(0)), F.lit("other"))
 
 
 def decode(data: bytes | None) -> tuple[str | None, str, str | None]:
