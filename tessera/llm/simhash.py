@@ -146,9 +146,8 @@ def similar_units(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tu
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [_words(t) for t in b.column(1).to_pylist()]
-            fps = [wide_fingerprint(w) for w in words]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(unit_of, words), pa.binary()), pa.array([f for f, _ in fps], pa.int64()), pa.array([g for _, g in fps], pa.int64())], ["doc_id", "unit", "f", "g"])
+            rows = [(unit_of(w), *wide_fingerprint(w)) for w in map(_words, b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.binary(), pa.int64(), pa.int64()))]], ["doc_id", "unit", "f", "g"])
 
     src = texts(docs)
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -178,8 +177,8 @@ def similar_units(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tu
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [_words(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(map(unit_of, words), pa.binary()), pa.array([shingles(w, size) for w in words], pa.list_(pa.int64()))], ["of", "shingles"])
+            rows = [(unit_of(w), pa.array(shingles(w, size), pa.int64())) for w in map(_words, b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], ["of", "shingles"])
 
     held = src.join(wanted.select(F.col("least").alias("wanted")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
     sets = held.mapInArrow(gather, "of binary, shingles array<bigint>").join(wanted, F.col("of") == F.col("unit")).dropDuplicates(["id"]).select("id", "shingles")
