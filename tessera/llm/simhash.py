@@ -98,6 +98,8 @@ WIDE, WIDE_SEGMENT, WIDE_RADIUS = 128, 32, 28
 LONG_WORD, FEW_WORDS = 6, 8
 #: Buckets of so many units or fewer give all their pairs.
 SMALL_BUCKET = 8
+#: Bits of a unit's name that the bitmap of wanted units goes by: 2 MB.
+PREFIX_BITS = 24
 
 
 def wide_fingerprint(words: list[bytes]) -> tuple[int, int]:
@@ -173,15 +175,32 @@ def similar_units(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tu
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(f"bit_count(fa ^ fb) + bit_count(ga ^ gb) <= {WIDE_RADIUS}").select("a", "b")
     pairs = materialize(pairs, "pairs")
 
-    wanted = units.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "unit", "least")
+    wanted = units.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "unit")
+
+    # Texts are not shuffled for their shingles: a bitmap of fixed size of the wanted units' first
+    # bytes passes over most others where they are read, and a join on the whole name decides.
+    prefix = F.conv(F.hex(F.substring("unit", 1, PREFIX_BITS // 8)), 16, 10).cast("long").alias("at")
+    held = wanted.select(prefix).selectExpr("shiftright(at, 6) as word", "shiftleft(1L, cast(at % 64 as int)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    bitmap = np.zeros(1 << PREFIX_BITS - 6, np.int64)
+    for r in held.toLocalIterator():  # at most 2^18 rows
+        bitmap[r["word"]] = r["bits"]
+    shared_bits = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, given = np.frombuffer(shared_bits.value, np.uint64), set()  # of copies in a task one is enough
         for b in batches:
-            rows = [(unit_of(w), pa.array(shingles(w, size), pa.int64())) for w in map(_words, b.column(0).to_pylist())]
+            rows = []
+            for t in b.column(0).to_pylist():
+                words = _words(t)
+                unit = unit_of(words)
+                at = int.from_bytes(unit[: PREFIX_BITS // 8], "big")
+                if int(bits[at >> 6]) >> (at & 63) & 1 and unit not in given:
+                    given.add(unit)
+                    rows.append((unit, pa.array(shingles(words, size), pa.int64())))
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], ["of", "shingles"])
 
-    held = src.join(wanted.select(F.col("least").alias("wanted")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
-    sets = held.mapInArrow(gather, "of binary, shingles array<bigint>").join(wanted, F.col("of") == F.col("unit")).dropDuplicates(["id"]).select("id", "shingles")
+    each = src.select("text").mapInArrow(gather, "of binary, shingles array<bigint>")
+    sets = each.join(wanted, F.col("of") == F.col("unit")).dropDuplicates(["id"]).select("id", "shingles")
     sets = materialize(sets, "shingles")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
