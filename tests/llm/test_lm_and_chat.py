@@ -168,3 +168,24 @@ def test_no_conversations(spark):
 def test_other_vocabulary_files_load():
     encode, _ = tokenization.coder(tokenization.default_vocabulary().replace("byte_bpe_50k", "word_bpe_49k"))
     assert encode("hello world")
+
+
+def test_rare_ngrams_count_whatever_the_size(docs_of):
+    # the pairs and words of the odd text occur once among more tokens than the floors once allowed
+    texts = ["the cat sat on the mat " * 2500] * 20 + ["seldom words follow seldom words here"]
+    rows = list(enumerate(texts)) + [(100, "seldom words follow the cat"), (101, "words here seldom")]
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs_of(rows), F.col("doc_id") < 100, F.col("doc_id") >= 100).collect()}
+    score, *_ = slow_model(texts, (0.0, 0.0, 0.0))
+    for k in (20, 100, 101):
+        assert got[k] == pytest.approx(score(dict(rows)[k]))
+
+
+@pytest.mark.parametrize("head", [2.0, 0.02, 1e-9])
+def test_scores_do_not_depend_on_what_is_broadcast(docs_of, monkeypatch, head):
+    monkeypatch.setattr(lm, "HEAD_WORDS", head)
+    monkeypatch.setattr(lm, "HEAD_ARCS", head)
+    texts = corpus()
+    rows = list(enumerate(texts)) + [(200, "never seen the cat"), (201, "rare-once cat the zebra sat")]
+    score, *_ = slow_model(texts, (0.0, 0.0, 0.0))
+    for r in lm.score(docs_of(rows), F.col("doc_id") < 100, F.col("doc_id") >= 100).collect():
+        assert r["score"] == pytest.approx(score(dict(rows)[r["doc_id"]]))
