@@ -10,6 +10,7 @@ complete distance. Groups are connected components of the links, found by contra
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,35 +93,12 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42)
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of wide fingerprints: bits, bits of a segment, and the distance beyond which pairs are not compared exactly.
-WIDE, WIDE_SEGMENT, WIDE_RADIUS = 128, 32, 28
-#: Shortest word, in bytes, that wide fingerprints are made of, and the fewest such words.
-LONG_WORD, FEW_WORDS = 6, 8
-#: Buckets of so many units or fewer give all their pairs.
-SMALL_BUCKET = 8
+#: Bits of the counts of shingles that rank them, rarest first.
+RANK_BITS = 20
 #: Bits of a unit's name that the bitmap of wanted units goes by: 2 MB.
 PREFIX_BITS = 24
 
 
-def wide_fingerprint(words: list[bytes]) -> tuple[int, int]:
-    """Two signed 64-bit halves of a SimHash of the distinct long words (of all words where few are long)."""
-    features = {w for w in words if len(w) >= LONG_WORD}
-    if len(features) < FEW_WORDS:
-        features = set(words)
-    if not features:
-        return 0, 0
-    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, sorted(features))), ">u8").astype(np.uint64)
-    out = []
-    for k in range(WIDE // BITS):
-        x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        ones = sum(np.unpackbits(x[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) for at in range(0, len(x), BLOCK))
-        out.append(int(np.packbits(ones * 2 > len(x)).view(">i8")[0]))
-    return out[0], out[1]
-
-
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
 
@@ -136,45 +114,90 @@ def shingles(words: list[bytes], size: int) -> list[int]:
     return sorted({xxhash.xxh64_intdigest(s) - (1 << 63) for s in joined})
 
 
+def ranks(src: DataFrame, size: int) -> np.ndarray:
+    """How often shingles of each value of their last RANK_BITS bits occur; of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << RANK_BITS, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                np.add.at(n, np.array(shingles(_words(t), size), np.int64) & (1 << RANK_BITS) - 1, 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["at", "n"])
+
+    got = src.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << RANK_BITS, np.int64)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
 def similar_units(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(units, links): unit, id, least doc_id; and (a, b, jaccard) of ids of at least the similarity.
+    """(units, links): unit, id, least doc_id; and (a, b, jaccard) of ids whose components are those of all pairs of at least the similarity.
 
-    Links of a few bits miss near copies of ordinary length, so candidates come from wide
-    fingerprints: the balls of radius one of each segment are table keys on both sides, so two
-    units meet that agree in some segment up to two bits. In each bucket every unit is paired with
-    the one that meets most others, in small buckets with all: buckets of any size stay linear. The
-    complete distance, then exact similarity of sets of shingles, decide.
+    Shingles have one order, rarest first. Two sets of at least the similarity share a shingle
+    among the first n - ceil(similarity * n) + 1 of each, so such prefixes are table keys and no pair is
+    lost. First each unit of a bucket is compared with the one that meets most others. Then all pairs of
+    a bucket are compared that these links have not put into one component: others change no component.
     """
 
+    src = texts(docs)
+    kind = src.schema["doc_id"].dataType.simpleString()
+    spark = docs.sparkSession
+    order = spark.sparkContext.broadcast(ranks(src, size))
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = set()  # of copies in a task one brings its keys
         for b in batches:
-            rows = [(unit_of(w), *wide_fingerprint(w)) for w in map(_words, b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.binary(), pa.int64(), pa.int64()))]], ["doc_id", "unit", "f", "g"])
+            names, keys, sizes = [], [], []
+            for w in map(_words, b.column(1).to_pylist()):
+                names.append(unit := unit_of(w))
+                if unit in given:
+                    keys.append(None)
+                    sizes.append(None)
+                    continue
+                given.add(unit)
+                h = np.array(shingles(w, size), np.int64)
+                first = np.lexsort((h, order.value[h & (1 << RANK_BITS) - 1]))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+                keys.append(h[first])
+                sizes.append(len(h))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "unit", "keys", "size"])
+
+    marks = src.mapInArrow(mark, f"doc_id {kind}, unit binary, keys array<bigint>, size long")
+    units = marks.groupBy("unit").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("least"), F.first("keys", True).alias("keys"), F.max("size").alias("size"))
+    units = materialize(units.select("unit", F.col("least.doc_id").alias("least"), "keys", "size", F.monotonically_increasing_id().alias("id")), "units")
+
+    keys = units.select("id", F.explode("keys").alias("key"))
+    shared = materialize(keys.select("id", "key", F.count("*").over(Window.partitionBy("key")).alias("n")).where("n > 1"), "buckets")
+    side = lambda n: units.select(F.col("id").alias(n), F.col("size").alias(f"n{n}"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs whose sizes allow the similarity."""
+        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        fits = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return _scored(src, units, pairs, size).where(F.col("jaccard") >= similarity)
 
-    src = texts(docs)
-    kind = src.schema["doc_id"].dataType.simpleString()
-    marks = src.mapInArrow(mark, f"doc_id {kind}, unit binary, f long, g long")
-    units = marks.groupBy("unit").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("least"), F.min("f").alias("f"), F.min("g").alias("g"))
-    units = materialize(units.select("unit", F.col("least.doc_id").alias("least"), "f", "g", F.monotonically_increasing_id().alias("id")), "units")
-
-    flips = [0] + [1 << i for i in range(WIDE_SEGMENT)]
-    balls = []
-    for n, (half, shift) in enumerate((h, s) for h in ("f", "g") for s in (WIDE_SEGMENT, 0)):
-        part = f"shiftrightunsigned({half}, {shift}) & {(1 << WIDE_SEGMENT) - 1}L"
-        balls.append(f"transform(array({', '.join(f'{x}L' for x in flips)}), x -> shiftleft({n}L, {WIDE_SEGMENT}) | (({part}) ^ x))")
-    keys = units.select("id", F.explode(F.expr(f"concat({', '.join(balls)})")).alias("key"))
-    shared = keys.select("id", "key", F.count("*").over(Window.partitionBy("key")).alias("n")).where("n > 1")
-    shared = materialize(shared, "buckets")
     met = shared.withColumn("degree", F.sum(F.col("n") - 1).over(Window.partitionBy("id")))
     best = F.first("id").over(Window.partitionBy("key").orderBy(F.desc("degree"), "id"))
-    star = met.select("id", best.alias("other")).where("id != other")
-    small = shared.where(F.col("n") <= SMALL_BUCKET)
-    few = small.select("key", "id").join(small.select("key", F.col("id").alias("other")), "key").where("id < other").select("id", "other")
-    pairs = star.union(few).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    side = lambda n: units.select(F.col("id").alias(n), F.col("f").alias(f"f{n}"), F.col("g").alias(f"g{n}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(f"bit_count(fa ^ fb) + bit_count(ga ^ gb) <= {WIDE_RADIUS}").select("a", "b")
-    pairs = materialize(pairs, "pairs")
+    stars = materialize(alike(met.select("id", best.alias("other")).where("id != other")), "stars")
+    near = materialize(scored(stars), "near")
 
+    roots = components(near)
+    member = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
+    apart = F.min("root").over(Window.partitionBy("key")) < F.max("root").over(Window.partitionBy("key"))
+    member = materialize(member.withColumn("apart", apart).where("apart").drop("apart"), "members")
+    held = member.select("key", "root").distinct()
+    cross = held.join(held.withColumnRenamed("root", "root2"), "key").where("root < root2")
+    # members of a component meet only those of others, whatever the sizes of both
+    rest = cross.join(member, ["key", "root"]).select("key", "root2", "id").join(member.select("key", F.col("root").alias("root2"), F.col("id").alias("other")), ["key", "root2"]).select("id", "other")
+    rest = materialize(alike(rest).join(stars, ["a", "b"], "left_anti"), "pairs")
+    return units.select("unit", "id", "least"), near.unionByName(scored(rest))
+
+
+def _scored(src: DataFrame, units: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(a, b, jaccard) of pairs of ids, by their sets of shingles."""
     wanted = units.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "unit")
 
     # Texts are not shuffled for their shingles: a bitmap of fixed size of the wanted units' first
@@ -184,7 +207,7 @@ def similar_units(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tu
     bitmap = np.zeros(1 << PREFIX_BITS - 6, np.int64)
     for r in held.toLocalIterator():  # at most 2^18 rows
         bitmap[r["word"]] = r["bits"]
-    shared_bits = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    shared_bits = src.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, given = np.frombuffer(shared_bits.value, np.uint64), set()  # of copies in a task one is enough
@@ -204,8 +227,7 @@ def similar_units(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tu
     sets = materialize(sets, "shingles")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    scored = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
-    return units.select("unit", "id", "least"), scored.where(F.col("jaccard") >= similarity)
+    return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
 
 
 def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -124,3 +124,28 @@ def test_a_large_group_of_near_copies_leaves_one(docs_of):
         copy[rng.randrange(300)] = f"changedword{k}"
         rows.append((k, " ".join(copy)))
     assert [r["doc_id"] for r in simhash.deduplicate(docs_of(rows)).collect()] == [0]
+
+
+def test_deduplicate_loses_no_pair_near_the_threshold(docs_of):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 10)))
+    rows, passage = [], [word() for _ in range(60)]
+    for k in range(40):  # an added passage leaves 0.78 to 0.92
+        base = [word() for _ in range(300)]
+        at = rng.randrange(300)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:at] + [word() for _ in range(rng.randint(24, 80))] + base[at:]))]
+    chain = [word() for _ in range(200)]
+    for k in range(14):  # each is near the next only
+        rows.append((200 + k, " ".join(chain)))
+        chain = chain[18:] + [word() for _ in range(18)]
+    for k in range(12):  # one passage in common is no likeness
+        rows.append((300 + k, " ".join([word() for _ in range(100)] + passage)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    want = {min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group)}
+    assert {r["doc_id"] for r in simhash.deduplicate(docs_of(rows)).collect()} == want
