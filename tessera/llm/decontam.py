@@ -5,7 +5,9 @@ hold a known share of the benchmark's shingles; running counts of those pass ove
 windows without loss. The SimHash of each window left is looked up in a multi-index of the items'
 fingerprints: bits fall into blocks, and two fingerprints within RADIUS bits must agree in some
 block up to RADIUS // BLOCKS bits, so tables of those small balls find all of them. Exact
-weighted (multiset) shingle similarity then decides.
+weighted (multiset) shingle similarity then decides. Fingerprints of similar windows can lie further
+apart, so the windows that hold enough of one item's own shingles are compared as well: none is
+lost. A text of fewer words than an item is one window.
 """
 
 from __future__ import annotations
@@ -74,6 +76,11 @@ def _pack(votes: np.ndarray) -> np.ndarray:
 BALL = np.array([sum(1 << i for i in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), r)], np.uint8)
 
 
+def least_shared(shingles: int, others: int) -> int:
+    """Shingles that two sequences of so many shingles share at least at SIMILARITY."""
+    return max(1, math.ceil(SIMILARITY / (1 + SIMILARITY) * (shingles + others) - 1e-9))
+
+
 def need(shingles: int) -> int:
     """Shingles that two sequences of so many shingles each share at least at SIMILARITY."""
     return max(1, math.ceil(2 * SIMILARITY / (1 + SIMILARITY) * shingles - 1e-9))
@@ -111,10 +118,11 @@ class Index:
                 tables.append(dict(t))
             self.by_length[length] = ([k for k, _ in members], f, tables)
 
-    def matches(self, ids: np.ndarray, words: list[bytes]) -> dict[int, tuple[float, int, int]]:
+    def matches(self, ids: np.ndarray, words: list[bytes], whole: bool) -> dict[int, tuple[float, int, int]]:
         """The items in a run of words: item: (-similarity, start, Hamming distance) of the best window.
 
-        ids: the hashes of words that the items have, 0 for others.
+        ids: the hashes of words that the items have, 0 for others. whole: the run is a whole text,
+        which is also a window for the items of more words.
         """
         best: dict[int, tuple[float, int, int]] = {}
         for size, known in self.known.items():
@@ -124,21 +132,23 @@ class Index:
             live = np.flatnonzero(codes)
             at = np.minimum(np.searchsorted(known, codes[live]), len(known) - 1)
             live = live[known[at] == codes[live]]
-            if len(live) < self.fewest[size]:
+            if len(live) < (min(self.fewest[size], least_shared(len(codes), len(codes) + 1)) if whole else self.fewest[size]):
                 continue
             shared: Counter = Counter()
             for c in codes[live].tolist():
                 shared.update(self.by_code[size][c])
-            lengths = {self.items[k][1] for k, n in shared.items() if n >= need(self.items[k][2])}
-            if not lengths:
+            near = sorted(k for k, n in shared.items() if n >= need(self.items[k][2]) and self.items[k][2] <= len(codes))
+            longer = sorted(k for k, n in shared.items() if whole and self.items[k][2] > len(codes) and n >= least_shared(len(codes), self.items[k][2]))
+            if not near and not longer:
                 continue
+            lengths = {self.items[k][1] for k in near}
             running = np.zeros(len(codes) + 1, np.int64)
             running[live + 1] = 1
             np.cumsum(running, out=running)
             votes = None
             for length in sorted(lengths):
                 m = length - size + 1
-                starts = np.flatnonzero(running[m:] - running[:-m] >= need(m)) if len(codes) >= m else live[:0]
+                starts = np.flatnonzero(running[m:] - running[:-m] >= need(m))
                 if not len(starts):
                     continue
                 if votes is None:
@@ -146,8 +156,29 @@ class Index:
                     votes = np.zeros((len(codes) + 1, 64), np.int32)
                     np.cumsum(_bits(codes), axis=0, out=votes[1:])
                 self._verify(codes, starts, _pack(votes[starts + m] - votes[starts]), length, m, best)
+            if votes is None:
+                codes = _codes(np.array([_hash(w) for w in words], np.int64), size)
+            for k in near + longer:
+                self._compare(codes, k, best)
         return best
 
+    def _compare(self, codes: np.ndarray, k: int, best: dict) -> None:
+        """The best of all windows of codes for one item; all of codes is one where the item is longer."""
+        _, length, shingles, counts = self.items[k]
+        m = min(shingles, len(codes))
+        running = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(np.isin(codes, np.array(list(counts), np.uint64)), out=running[1:])
+        top = None
+        for s in np.flatnonzero(running[m:] - running[:-m] >= least_shared(m, shingles)).tolist():
+            both = sum((Counter(codes[s : s + m].tolist()) & counts).values())
+            similarity = both / (m + shingles - both)
+            if similarity >= SIMILARITY and (top is None or similarity > -top[0]):
+                top = (-similarity, s)
+        if top and top < best.get(k, (0.0, 0, 0))[:2]:
+            members, f, _ = self.by_length[length]
+            own = _pack(_bits(codes[top[1] : top[1] + m]).sum(0, dtype=np.int64)[None, :])[0]
+            best[k] = (*top, int(np.bitwise_count(f[members.index(k)] ^ own).sum()))
+
     def _verify(self, codes: np.ndarray, starts: np.ndarray, fps: np.ndarray, length: int, m: int, best: dict) -> None:
         members, f, tables = self.by_length[length]
         for s, fp in zip(starts.tolist(), fps, strict=True):
@@ -172,16 +203,17 @@ def search(text: str, index: Index) -> list[tuple[int, int, int, float, int]]:
     ids = np.array([get(w, 0) for w in words], np.int64)
     longest = max((w for _, w, _, _ in index.items), default=0)
     best: dict[int, tuple[float, int, int]] = {}
-    for at in range(0, max(1, len(ids)), SPAN):
-        for k, (similarity, start, distance) in index.matches(ids[at : at + SPAN + longest], words[at : at + SPAN + longest]).items():
+    # a text shorter than some item is whole in the first run
+    for at in range(0, max(1, len(ids)) if len(words) >= longest else 1, SPAN):
+        for k, (similarity, start, distance) in index.matches(ids[at : at + SPAN + longest], words[at : at + SPAN + longest], len(words) < longest).items():
             best[k] = min(best.get(k, (0.0, 0, 0)), (similarity, at + start, distance))
-    return [(index.items[k][0], s, s + index.items[k][1], -sim, d) for k, (sim, s, d) in sorted(best.items())]
+    return [(index.items[k][0], s, min(s + index.items[k][1], len(words)), -sim, d) for k, (sim, s, d) in sorted(best.items())]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, similarity, hamming): for each row of docs and each item in it, the best window.
 
-    start and end count words, end exclusive; of equal windows the first is reported. Null and
+    A text of fewer words than an item is one window. start and end count words, end exclusive; of equal windows the first is reported. Null and
     empty texts and items match nothing; items of one or two words are one shingle and match
     themselves. Items are taken in passes of about ITEMS_A_PASS, so no pass broadcasts more;
     repeated items with one id are reported for each text that the id has. Repeated rows of docs

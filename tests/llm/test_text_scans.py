@@ -186,3 +186,28 @@ def test_a_long_text_is_searched_in_spans(monkeypatch):
     for at in (0, 31, 45, 49, 50, 333):
         text = " ".join(f"x{i}" for i in range(at)) + " " + item + " tail" * 10
         assert [(r[0], r[1], r[2]) for r in decontam.search(text, index)] == [(1, at, at + 20)]
+
+
+def test_texts_shorter_than_an_item_and_windows_at_the_threshold(spark, docs_of):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(5, 40)))) for i in range(40)]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        rows += [(10 * i, " ".join(w[:-1])), (10 * i + 1, " ".join(w[: len(w) // 2 + 2])), (10 * i + 2, " ".join(w[: len(w) // 3]))]
+        changed = list(w)
+        changed[len(w) // 2] = "changed"
+        rows += [(10 * i + 3, " ".join(changed)), (10 * i + 4, " ".join([word() for _ in range(30)] + w[: len(w) * 3 // 4] + [word() for _ in range(30)]))]
+    want = {}
+    for d, t in rows:
+        w = t.encode().split()
+        for i, it in items:
+            x = it.encode().split()
+            windows = [w] if len(w) < len(x) else [w[s : s + len(x)] for s in range(len(w) - len(x) + 1)]
+            best = max((slow_similarity(v, x), -s, s + len(v)) for s, v in enumerate(windows))
+            if best[0] >= 0.5:
+                want[d, i] = (round(best[0], 9), -best[1], best[2])
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["start"], r["end"]) for r in decontam.contaminated(docs_of(rows), b).collect()}
+    assert got == want and sum(len(dict(rows)[d].split()) < len(dict(items)[i].split()) for d, i in want) > 40
