@@ -1,21 +1,24 @@
 """Toxicity by nearest labelled examples.
 
-Terms that tell the labels apart (log-likelihood ratio over labelled documents) span the vector
-space; their inverse document frequencies come from all documents. Labelled examples are TF-IDF
-vectors in a block-max inverted index. A query adds up upper bounds by block, visits blocks in
-falling order of bound, and stops where no block can enter its nearest k: the result is the exact
-k nearest by cosine. Distance-weighted votes are calibrated on the examples, each left out.
+Labelled examples are TF-IDF vectors over all words that occur in them. Inverse document
+frequencies come from all documents, and each is scaled by how strongly the word tells the labels
+apart (log-likelihood ratio over the examples), never below a floor, so no word is dropped. The
+vectors lie in a block-max inverted index: a query adds up upper bounds by block, looks into blocks
+in falling order of bound, and stops where no block can enter its nearest k, so the result is the
+exact k nearest by cosine. Distance-weighted votes are calibrated on the examples, each left out.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,88 +26,114 @@ from .common import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+#: Texts whose scores a task remembers.
+REMEMBERED = 20_000
 
 
 @dataclass(frozen=True)
 class Settings:
     per_class: int = 8192  # labelled examples kept of each class, those of least hash
-    max_terms: int = 4096
-    least_g2: float = 15.0
-    least_lift: float = 4.0  # share of toxic examples with a term over that of clean ones
-    least_docs: int = 3
+    floor: float = 0.05  # share of its inverse document frequency that a word keeps though it tells nothing
+    evidence: float = 26.0  # log-likelihood ratio at which half of a word's evidence counts
     k: int = 8
     prior_weight: float = 0.5
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of a text, rising, and how often each occurs."""
+    n = Counter(WORD.findall(text.lower()))
+    words = np.fromiter((xxhash.xxh64_intdigest(w) - (1 << 63) for w in n), np.int64, len(n))
+    at = np.argsort(words)
+    return words[at], np.fromiter(n.values(), np.int64, len(n))[at]
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ..., for each length, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+def _key(terms: np.ndarray, tf: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(terms.tobytes() + tf.tobytes())
+
+
 @dataclass
 class Index:
     """Examples with equal vectors are one entry with the weight of their labels."""
 
-    vocabulary: dict[str, int]
-    idf: np.ndarray
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # hashes of the examples' words, rising
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by term
     prior: float = 0.0
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))  # toxic, all
-    example: list = field(default_factory=list)  # least doc_id of each entry
-    postings: list = field(default_factory=list)  # by term: entries, weights, blocks, starts by block, block maxima
-    levels: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))  # calibration: vote, score
+    labels: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))  # by entry: weight of toxic examples, of all
+    example: list = field(default_factory=list)  # by entry: least doc_id
+    entries: dict = field(default_factory=dict)  # by key of the counts: entry
+    postings: tuple = ()  # entry, weight, by term and entry; term's first block, block, its first posting, its greatest weight
+    levels: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))  # calibration: vote, score
     empty_score: float = 0.0
 
-    def vector(self, idx: list[int], tf: list[int]) -> np.ndarray:
-        v = (1 + np.log(np.asarray(tf, float))) * self.idf[idx]
-        return v / max(np.sqrt((v * v).sum()), 1e-12)
-
-    def build(self, entries: list[tuple[list[int], list[int], float, float, int]]) -> None:
-        """entries: (term numbers, counts, toxic weight, weight, doc_id), distinct vectors."""
-        vectors = [self.vector(e[0], e[1]) for e in entries]
-        # alike vectors stand side by side, which keeps block maxima tight
-        order = sorted(range(len(entries)), key=lambda i: (entries[i][0][int(vectors[i].argmax())], entries[i][0], entries[i][1]))
-        self.weights = np.array([[entries[i][2], entries[i][3]] for i in order]).reshape(-1, 2)
-        self.example = [entries[i][4] for i in order]
-        lists: dict[int, list] = defaultdict(list)
-        for at, i in enumerate(order):
-            for t, w in zip(entries[i][0], vectors[i], strict=True):
-                lists[t].append((at, w))
-        self.postings = [None] * len(self.vocabulary)
-        for t, rows in lists.items():
-            at, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            blocks, starts = np.unique(at // BLOCK, return_index=True)
-            self.postings[t] = (at, w, blocks, np.append(starts, len(at)), np.maximum.reduceat(w, starts))
-
-    def nearest(self, idx: list[int], tf: list[int], k: int) -> list[tuple[float, int]]:
+    def known(self, words: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of those words that examples hold."""
+        if not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
+        held = self.terms[at] == words
+        return at[held], tf[held]
+
+    def vector(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        v = (1 + np.log(tf)) * self.weight[terms]
+        return v / max(float(np.sqrt((v * v).sum())), 1e-12)
+
+    def build(self, rows: list[tuple[np.ndarray, np.ndarray, float, float, object]]) -> None:
+        """rows: (term numbers, counts, toxic weight, weight, doc_id), distinct counts."""
+        vectors = [self.vector(r[0], r[1]) for r in rows]
+        # vectors with the same strongest word stand side by side, which keeps block maxima tight
+        order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][vectors[i].argmax()]), -float(vectors[i].max()), i))
+        self.labels = np.array([[rows[i][2], rows[i][3]] for i in order]).reshape(-1, 2)
+        self.example = [rows[i][4] for i in order]
+        self.entries = {_key(rows[i][0], rows[i][1]): e for e, i in enumerate(order)}
+        none = [np.zeros(0)]
+        term = np.concatenate([rows[i][0] for i in order] or none).astype(np.int32)
+        entry = np.repeat(np.arange(len(order), dtype=np.int32), [len(rows[i][0]) for i in order])
+        value = np.concatenate([vectors[i] for i in order] or none).astype(np.float32)
+        at = np.argsort(term, kind="stable")
+        term, entry, value = term[at], entry[at], value[at]
+        block = entry // BLOCK
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(value, first) if len(first) else value
+        upto = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
+        self.postings = (entry, value, upto, block[first].astype(np.int32), np.append(first, len(term)), most)
+
+    def nearest(self, terms: np.ndarray, tf: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k entries of greatest cosine above 0, ties by entry number: (cosine, entry)."""
-        q = [(w, self.postings[t]) for t, w in zip(idx, self.vector(idx, tf), strict=True) if self.postings[t] is not None]
-        if not q:
+        if not len(terms) or not self.example:
             return []
-        bound = np.zeros(-(-len(self.example) // BLOCK))
-        for w, (_, _, blocks, _, most) in q:
-            bound[blocks] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for w, (at, each, blocks, starts, _) in q:
-                p = int(np.searchsorted(blocks, b))
-                if p < len(blocks) and blocks[p] == b:
-                    s = slice(starts[p], starts[p + 1])
-                    score[at[s] - b * BLOCK] += w * each[s]
+        entry, value, upto, block, first, most = self.postings
+        q, many = self.vector(terms, tf), upto[terms + 1] - upto[terms]
+        at, share = _spans(upto[terms], many), np.repeat(q, many)
+        bound = np.bincount(block[at], share * most[at], -(-len(self.example) // BLOCK))
+        order = np.argsort(-bound, kind="stable")
+        best_s, best_e, done, step = np.zeros(0), np.zeros(0, np.int64), 0, 4
+        while done < len(order) and bound[order[done]] > 0 and not (len(best_s) == k and bound[order[done]] < best_s[-1] - 1e-6):
+            chosen = np.zeros(len(bound), bool)
+            chosen[order[done : done + step]] = True
+            here = np.flatnonzero(chosen[block[at]])
+            size = first[at[here] + 1] - first[at[here]]
+            p = _spans(first[at[here]], size)
+            score = np.round(np.bincount(entry[p], np.repeat(share[here], size) * value[p], len(self.example)), 6)
             hit = np.flatnonzero(score > 0)
-            best = sorted(best + [(-round(float(score[i]), 9), int(b) * BLOCK + int(i)) for i in hit])[:k]
-        return [(-s, e) for s, e in best]
+            s, e = np.concatenate((best_s, score[hit])), np.concatenate((best_e, hit))
+            top = np.lexsort((e, -s))[:k]
+            best_s, best_e, done, step = s[top], e[top], done + step, step * 4
+        return list(zip(best_s.tolist(), best_e.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]], settings: Settings, without: tuple[int, float, float] | None = None) -> float:
         toxic, total = settings.prior_weight * self.prior, settings.prior_weight
         for cosine, e in near:
-            w, (t, a) = cosine / (1.05 - min(cosine, 1.0)), self.weights[e]
+            w, (t, a) = cosine / (1.05 - min(cosine, 1.0)), self.labels[e]
             if without and without[0] == e:
                 t, a = t - without[1], a - without[2]
             toxic, total = toxic + w * t, total + w * a
-        return toxic / total if total > 0 else self.prior
-
-    def score(self, near: list, settings: Settings) -> float:
-        if not near:
-            return self.empty_score
-        return float(np.interp(self.vote(near, settings), *self.levels))
+        return float(toxic / total) if total > 0 else self.prior
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,31 +147,36 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.05) / (p[2] + 0.1) for p in pools])
 
 
-def counted(text: str, vocabulary: dict[str, int]) -> tuple[list[int], list[int]]:
-    """Numbers of the vocabulary's terms in a text, rising, and how often each occurs."""
-    n = Counter(vocabulary[w] for w in WORD.findall(text.lower()) if w in vocabulary) if vocabulary else {}
-    terms = sorted(n)
-    return terms, [n[i] for i in terms]
+def evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
+    """Log-likelihood ratio of each word's share among toxic and clean examples against one share for both."""
+    n, total = toxic + clean, max(n_toxic + n_clean, 1.0)
+    part = lambda seen, size: seen * np.log(np.maximum(seen, 1e-300) / np.maximum(n * size / total, 1e-300))
+    return np.maximum(2 * (part(toxic, n_toxic) + part(clean, n_clean)), 0.0)
 
 
-def features(docs: DataFrame, vocabulary: dict[str, int], carry: dict[str, Column]) -> DataFrame:
-    """(doc_id, <carry>, idx, tf): counts of the vocabulary's terms in whole texts."""
-    shared, kept = docs.sparkSession.sparkContext.broadcast(vocabulary), list(carry)
+def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many rows docs has, and in how many of them each term occurs."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
+        index, rows = Index(shared.value), 0
+        n = np.zeros(len(shared.value), np.int64)
         for b in batches:
-            got = [counted(t, vocabulary) for t in b.column(1).to_pylist()]
-            idx, tf = [i for i, _ in got], [n for _, n in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(idx, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], ["doc_id", *kept, "idx", "tf"])
+            for t in b.column(0).to_pylist():
+                n[index.known(*counted(t))[0]] += 1
+            rows += b.num_rows
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], rows))], ["term", "n"])
 
-    src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[c.alias(n) for n, c in carry.items()])
-    kinds = dict(src.dtypes)
-    return src.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in ("doc_id", *carry)) + ", idx array<int>, tf array<int>")
+    got = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n = got.column("term").to_numpy(), got.column("n").to_numpy()
+    df = np.zeros(len(terms), np.int64)
+    df[at[at >= 0]] = n[at >= 0]
+    return int(n[at < 0].sum()), df
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, carry: dict[str, Column], settings: Settings = Settings()) -> tuple[Index, DataFrame]:
-    """The index, and the features of all rows of docs.
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> Index:
+    """The index of labelled examples, calibrated.
 
     labels: (doc_id, toxic); several rows of a document count as toxic if any is; null ids and
     labels are ignored. learn says which documents of docs may lend their labels. At most
@@ -157,103 +191,114 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, carry: dict[str, Colu
     picked = [(r["doc_id"], r["toxic"]) for c in totals for r in rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.per_class).collect()]
     kept = Counter(c for _, c in picked)
     weight = {c: totals[c] / kept[c] for c in totals}
+    index = Index(prior=totals.get(1, 0) / max(1, sum(totals.values())))
+    index.empty_score = index.prior
+    if len(kept) < 2:
+        return index
     # at most 2 * per_class rows of two numbers
     chosen = F.broadcast(spark.createDataFrame(picked, f"learned_id {id_kind}, toxic int"))
-    seen = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("learned_id"))
-    terms = seen.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where("term != ''")
-    n1, n0 = float(max(1, kept.get(1, 0))), float(max(1, kept.get(0, 0)))
-    by_term = terms.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(F.col("n") >= settings.least_docs)
-    expected = F.col("n") * n1 / (n1 + n0)
-    b, eb = F.col("n") - F.col("a"), F.col("n") * n0 / (n1 + n0)
-    g2 = 2 * (F.col("a") * F.log(F.col("a") / expected) + F.when(b > 0, b * F.log(b / eb)).otherwise(0.0))
-    lift = (F.col("a") / n1) / ((b + 0.5) / n0)
-    told = by_term.where((F.col("a") > expected) & (lift >= settings.least_lift)).withColumn("g2", g2).where(F.col("g2") >= settings.least_g2)
-    words = sorted(r["term"] for r in told.orderBy(F.desc("g2"), "term").limit(settings.max_terms).collect()) if len(kept) == 2 else []
-
-    vocabulary = {w: i for i, w in enumerate(words)}
-    feats = materialize(features(docs, vocabulary, carry), "features")
-    n_docs, df = feats.count(), np.zeros(len(words))
-    for r in feats.select(F.explode("idx").alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect():
-        df[r["i"]] = r["n"]
-    index = Index(vocabulary, np.log((1 + n_docs) / (1 + df)) + 1e-3, totals.get(1, 0) / max(1, sum(totals.values())))
-    index.empty_score = index.prior
-    if words:
-        _learn(index, feats.join(chosen, F.col("doc_id") == F.col("learned_id")).select("doc_id", "toxic", "idx", "tf").toPandas(), weight, settings)
-    return index, feats
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [counted(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([w for w, _ in got], pa.list_(pa.int64())), pa.array([n for _, n in got], pa.list_(pa.int64()))], ["doc_id", "toxic", "words", "tf"])
+
+    seen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, F.col("doc_id") == F.col("learned_id")).select("doc_id", "toxic", "text")
+    examples = materialize(seen.mapInArrow(count, f"doc_id {id_kind}, toxic int, words array<bigint>, tf array<bigint>"), "examples")
+    got = examples.toArrow().combine_chunks()
+    lengths = pc.list_value_length(got.column("words")).to_numpy().astype(np.int64)
+    words, tf = (pc.list_flatten(got.column(c)).to_numpy() for c in ("words", "tf"))
+    toxic = got.column("toxic").to_numpy()
+    index.terms, number = np.unique(words, return_inverse=True)
+    n_docs, df = document_frequencies(docs, index.terms)
+    per_word = np.repeat(toxic, lengths)
+    hits = [np.bincount(number[per_word == c], minlength=len(index.terms)).astype(float) for c in (1, 0)]
+    told = evidence(*hits, float((toxic == 1).sum()), float((toxic == 0).sum()))
+    index.weight = (np.log((1 + n_docs) / (1 + df)) + 1e-3) * (settings.floor + (told / (told + settings.evidence)) ** 2)
+
+    groups: dict[int, list] = {}
+    blank = [0.0, 0.0]
+    ends = np.cumsum(lengths)
+    for doc_id, c, a, b in zip(got.column("doc_id").to_pylist(), toxic.tolist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+        w = weight[c]
+        if a == b:
+            blank = [blank[0] + w * c, blank[1] + w]
+            continue
+        g = groups.setdefault(_key(number[a:b], tf[a:b]), [number[a:b], tf[a:b], 0.0, 0.0, doc_id])
+        g[2], g[3], g[4] = g[2] + w * c, g[3] + w, min(g[4], doc_id)
+    index.build(sorted(groups.values(), key=lambda g: g[4]))
+    if blank[1]:
+        index.empty_score = (blank[0] + 0.05) / (blank[1] + 0.1)
+
+    shared = spark.sparkContext.broadcast(index)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for b in batches:
+            votes = []
+            for c, words, tf in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                known = index.known(np.array(words, np.int64), np.array(tf, np.int64))
+                own = index.entries.get(_key(*known))
+                votes.append(None if own is None else index.vote(index.nearest(*known, settings.k), settings, (own, weight[c] * c, weight[c])))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(votes, pa.float64())], ["toxic", "vote"])
+
+    votes = examples.mapInArrow(left_out, "toxic int, vote double").where("vote is not null").toArrow()
+    y = votes.column("toxic").to_numpy()
+    if len(y):
+        index.levels = isotonic(votes.column("vote").to_numpy(), y.astype(float), np.array([weight[c] for c in y.tolist()]))
+    return index
 
 
 class Scorer:
-    """Scores feature vectors; equal vectors of a task are looked up once."""
+    """Scores texts; equal texts of a task are looked up once."""
 
     def __init__(self, index: Index, settings: Settings):
         self.index, self.settings, self.seen = index, settings, {}
 
-    def __call__(self, idx: list[int], tf: list[int]) -> tuple[float, list[int]]:
-        key = (tuple(idx), tuple(tf))
+    def __call__(self, text: str) -> tuple[float, list]:
+        """Score, and the ids of the nearest examples, nearest first."""
+        key = xxhash.xxh128_digest(text.encode("utf-8", "surrogatepass"))
         if key not in self.seen:
-            if len(self.seen) > 50_000:
+            if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            near = self.index.nearest(idx, tf, self.settings.k) if idx else []
-            self.seen[key] = self.index.score(near, self.settings), [self.index.example[e] for _, e in near]
+            index = self.index
+            near = index.nearest(*index.known(*counted(text)), self.settings.k)
+            score = float(np.interp(index.vote(near, self.settings), *index.levels)) if near else index.empty_score
+            self.seen[key] = score, [index.example[e] for _, e in near]
         return self.seen[key]
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) per row of docs; see fit() for what is learned.
 
-    Texts without a term that tells labels apart, empty and null ones included, get the rate of
-    toxic examples among such texts. Without labels of both classes every score is the rate of
-    label 1. evidence: doc_ids of the nearest examples, nearest first. Repeated rows are scored each.
+    Texts without any word of an example, empty and null ones included, get the rate of toxic
+    examples among texts without words (of all examples, if there are none). Without labels of
+    both classes every score is the rate of label 1. evidence: doc_ids of the nearest examples,
+    nearest first. Repeated rows are scored each. Ids may be of any type that can be ordered.
     """
-    index, feats = fit(docs, labels, learn, {"held_out": held_out}, settings)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, learn, settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value, settings)
         for b in batches:
-            got = [score(i, t) for i, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            got = [score(t) for t in b.column(2).to_pylist()]
             s = np.array([x for x, _ in got], float)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array([e for _, e in got], pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array([e for _, e in got], pa.list_(b.column(0).type))], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    return feats.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int, evidence array<bigint>")
+    kind = dict(docs.dtypes)["doc_id"]
+    src = docs.select("doc_id", held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    return src.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<{kind}>")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below 0.5."""
-    index, _ = fit(docs, labels, learn, {}, settings)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    """The rows of docs, with all their columns, whose score is below 0.5; null and empty texts are scored as in classify()."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, learn, settings))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value, settings)
         for b in batches:
-            keep = [score(*counted(t or "", score.index.vocabulary))[0] < 0.5 for t in b.column(at).to_pylist()]
+            keep = [score(t or "")[0] < 0.5 for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def _learn(index: Index, rows, weight: dict[int, float], settings: Settings) -> None:
-    """Fill the index and its calibration from at most 2 * per_class examples."""
-    groups: dict[tuple, list] = defaultdict(list)
-    blank = [0.0, 0.0]
-    for doc_id, toxic, idx, tf in zip(rows["doc_id"].tolist(), rows["toxic"].tolist(), rows["idx"], rows["tf"], strict=True):
-        w = weight[toxic]
-        if len(idx):
-            groups[tuple(map(int, idx)), tuple(map(int, tf))].append((doc_id, toxic, w))
-        else:
-            blank[0] += w * toxic
-            blank[1] += w
-    index.build([(list(i), list(t), sum(w * y for _, y, w in g), sum(w for _, _, w in g), min(d for d, _, _ in g)) for (i, t), g in sorted(groups.items())])
-    entry = {d: e for e, d in enumerate(index.example)}
-    x, y, w = [], [], []
-    for (i, t), g in groups.items():
-        near = index.nearest(list(i), list(t), settings.k)
-        own = entry[min(d for d, _, _ in g)]
-        for toxic in {c for _, c, _ in g}:
-            each = [v for _, c, v in g if c == toxic]
-            x.append(index.vote(near, settings, (own, each[0] * toxic, each[0])))
-            y.append(float(toxic))
-            w.append(sum(each))
-    index.levels = isotonic(np.array(x), np.array(y), np.array(w)) if x else (np.array([0.0]), np.array([index.prior]))
-    index.empty_score = (blank[0] + 0.05) / (blank[1] + 0.1) if blank[1] else index.prior
