@@ -131,13 +131,19 @@ def ranks(src: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+#: Rounds in which each bucket's members are compared with one of them, before all pairs left are.
+STAR_ROUNDS = 2
+
+
 def similar_units(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(units, links): unit, id, least doc_id; and (a, b, jaccard) of ids whose components are those of all pairs of at least the similarity.
 
     Shingles have one order, rarest first. Two sets of at least the similarity share a shingle
-    among the first n - ceil(similarity * n) + 1 of each, so such prefixes are table keys and no pair is
-    lost. First each unit of a bucket is compared with the one that meets most others. Then all pairs of
-    a bucket are compared that these links have not put into one component: others change no component.
+    among the first n - ceil(similarity * n) + 1 of each, so such prefixes are table keys, and at the first
+    that they share enough shingles follow in both, so no pair is lost. In a few rounds each unit of a bucket
+    is compared with one that meets most others, a new one each round. Then all pairs of a bucket are compared
+    that these links have not put into one component: others change no component. Buckets are
+    counted and joined, never gathered.
     """
 
     src = texts(docs)
@@ -166,33 +172,42 @@ def similar_units(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tu
     units = marks.groupBy("unit").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("least"), F.first("keys", True).alias("keys"), F.max("size").alias("size"))
     units = materialize(units.select("unit", F.col("least.doc_id").alias("least"), "keys", "size", F.monotonically_increasing_id().alias("id")), "units")
 
-    keys = units.select("id", F.explode("keys").alias("key"))
-    shared = materialize(keys.select("id", "key", F.count("*").over(Window.partitionBy("key")).alias("n")).where("n > 1"), "buckets")
-    side = lambda n: units.select(F.col("id").alias(n), F.col("size").alias(f"n{n}"))
+    keys = units.select("id", "size", F.posexplode("keys").alias("pos", "key")).select("key", "id", F.col("size").cast("int"), "pos")
+    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    member = materialize(keys.join(several, "key"), "buckets")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes allow the similarity."""
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        fits = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b")
+    # as if a shared key were the first one: what follows it in both must hold what the similarity needs
+    may_reach = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2")) >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size2")) - 1e-6
+    ordered = lambda pairs: pairs.where(may_reach).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    partner = [F.col(c).alias(f"{c}2") for c in ("id", "size", "pos")]
 
     def scored(pairs: DataFrame) -> DataFrame:
         return _scored(src, units, pairs, size).where(F.col("jaccard") >= similarity)
 
-    met = shared.withColumn("degree", F.sum(F.col("n") - 1).over(Window.partitionBy("id")))
-    best = F.first("id").over(Window.partitionBy("key").orderBy(F.desc("degree"), "id"))
-    stars = materialize(alike(met.select("id", best.alias("other")).where("id != other")), "stars")
-    near = materialize(scored(stars), "near")
-
-    roots = components(near)
-    member = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
-    apart = F.min("root").over(Window.partitionBy("key")) < F.max("root").over(Window.partitionBy("key"))
-    member = materialize(member.withColumn("apart", apart).where("apart").drop("apart"), "members")
-    held = member.select("key", "root").distinct()
-    cross = held.join(held.withColumnRenamed("root", "root2"), "key").where("root < root2")
-    # members of a component meet only those of others, whatever the sizes of both
-    rest = cross.join(member, ["key", "root"]).select("key", "root2", "id").join(member.select("key", F.col("root").alias("root2"), F.col("id").alias("other")), ["key", "root2"]).select("id", "other")
-    rest = materialize(alike(rest).join(stars, ["a", "b"], "left_anti"), "pairs")
+    near = seen = None
+    for k in range(STAR_ROUNDS):
+        if k == 0:
+            # the unit that meets most others
+            degrees = member.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
+            hub = member.join(degrees, "id").groupBy("key").agg(F.max_by(F.struct(*partner), F.struct("degree", "id")).alias("hub"))
+        else:
+            # any component's, but the same in most buckets
+            by = F.struct(F.xxhash64(F.lit(k), "root"), F.xxhash64(F.lit(k), "id"))
+            hub = member.groupBy("key").agg(F.min_by(F.struct(*partner), by).alias("hub"), F.min_by("root", by).alias("root2"))
+        stars = member.join(hub.select("key", "hub.*", *(["root2"] if k else [])), "key").where("root != root2" if k else "id != id2")
+        stars = ordered(stars)
+        stars = materialize(stars.join(seen, ["a", "b"], "left_anti") if seen is not None else stars, "stars")
+        found = materialize(scored(stars), "near")
+        near, seen = (found, stars) if near is None else (near.unionByName(found), seen.unionByName(stars))
+        roots = components(near).withColumnRenamed("node", "id")
+        placed = member.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        member = materialize(placed.join(apart, "key", "left_semi"), "members")
+        if member.isEmpty():
+            return units.select("unit", "id", "least"), near
+    other = member.select("key", *partner, F.col("root").alias("root2"))
+    rest = ordered(member.join(other, "key").where("root < root2"))
+    rest = materialize(rest.join(seen, ["a", "b"], "left_anti"), "pairs")
     return units.select("unit", "id", "least"), near.unionByName(scored(rest))
 
 

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import pytest
 import xxhash
 
 from tessera.llm import simhash
+from tessera.llm.common import table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -149,3 +152,58 @@ def test_deduplicate_loses_no_pair_near_the_threshold(docs_of):
                 group = [b if g == a else g for g in group]
     want = {min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group)}
     assert {r["doc_id"] for r in simhash.deduplicate(docs_of(rows)).collect()} == want
+
+
+def kept_by_brute_force(rows, size=5, similarity=0.8):
+    """Least ids of the components of all pairs, by inverted lists of shingles."""
+    units = {}
+    for d, t in rows:
+        w = (t or "").encode("utf-8", "surrogatepass").translate(simhash.LOWER_AZ).split()
+        units.setdefault(tuple(w), []).append(d)
+    names = list(units)
+    sets = [{u[i : i + size] for i in range(max(1, len(u) - size + 1))} for u in names]
+    lists = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            lists.setdefault(x, []).append(k)
+    parent = list(range(len(names)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for k, s in enumerate(sets):
+        common = Counter(j for x in s for j in lists[x] if j < k)
+        for j, c in common.items():
+            if c / (len(s) + len(sets[j]) - c) >= similarity:
+                parent[root(k)] = root(j)
+    least = {}
+    for k, u in enumerate(names):
+        least[root(k)] = min(least.get(root(k), math.inf), *units[u])
+    return sorted(least.values())
+
+
+def test_pairs_in_one_vocabulary_of_many_orders(docs_of):
+    """Thirty pairs of near copies, all over the same words: every pair is found, nothing else."""
+    rng = random.Random(3)
+    vocabulary, rows = [f"w{i}" for i in range(200)], []
+    for k in range(30):
+        words = rng.sample(vocabulary, 200)
+        swapped = list(words)
+        at = rng.randrange(199)
+        swapped[at], swapped[at + 1] = swapped[at + 1], swapped[at]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(swapped))]
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs_of(rows)).collect()) == list(range(0, 60, 2)) == kept_by_brute_force(rows)
+
+
+def test_deduplicate_on_the_tables(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == kept_by_brute_force(rows)
+
+
+def test_a_very_long_text(docs_of):
+    long = " ".join(f"w{i % 977}x{i % 1013}" for i in range(200_000))
+    got = simhash.deduplicate(docs_of([(2, long), (1, long + " end"), (3, "short")])).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3]
