@@ -3,17 +3,19 @@
 Labelled examples are TF-IDF vectors over all words that occur in them. Inverse document
 frequencies come from all documents, and each is scaled by how strongly the word tells the labels
 apart (log-likelihood ratio over the examples), never below a floor, so no word is dropped. The
-vectors lie in a block-max inverted index: a query adds up upper bounds by block, looks into blocks
-in falling order of bound, and stops where no block can enter its nearest k, so the result is the
-exact k nearest by cosine. Distance-weighted votes are calibrated on the examples, each left out.
+vectors lie in a block-max inverted index: queries multiply the few longest lists as a matrix, go
+through short lists, take the greatest weights by block of those in between as bounds, look into
+blocks in falling order of bound, and stop where no block can enter the nearest k, so the result is
+the exact k nearest by cosine. Distance-weighted votes are calibrated on the examples, each left out.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,9 @@ from .common import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+#: Postings of a term above which blocks of its list are bounded before they are looked at, and
+#: how many of the longest lists are kept as rows of a matrix and multiplied for TEXTS texts at a time.
+LONG, DENSE, TEXTS = 256, 512, 64
 #: Texts whose scores a task remembers.
 REMEMBERED = 20_000
 
@@ -44,7 +49,7 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     n = Counter(WORD.findall(text.lower()))
     words = np.fromiter((xxhash.xxh64_intdigest(w) - (1 << 63) for w in n), np.int64, len(n))
     at = np.argsort(words)
-    return words[at], np.fromiter(n.values(), np.int64, len(n))[at]
+    return words[at], np.fromiter(n.values(), np.int32, len(n))[at]
 
 
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -67,64 +72,105 @@ class Index:
     labels: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))  # by entry: weight of toxic examples, of all
     example: list = field(default_factory=list)  # by entry: least doc_id
     entries: dict = field(default_factory=dict)  # by key of the counts: entry
-    postings: tuple = ()  # entry, weight, by term and entry; term's first block, block, its first posting, its greatest weight
+    entry: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # postings by term and entry
+    value: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    upto: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # by term: its first posting
     levels: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))  # calibration: vote, score
     empty_score: float = 0.0
 
     def known(self, words: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of those words that examples hold."""
         if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
         at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
         held = self.terms[at] == words
-        return at[held], tf[held]
+        return at[held].astype(np.int32), tf[held]
 
     def vector(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
         v = (1 + np.log(tf)) * self.weight[terms]
         return v / max(float(np.sqrt((v * v).sum())), 1e-12)
 
-    def build(self, rows: list[tuple[np.ndarray, np.ndarray, float, float, object]]) -> None:
-        """rows: (term numbers, counts, toxic weight, weight, doc_id), distinct counts."""
-        vectors = [self.vector(r[0], r[1]) for r in rows]
+    def build(self, number: np.ndarray, tf: np.ndarray, ends: np.ndarray, labels: np.ndarray, ids: list) -> None:
+        """Entries with distinct counts, one after the other: term numbers and counts up to each end, weights of labels, an id."""
+        starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+        value = ((1 + np.log(tf)) * self.weight[number]).astype(np.float32)
+        size = np.sqrt(np.add.reduceat(value.astype(float) ** 2, starts)) if len(ends) else np.zeros(0)
+        value /= np.repeat(np.maximum(size, 1e-12), ends - starts).astype(np.float32)
         # vectors with the same strongest word stand side by side, which keeps block maxima tight
-        order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][vectors[i].argmax()]), -float(vectors[i].max()), i))
-        self.labels = np.array([[rows[i][2], rows[i][3]] for i in order]).reshape(-1, 2)
-        self.example = [rows[i][4] for i in order]
-        self.entries = {_key(rows[i][0], rows[i][1]): e for e, i in enumerate(order)}
-        none = [np.zeros(0)]
-        term = np.concatenate([rows[i][0] for i in order] or none).astype(np.int32)
-        entry = np.repeat(np.arange(len(order), dtype=np.int32), [len(rows[i][0]) for i in order])
-        value = np.concatenate([vectors[i] for i in order] or none).astype(np.float32)
-        at = np.argsort(term, kind="stable")
-        term, entry, value = term[at], entry[at], value[at]
-        block = entry // BLOCK
+        strongest = np.array([number[a + int(value[a:b].argmax())] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        order = np.lexsort((np.arange(len(ends)), strongest))
+        place = np.empty(len(ends), np.int32)
+        place[order] = np.arange(len(ends), dtype=np.int32)
+        self.labels, self.example = labels[order].reshape(-1, 2), [ids[i] for i in order.tolist()]
+        self.entries = {_key(number[a:b], tf[a:b]): int(e) for a, b, e in zip(starts.tolist(), ends.tolist(), place.tolist(), strict=True)}
+        entry = np.repeat(place, ends - starts)
+        at = np.lexsort((entry, number))
+        self.entry, self.value, number = entry[at].astype(np.uint16 if len(ends) < 1 << 16 else np.int32), value[at], number[at]
+        self.upto = np.searchsorted(number, np.arange(len(self.terms) + 1))
+        size = np.diff(self.upto)
+        self.kind = np.where(size > LONG, 1, 0).astype(np.int8)
+        self.kind[np.argsort(-size, kind="stable")[:DENSE]] = 2
+        # the lists in between have a greatest weight for each block of entries
+        long = np.repeat(self.kind == 1, size)
+        term, block, spot = number[long], self.entry[long].astype(np.int32) // BLOCK, np.flatnonzero(long)
         first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
-        most = np.maximum.reduceat(value, first) if len(first) else value
-        upto = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
-        self.postings = (entry, value, upto, block[first].astype(np.int32), np.append(first, len(term)), most)
-
-    def nearest(self, terms: np.ndarray, tf: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k entries of greatest cosine above 0, ties by entry number: (cosine, entry)."""
-        if not len(terms) or not self.example:
-            return []
-        entry, value, upto, block, first, most = self.postings
-        q, many = self.vector(terms, tf), upto[terms + 1] - upto[terms]
-        at, share = _spans(upto[terms], many), np.repeat(q, many)
-        bound = np.bincount(block[at], share * most[at], -(-len(self.example) // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        best_s, best_e, done, step = np.zeros(0), np.zeros(0, np.int64), 0, 4
-        while done < len(order) and bound[order[done]] > 0 and not (len(best_s) == k and bound[order[done]] < best_s[-1] - 1e-6):
+        self.block, self.most = block[first], np.maximum.reduceat(self.value[long], first) if len(first) else self.value[:0]
+        self.block_from, self.block_size = spot[first], np.diff(np.append(first, len(term)))
+        self.block_upto = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
+
+    @cached_property
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each term with one of the longest lists, and those lists as rows over all entries."""
+        terms = np.flatnonzero(self.kind == 2)
+        row, rows = np.zeros(len(self.terms), np.int32), np.zeros((len(terms), len(self.example)), np.float32)
+        row[terms] = np.arange(len(terms))
+        for k, t in enumerate(terms.tolist()):
+            rows[k, self.entry[self.upto[t] : self.upto[t + 1]]] = self.value[self.upto[t] : self.upto[t + 1]]
+        return row, rows
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """For each query (term numbers, counts) the k entries of greatest cosine above 0, ties by entry number: (cosine, entry)."""
+        if not self.example:
+            return [[] for _ in queries]
+        row, rows = self.dense
+        vectors = [self.vector(*x) if len(x[0]) else np.zeros(0) for x in queries]
+        often = np.zeros((len(queries), len(rows)), np.float32)
+        for i, ((terms, _), q) in enumerate(zip(queries, vectors, strict=True)):
+            most = self.kind[terms] == 2
+            often[i, row[terms[most]]] = q[most]
+        return [self._best(terms, q, score.astype(float), k) if len(terms) else [] for (terms, _), q, score in zip(queries, vectors, often @ rows, strict=True)]
+
+    def _best(self, terms: np.ndarray, q: np.ndarray, score: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """score: what the longest lists add to each entry."""
+        n, few, many = len(score), self.kind[terms] == 0, self.kind[terms] == 1
+        # short lists in full
+        begin = self.upto[terms[few]]
+        length = self.upto[terms[few] + 1] - begin
+        at = _spans(begin, length)
+        score += np.bincount(self.entry[at], np.repeat(q[few], length) * self.value[at], n)
+        # a block's bound: its best score so far, and the greatest weight in it of each term left
+        begin = self.block_upto[terms[many]]
+        length = self.block_upto[terms[many] + 1] - begin
+        at, share = _spans(begin, length), np.repeat(q[many], length)
+        block = self.block[at]
+        bound = np.maximum.reduceat(score, np.arange(0, n, BLOCK)) + np.bincount(block, share * self.most[at], -(-n // BLOCK)) + 1e-5
+        order = np.argsort(-bound)
+        kth = lambda: float(np.partition(score, n - k)[n - k]) if n > k else 0.0
+        # scores only grow, so the k-th best is a bound from below at any time
+        least, done, step = kth(), 0, 8
+        while done < len(order) and bound[order[done]] >= least:
             chosen = np.zeros(len(bound), bool)
             chosen[order[done : done + step]] = True
-            here = np.flatnonzero(chosen[block[at]])
-            size = first[at[here] + 1] - first[at[here]]
-            p = _spans(first[at[here]], size)
-            score = np.round(np.bincount(entry[p], np.repeat(share[here], size) * value[p], len(self.example)), 6)
-            hit = np.flatnonzero(score > 0)
-            s, e = np.concatenate((best_s, score[hit])), np.concatenate((best_e, hit))
-            top = np.lexsort((e, -s))[:k]
-            best_s, best_e, done, step = s[top], e[top], done + step, step * 4
-        return list(zip(best_s.tolist(), best_e.tolist(), strict=True))
+            here = np.flatnonzero(chosen[block])
+            size = self.block_size[at[here]]
+            p = _spans(self.block_from[at[here]], size)
+            score += np.bincount(self.entry[p], np.repeat(share[here], size) * self.value[p], n)
+            least, done, step = max(least, kth()), done + step, step * 4
+        # entries of blocks not looked into lie below the k-th best
+        score = np.round(score, 5)
+        best = np.flatnonzero(score >= max(round(least, 5) - 2e-5, 1e-5))
+        best = best[np.lexsort((best, -score[best]))[:k]]
+        return list(zip(score[best].tolist(), best.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]], settings: Settings, without: tuple[int, float, float] | None = None) -> float:
         toxic, total = settings.prior_weight * self.prior, settings.prior_weight
@@ -201,45 +247,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [counted(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([w for w, _ in got], pa.list_(pa.int64())), pa.array([n for _, n in got], pa.list_(pa.int64()))], ["doc_id", "toxic", "words", "tf"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([w for w, _ in got], pa.list_(pa.int64())), pa.array([n for _, n in got], pa.list_(pa.int32()))], ["doc_id", "toxic", "words", "tf"])
 
     seen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, F.col("doc_id") == F.col("learned_id")).select("doc_id", "toxic", "text")
-    examples = materialize(seen.mapInArrow(count, f"doc_id {id_kind}, toxic int, words array<bigint>, tf array<bigint>"), "examples")
-    got = examples.toArrow().combine_chunks()
-    lengths = pc.list_value_length(got.column("words")).to_numpy().astype(np.int64)
-    words, tf = (pc.list_flatten(got.column(c)).to_numpy() for c in ("words", "tf"))
-    toxic = got.column("toxic").to_numpy()
-    index.terms, number = np.unique(words, return_inverse=True)
-    n_docs, df = document_frequencies(docs, index.terms)
-    per_word = np.repeat(toxic, lengths)
-    hits = [np.bincount(number[per_word == c], minlength=len(index.terms)).astype(float) for c in (1, 0)]
-    told = evidence(*hits, float((toxic == 1).sum()), float((toxic == 0).sum()))
-    index.weight = (np.log((1 + n_docs) / (1 + df)) + 1e-3) * (settings.floor + (told / (told + settings.evidence)) ** 2)
-
-    groups: dict[int, list] = {}
-    blank = [0.0, 0.0]
-    ends = np.cumsum(lengths)
-    for doc_id, c, a, b in zip(got.column("doc_id").to_pylist(), toxic.tolist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
-        w = weight[c]
-        if a == b:
-            blank = [blank[0] + w * c, blank[1] + w]
-            continue
-        g = groups.setdefault(_key(number[a:b], tf[a:b]), [number[a:b], tf[a:b], 0.0, 0.0, doc_id])
-        g[2], g[3], g[4] = g[2] + w * c, g[3] + w, min(g[4], doc_id)
-    index.build(sorted(groups.values(), key=lambda g: g[4]))
-    if blank[1]:
-        index.empty_score = (blank[0] + 0.05) / (blank[1] + 0.1)
-
+    examples = materialize(seen.mapInArrow(count, f"doc_id {id_kind}, toxic int, words array<bigint>, tf array<int>"), "examples")
+    _learn(index, examples.toArrow(), weight, lambda terms: document_frequencies(docs, terms), settings)
     shared = spark.sparkContext.broadcast(index)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for b in batches:
             votes = []
-            for c, words, tf in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                known = index.known(np.array(words, np.int64), np.array(tf, np.int64))
-                own = index.entries.get(_key(*known))
-                votes.append(None if own is None else index.vote(index.nearest(*known, settings.k), settings, (own, weight[c] * c, weight[c])))
+            for lo in range(0, b.num_rows, TEXTS):
+                toxic, *counts = (b.column(k).slice(lo, TEXTS).to_pylist() for k in (1, 2, 3))
+                known = [index.known(np.array(words, np.int64), np.array(tf, np.int32)) for words, tf in zip(*counts, strict=True)]
+                for c, x, near in zip(toxic, known, index.nearest(known, settings.k), strict=True):
+                    own = index.entries.get(_key(*x))
+                    votes.append(None if own is None else index.vote(near, settings, (own, weight[c] * c, weight[c])))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(votes, pa.float64())], ["toxic", "vote"])
 
     votes = examples.mapInArrow(left_out, "toxic int, vote double").where("vote is not null").toArrow()
@@ -249,23 +273,55 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
     return index
 
 
+def _learn(index: Index, got: pa.Table, weight: dict[int, float], frequencies: Callable[[np.ndarray], tuple[int, np.ndarray]], settings: Settings) -> None:
+    """Fill the index from at most 2 * per_class examples (doc_id, toxic, words, tf)."""
+    lengths = pc.list_value_length(got.column("words")).to_numpy().astype(np.int64)
+    toxic, ids = got.column("toxic").to_numpy(), got.column("doc_id").to_pylist()
+    words, tf = (pc.list_flatten(got.column(c)).to_numpy() for c in ("words", "tf"))
+    index.terms = np.unique(words)
+    number = np.searchsorted(index.terms, words).astype(np.int32)
+    del words
+    n_docs, df = frequencies(index.terms)
+    per_word = np.repeat(toxic == 1, lengths)
+    hits = [np.bincount(number[x], minlength=len(index.terms)).astype(float) for x in (per_word, ~per_word)]
+    told = evidence(*hits, float((toxic == 1).sum()), float((toxic == 0).sum()))
+    index.weight = (np.log((1 + n_docs) / (1 + df)) + 1e-3) * (settings.floor + (told / (told + settings.evidence)) ** 2)
+
+    # examples with equal counts are one entry, the one of least id
+    ends, blank, groups = np.cumsum(lengths), [0.0, 0.0], {}
+    for i, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
+        c, w = int(toxic[i]), weight[int(toxic[i])]
+        if a == b:
+            blank = [blank[0] + w * c, blank[1] + w]
+            continue
+        g = groups.setdefault(_key(number[a:b], tf[a:b]), [0.0, 0.0, i])
+        g[0], g[1], g[2] = g[0] + w * c, g[1] + w, i if ids[i] < ids[g[2]] else g[2]
+    kept = sorted(groups.values(), key=lambda g: ids[g[2]])
+    at = np.array([g[2] for g in kept], np.int64)
+    p = _spans((ends - lengths)[at], lengths[at])
+    index.build(number[p], tf[p], np.cumsum(lengths[at]), np.array([g[:2] for g in kept]), [ids[i] for i in at.tolist()])
+    if blank[1]:
+        index.empty_score = (blank[0] + 0.05) / (blank[1] + 0.1)
+
+
 class Scorer:
     """Scores texts; equal texts of a task are looked up once."""
 
     def __init__(self, index: Index, settings: Settings):
         self.index, self.settings, self.seen = index, settings, {}
 
-    def __call__(self, text: str) -> tuple[float, list]:
-        """Score, and the ids of the nearest examples, nearest first."""
-        key = xxhash.xxh128_digest(text.encode("utf-8", "surrogatepass"))
-        if key not in self.seen:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            index = self.index
-            near = index.nearest(*index.known(*counted(text)), self.settings.k)
-            score = float(np.interp(index.vote(near, self.settings), *index.levels)) if near else index.empty_score
-            self.seen[key] = score, [index.example[e] for _, e in near]
-        return self.seen[key]
+    def __call__(self, texts: list[str]) -> list[tuple[float, list]]:
+        """Scores, and the ids of the nearest examples, nearest first."""
+        index, keys = self.index, [xxhash.xxh128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
+        if len(self.seen) >= REMEMBERED:
+            self.seen.clear()
+        new = list({k: t for k, t in zip(keys, texts, strict=True) if k not in self.seen}.items())
+        for lo in range(0, len(new), TEXTS):
+            part = new[lo : lo + TEXTS]
+            for (key, _), near in zip(part, index.nearest([index.known(*counted(t)) for _, t in part], self.settings.k), strict=True):
+                score = float(np.interp(index.vote(near, self.settings), *index.levels)) if near else index.empty_score
+                self.seen[key] = score, [index.example[e] for _, e in near]
+        return [self.seen[k] for k in keys]
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column, settings: Settings = Settings()) -> DataFrame:
@@ -281,7 +337,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value, settings)
         for b in batches:
-            got = [score(t) for t in b.column(2).to_pylist()]
+            got = score(b.column(2).to_pylist())
             s = np.array([x for x, _ in got], float)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array([e for _, e in got], pa.list_(b.column(0).type))], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
@@ -298,7 +354,7 @@ def accepted(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value, settings)
         for b in batches:
-            keep = [score(t or "")[0] < 0.5 for t in b.column(at).to_pylist()]
+            keep = [x < 0.5 for x, _ in score([t or "" for t in b.column(at).to_pylist()])]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
