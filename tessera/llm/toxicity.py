@@ -30,7 +30,7 @@ WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
 #: Postings of a term above which blocks of its list are bounded before they are looked at, and
 #: how many of the longest lists are kept as rows of a matrix and multiplied for TEXTS texts at a time.
-LONG, DENSE, TEXTS = 256, 512, 64
+LONG, DENSE, TEXTS = 768, 512, 64
 #: Texts whose scores a task remembers.
 REMEMBERED = 20_000
 
@@ -44,10 +44,23 @@ class Settings:
     prior_weight: float = 0.5
 
 
+class Hashes(dict):
+    """Signed 64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word) - (1 << 63)
+        return h
+
+
+HASHES = Hashes()
+
+
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct words of a text, rising, and how often each occurs."""
     n = Counter(WORD.findall(text.lower()))
-    words = np.fromiter((xxhash.xxh64_intdigest(w) - (1 << 63) for w in n), np.int64, len(n))
+    words = np.fromiter(map(HASHES.__getitem__, n), np.int64, len(n))
     at = np.argsort(words)
     return words[at], np.fromiter(n.values(), np.int32, len(n))[at]
 
@@ -152,12 +165,13 @@ class Index:
         begin = self.block_upto[terms[many]]
         length = self.block_upto[terms[many] + 1] - begin
         at, share = _spans(begin, length), np.repeat(q[many], length)
-        block = self.block[at]
-        bound = np.maximum.reduceat(score, np.arange(0, n, BLOCK)) + np.bincount(block, share * self.most[at], -(-n // BLOCK)) + 1e-5
+        block, start = self.block[at], np.arange(0, n, BLOCK)
+        best = np.maximum.reduceat(score, start)
+        bound = best + np.bincount(block, share * self.most[at], len(start)) + 1e-5
         order = np.argsort(-bound)
-        kth = lambda: float(np.partition(score, n - k)[n - k]) if n > k else 0.0
-        # scores only grow, so the k-th best is a bound from below at any time
-        least, done, step = kth(), 0, 8
+        # scores only grow, so the k-th of the blocks' best is at any time a bound from below of the k-th best
+        kth = lambda x: float(np.partition(x, len(x) - k)[len(x) - k]) if len(x) > k else 0.0
+        least, done, step = kth(best), 0, 8
         while done < len(order) and bound[order[done]] >= least:
             chosen = np.zeros(len(bound), bool)
             chosen[order[done : done + step]] = True
@@ -165,12 +179,12 @@ class Index:
             size = self.block_size[at[here]]
             p = _spans(self.block_from[at[here]], size)
             score += np.bincount(self.entry[p], np.repeat(share[here], size) * self.value[p], n)
-            least, done, step = max(least, kth()), done + step, step * 4
+            least, done, step = max(least, kth(np.maximum.reduceat(score, start))), done + step, step * 4
         # entries of blocks not looked into lie below the k-th best
-        score = np.round(score, 5)
-        best = np.flatnonzero(score >= max(round(least, 5) - 2e-5, 1e-5))
-        best = best[np.lexsort((best, -score[best]))[:k]]
-        return list(zip(score[best].tolist(), best.tolist(), strict=True))
+        found = np.flatnonzero(score >= max(least - 2e-5, 1e-5))
+        score = np.round(score[found], 5)
+        top = np.lexsort((found, -score))[:k]
+        return list(zip(score[top].tolist(), found[top].tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]], settings: Settings, without: tuple[int, float, float] | None = None) -> float:
         toxic, total = settings.prior_weight * self.prior, settings.prior_weight
