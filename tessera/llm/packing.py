@@ -33,12 +33,12 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     """(doc_id, piece, start, length, ids_crc32, part, rank) per piece of each row of docs.
 
     A document of more than capacity tokens is cut into pieces of capacity tokens, of which the
-    first takes the remainder. rank counts the pieces of a length within a task, part the tasks.
+    first takes the remainder. The vocabulary's added tokens are recognised in texts. rank counts the pieces of a length within a task, part the tasks.
     """
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, encode = TaskContext.get().partitionId(), defaultdict(int), coder(path)[0]
+        part, seen, encode = TaskContext.get().partitionId(), defaultdict(int), coder(path, True)[0]
         for b in batches:
             out = [[] for _ in range(7)]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

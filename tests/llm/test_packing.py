@@ -53,12 +53,16 @@ def test_encoder_gives_the_tokenizers_ids(text):
     encode, decode = tokenization.coder(path)
     assert encode(text) == t.encode(text, add_special_tokens=False).ids
     assert decode(encode(text)) == text.encode()
+    t.encode_special_tokens = False
+    encode, decode = tokenization.coder(path, True)
+    assert encode(text) == t.encode(text, add_special_tokens=False).ids
+    assert decode(encode(text)) == text.encode()
 
 
 def test_pack(docs_of):
-    rows = [(1, "word " * 3000), (2, None), (3, ""), (4, "some text"), (4, "some text"), (None, "x"), *[(100 + i, "tok " * i) for i in range(60)]]
+    rows = [(1, "word " * 3000), (2, None), (3, ""), (5, "a <|endoftext|> b"), (4, "some text"), (4, "some text"), (None, "x"), *[(100 + i, "tok " * i) for i in range(60)]]
     got = packing.pack(docs_of(rows)).toPandas()
-    encode, texts = tokenization.coder(tokenization.default_vocabulary())[0], {r[0]: r[1] for r in rows}
+    encode, texts = tokenization.coder(tokenization.default_vocabulary(), True)[0], {r[0]: r[1] for r in rows}
     assert len(got[got["doc_id"] == 4]) == 2 and len(got[got["doc_id"] == 2]) == 1
     for doc_id, part in got[got["doc_id"] != 4].dropna(subset=["doc_id"]).groupby("doc_id"):
         ids, at = np.array([*encode(texts[doc_id] or ""), 2], "<u4"), 0
