@@ -2,9 +2,9 @@
 
 A multinomial logistic regression over word unigrams and bigrams is trained on the templates below
 (whole, cut and set among ordinary words) against an unknown class of ordinary paragraphs of the
-corpus. Its temperature is fitted on examples held back. A paragraph is reported if a family's
-calibrated probability beats the unknown class and the paragraph shares enough of the shingles of
-one of that family's templates.
+corpus. Its temperature is fitted on examples held back. It predicts a paragraph's family by
+calibrated probability; the prediction counts if the paragraph holds enough of the shingles of one
+of that family's templates.
 """
 
 from __future__ import annotations
@@ -108,18 +108,50 @@ class Classifier:
     def label(self, words: list[bytes]) -> tuple[str, float, float] | None:
         """(family, probability, template share) of a paragraph, or None if it is no notice.
 
-        Families without a confirming template are out of the running, so a paragraph without a
-        confirmed family is unknown whatever its probabilities.
+        The classifier predicts; its family counts if it is not the unknown one and if the paragraph
+        holds enough of one of its templates. A paragraph without any pair of words of a template
+        can't be confirmed and is not looked at.
         """
         if not any(p in self.pairs for p in zip(words, words[1:], strict=False)):
             return None
-        confirmed = self._confirm(words)
-        if not confirmed:
-            return None
         p = _softmax(self._vector(words)[None, :] @ self.weights / self.temperature)[0]
-        best = max(confirmed, key=lambda f: (p[self.families.index(f)], f))
-        prob = float(p[self.families.index(best)])
-        return (best, prob, confirmed[best]) if prob > p[-1] else None
+        best = int(p.argmax())
+        if best == len(self.families):
+            return None
+        share = self._confirm(words).get(self.families[best])
+        return None if share is None else (self.families[best], float(p[best]), share)
+
+    def notices(self, text: str) -> list[tuple[int, str, float, float]]:
+        """(line, family, probability, share) of the notices of a text, in order.
+
+        A line is a paragraph by itself; neighbouring lines that share words with templates and
+        are no notices by themselves are one paragraph (blank lines and others end it), so wrapped
+        notices and comment blocks are found. Its line is that of its first.
+        """
+        found: list[tuple[int, str, float, float]] = []
+        open_from, lines, held = 0, 0, []
+
+        def close() -> None:
+            nonlocal lines, held
+            if lines > 1 and (got := self.label(held)):
+                found.append((open_from, *got))
+            lines, held = 0, []
+
+        for k, line in enumerate(text.split("\n")):
+            words = words_of(line)
+            # the last words of a line and the first of the next may be all that it shares
+            touching = words and (any(p in self.pairs for p in zip(words, words[1:], strict=False)) or bool(held) and (held[-1], words[0]) in self.pairs)
+            got = self.label(words) if touching else None
+            if got or not touching:
+                close()
+                if got:
+                    found.append((k, *got))
+                continue
+            if not lines:
+                open_from = k
+            lines, held = lines + 1, held + words
+        close()
+        return sorted(found)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -130,22 +162,23 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, families, n_notices, notices) per row of docs.
 
-    Paragraphs are lines. families: names of the families found, sorted and comma-joined (empty:
-    none); notices: (line from 0, family, probability, template share) in order. Null and empty
-    texts have none; repeated rows are scanned each. The unknown class learns from at most
+    Paragraphs are lines, and neighbouring lines that look like one wrapped notice. families: names
+    of the families found, sorted and comma-joined (empty: none); notices: (line from 0, family,
+    probability, template share) in order. Null and empty texts have none, an empty table gives
+    none, repeated rows are scanned each. The unknown class learns from at most
     SAMPLE_PARAGRAPHS paragraphs of about SAMPLE_DOCS documents of least hash.
     """
     spark, src = docs.sparkSession, texts(docs)
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     picked = src.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("p"))
-    ordinary = [r["p"] for r in picked.select(F.substring("p", 1, 2000).alias("p")).distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PARAGRAPHS).collect()]
+    ordinary = [r["p"] for r in picked.select("p").distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PARAGRAPHS).collect()]
     shared = spark.sparkContext.broadcast(Classifier(ordinary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         kind = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("share", pa.float64())]))
         for b in batches:
-            notices = [[dict(zip(("line", "family", "probability", "share"), (k, *got), strict=True)) for k, line in enumerate(t.split("\n")) if (got := model.label(words_of(line)))] for t in b.column(1).to_pylist()]
+            notices = [[dict(zip(("line", "family", "probability", "share"), got, strict=True)) for got in model.notices(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([",".join(sorted({x["family"] for x in n})) for n in notices]), pa.array([len(n) for n in notices], pa.int64()), pa.array(notices, kind)], ["doc_id", "families", "n_notices", "notices"])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, families string, n_notices long, notices array<struct<line:int,family:string,probability:double,share:double>>")
