@@ -182,7 +182,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_k(lexical.bm25(table(spark, sf_dir, "documents"), _terms(spark)), 10)
 
 
-ITEM_TERMS_SQL = f"q AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice(list_distinct({TERMS_SQL}), 1, 100)) AS term FROM benchmark)"
+ITEM_TERMS_SQL = f"q AS (SELECT DISTINCT item_id AS query_id, unnest(list_distinct({TERMS_SQL})) AS term FROM benchmark)"
 RANKED_SQL = f"""{BM25_SQL}, {ITEM_TERMS_SQL}, s AS (SELECT query_id, doc_id, round(sum(w), 4) AS score FROM w JOIN q USING (term) GROUP BY ALL),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10)"""
 
@@ -390,6 +390,62 @@ def argument_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.argument_chunks(forest, structure.bodies(blocks, forest))
 
 
+#: Nations, their customers and the orders of these as a forest of sections; types, headings and texts come from their columns.
+NATION_KINDS, CUSTOMER_KINDS = ("heading", "contention", "heading", "impact", "heading"), ("heading", "link", "heading", "answer", "heading", "impact", "heading", "solvency", "kritik", "claim", "heading")
+ORDER_KINDS = ("heading", "warrant", "voters", "heading", "heading", "heading", "subpoint", "heading", "heading", "turn", "heading", "heading", "advantage")
+_PICK = lambda kinds, key: f"list_extract([{', '.join(repr(k) for k in kinds)}], CAST({key} % {len(kinds)} + 1 AS INTEGER))"
+TREE_SQL = f"""n AS (SELECT n_regionkey AS doc_id, 'n' || n_nationkey AS section_id, NULL AS parent_id, ['n' || n_nationkey] AS path, -1 - n_nationkey AS pos,
+   {_PICK(NATION_KINDS, "n_nationkey")} AS t, n_name AS h, CASE WHEN n_nationkey % 3 = 0 THEN 'of ' || n_regionkey END AS body FROM nation
+  UNION ALL SELECT n_regionkey, 'c' || c_custkey, 'n' || n_nationkey, ['n' || n_nationkey, 'c' || c_custkey], 100000000 * c_custkey,
+   {_PICK(CUSTOMER_KINDS, "c_custkey")}, CASE WHEN c_custkey % 5 > 0 THEN c_name ELSE ' ' END, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT n_regionkey, 'o' || o_orderkey, 'c' || c_custkey, ['n' || n_nationkey, 'c' || c_custkey, 'o' || o_orderkey], 100000000 * c_custkey + 1 + o_orderkey,
+   {_PICK(ORDER_KINDS, "o_orderkey")}, o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE o_orderstatus END FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+_IN = lambda names: "(" + ", ".join(f"'{x}'" for x in names) + ")"
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nations, customers, orders = (table(spark, sf_dir, x) for x in ("nation", "customer", "orders"))
+    pick = lambda kinds, key: F.element_at(F.array(*map(F.lit, kinds)), (F.col(key) % len(kinds) + 1).cast("int"))
+    under = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    deep = orders.join(under, F.col("o_custkey") == F.col("c_custkey"))
+    nid, cid, oid = (F.concat(F.lit(x), F.col(k).cast("string")) for x, k in (("n", "n_nationkey"), ("c", "c_custkey"), ("o", "o_orderkey")))
+    at = F.lit(100_000_000).cast("long") * F.col("c_custkey")
+
+    def rows(df: DataFrame, path: list[Column], pos: Column, kind: Column, heading: Column, body: Column) -> DataFrame:
+        parent = path[-2] if len(path) > 1 else F.lit(None).cast("string")
+        return df.select(F.col("n_regionkey").alias("doc_id"), path[-1].alias("section_id"), parent.alias("parent_id"), F.array(*path).alias("path"), pos.cast("long").alias("pos"), kind.alias("section_type"), heading.alias("heading"), body.alias("body"))
+
+    tree = rows(nations, [nid], -1 - F.col("n_nationkey"), pick(NATION_KINDS, "n_nationkey"), F.col("n_name"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("of "), F.col("n_regionkey").cast("string"))))
+    tree = tree.unionByName(rows(under, [nid, cid], at, pick(CUSTOMER_KINDS, "c_custkey"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_name")).otherwise(" "), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))))
+    tree = tree.unionByName(rows(deep, [nid, cid, oid], at + 1 + F.col("o_orderkey"), pick(ORDER_KINDS, "o_orderkey"), F.col("o_orderpriority"), F.when(F.col("o_orderkey") % 4 == 0, " ").otherwise(F.col("o_orderstatus"))))
+    tree = materialize(tree, "forest")
+    return tree.drop("body"), tree.where("body is not null").select("section_id", "body", F.array().cast("array<bigint>").alias("places"))
+
+
+@query(rf"""WITH {TREE_SQL}, m AS (SELECT doc_id, section_id, parent_id, path, pos, t, CASE WHEN trim(h) <> '' THEN h END AS h, CASE WHEN trim(body) <> '' THEN body END AS body FROM n),
+ u AS (SELECT section_id, unnest(path) AS a, generate_subscripts(path, 1) AS k FROM m),
+ up AS (SELECT u.section_id, list(m.t ORDER BY k) AS ts, list(m.h ORDER BY k) AS hs, list(a ORDER BY k) AS ids, list(m.pos ORDER BY k) AS ps FROM u JOIN m ON m.section_id = a GROUP BY 1),
+ ch AS (SELECT parent_id AS section_id, bool_or(t = 'heading') AS plain_child FROM m WHERE parent_id IS NOT NULL GROUP BY 1),
+ rt AS (SELECT path[1] AS root, bool_or(t IN {_IN(structure.STRONG)}) AS strong FROM m GROUP BY 1),
+ ro AS (SELECT section_id AS root, body IS NULL AND plain_child IS NOT NULL AND (t = 'heading' OR plain_child) AS org FROM m LEFT JOIN ch USING (section_id) WHERE len(path) = 1),
+ f AS (SELECT m.*, ts, hs, ids, ps, coalesce(plain_child, false) AS pc,
+   CASE WHEN strong THEN list_filter(list_zip(ids, ts), lambda x: x[2] IN {_IN(structure.STRONG)})[1][1] WHEN org THEN path[2] ELSE path[1] END AS arg,
+   CASE WHEN t = 'heading' THEN coalesce(list_filter(ts[:-2], lambda x: x IN {_IN(structure.INHERITED)})[-1], 'heading') ELSE t END AS kind
+   FROM m JOIN up USING (section_id) LEFT JOIN ch USING (section_id) JOIN rt ON rt.root = path[1] JOIN ro ON ro.root = path[1]),
+ lv AS (SELECT *, 'argument' AS lev FROM f WHERE arg = section_id UNION ALL SELECT *, 'submodule' FROM f WHERE arg = section_id AND t = 'heading' AND len(path) > 1 AND kind <> 'heading'
+   UNION ALL SELECT *, 'submodule' FROM f WHERE arg IS NOT NULL AND arg <> section_id AND NOT (body IS NULL AND pc)),
+ sub AS (SELECT u.a AS section_id, string_agg(concat_ws(chr(10) || chr(10), h, body), chr(10) || chr(10) ORDER BY pos) FILTER (WHERE h IS NOT NULL OR body IS NOT NULL) AS txt, list(pos ORDER BY pos) AS sps FROM u JOIN m USING (section_id) GROUP BY 1)
+ SELECT lv.doc_id || ':' || lev || ':' || substr(sha256(lv.doc_id || '|' || lev || '|' || lv.section_id), 1, 24) AS chunk_id, lev AS chunk_level, kind AS section_type, lv.h AS heading, am.h AS argument_heading, lv.hs[-2] AS parent_heading,
+  array_to_string(list_filter(hs, lambda x: x IS NOT NULL), ' > ') AS heading_path, CASE WHEN lev = 'submodule' THEN lv.doc_id || ':argument:' || substr(sha256(lv.doc_id || '|argument|' || arg), 1, 24) END AS parent_chunk_id,
+  array_to_string(list_filter(list_append(list_filter(hs[:-2], lambda x: x IS NOT NULL), txt), lambda x: x IS NOT NULL), chr(10) || chr(10)) AS text,
+  array_to_string(list_sort(list_distinct(list_concat(ps[:-2], sps))), ',') AS places
+ FROM lv JOIN sub USING (section_id) JOIN m am ON am.section_id = arg""")
+def contextual_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Argument and submodule chunks of three levels of sections."""
+    got = structure.argument_chunks(*_forest(spark, sf_dir))
+    return got.select("chunk_id", "chunk_level", "section_type", "heading", "argument_heading", "parent_heading", F.array_join("heading_path", " > ").alias("heading_path"), "parent_chunk_id", "text", F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"))
+
+
 @query(r"""SELECT conv_id, turn, CASE WHEN len(f) = 1 THEN f[1] END AS category, CASE WHEN len(f) = 1 THEN 'notes' WHEN len(f) > 1 THEN 'conflict' ELSE 'none' END AS source
  FROM (SELECT conv_id, turn, list_distinct(list_filter(list_transform(string_split_regex(note, '[\n.!?;]+'), lambda c: CASE WHEN regexp_matches(trim(c), '(?i)^(?:i am|i''m)\s+(?:a\s+)?(?:tech|technical)\s+judge\b') THEN 'tech'
   WHEN regexp_matches(trim(c), '(?i)^(?:i am|i''m)\s+(?:a\s+)?flow\s+judge\b') THEN 'flow' WHEN regexp_matches(trim(c), '(?i)^(?:i am|i''m)\s+(?:a\s+)?flay\s+judge\b') THEN 'flay'
@@ -425,12 +481,15 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.gaps(expected, d.where("n_chars > 5000"))
 
 
-@query(r"""SELECT item_id, source_id, contains(regexp_replace(lower(d.text), '\s+', ' ', 'g'), trim(regexp_replace(lower(b.quote), '\s+', ' ', 'g'))) AS held
- FROM (SELECT item_id, text AS quote, unnest([item_id, item_id * 7 % 1000]) AS source_id FROM benchmark) b JOIN documents d ON d.doc_id = b.source_id""")
+@query(r"""WITH m AS (SELECT max(doc_id) + 2 AS n FROM documents), b AS (SELECT item_id, text AS quote, unnest([item_id, (item_id * 2654435761) % n]) AS source_id FROM benchmark, m)
+ SELECT item_id, source_id, coalesce(contains(regexp_replace(lower(d.text), '\s+', ' ', 'g'), trim(regexp_replace(lower(b.quote), '\s+', ' ', 'g'))), false) AS held FROM b LEFT JOIN documents d ON d.doc_id = b.source_id""")
 def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cited = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.explode(F.array("item_id", F.col("item_id") * 7 % 1000)).alias("source_id"))
+    """Citations spread over all documents, some of them of sources that are missing."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
-    return validation.quotes_within(cited.join(d.select("source_id"), "source_id", "left_semi"), d).select("item_id", "source_id", "held")
+    most = d.agg((F.max("source_id") + 2).alias("n"))
+    items = table(spark, sf_dir, "benchmark").join(F.broadcast(most))
+    cited = items.select("item_id", F.col("text").alias("quote"), F.explode(F.array("item_id", F.col("item_id") * 2654435761 % F.col("n"))).alias("source_id"))
+    return validation.quotes_within(cited, d).select("item_id", "source_id", "held")
 
 
 @query(r"""WITH s AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM benchmark)

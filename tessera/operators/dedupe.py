@@ -34,6 +34,7 @@ class Settings:
     bucket_ratio: float = 1.25
     minimum_characters: int = 40
     anchors: int = 6
+    anchor_share: float = 0.01  # of all units that an anchor may occur in
 
 
 def compatibility(level: Column, section: Column) -> Column:
@@ -80,7 +81,8 @@ def member_digest(rows: DataFrame) -> DataFrame:
 
 def exact_groups(chunks: DataFrame) -> DataFrame:
     """(duplicate_group_id, members, first_member) of units with two chunks or more."""
-    rows = keyed(chunks).select("unit", "chunk_id")
+    # texts are normalised once; what follows reads two short columns
+    rows = materialize(keyed(chunks).select("unit", "chunk_id"), "members")
     many = rows.groupBy("unit").agg(F.min("chunk_id").alias("first_member"), F.count("*").alias("n")).where("n > 1")
     digests = member_digest(rows.join(many.select("unit"), "unit", "left_semi"))
     return digests.join(many, "unit").select(F.concat(F.lit("dup_"), F.substring("digest", 1, 16)).alias("duplicate_group_id"), "members", "first_member")
@@ -121,7 +123,7 @@ def document_frequency(unit_rows: DataFrame) -> DataFrame:
 
 def blocking_keys(unit_rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(uid, kind, chars, bucket, anchor): each long enough unit under its rarest tokens and its first and last two."""
-    total = unit_rows.agg(F.greatest(F.lit(2), F.floor(F.count("*") / 100)).alias("df_limit"))
+    total = unit_rows.agg(F.greatest(F.lit(2), F.floor(F.count("*") * settings.anchor_share)).alias("df_limit"))
     df = document_frequency(unit_rows).join(F.broadcast(total), F.col("df") <= F.col("df_limit")).drop("df_limit")
     long = unit_rows.where(F.length("norm") >= settings.minimum_characters).select("uid", "kind", "norm", F.length("norm").alias("chars"), T.significant(F.col("norm")).alias("tokens"))
     spots = long.select("uid", F.posexplode("tokens").alias("pos", "token"), F.size("tokens").alias("n"))
@@ -248,6 +250,6 @@ def near_groups(chunks: DataFrame, settings: Settings = Settings()) -> DataFrame
 def statistics(chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row: chunks, units, possible pairs, candidate pairs."""
     u = units(chunks)
-    a = u.agg(F.sum("members").alias("chunks"), F.count("*").alias("units"), (F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("possible_pairs"))
+    a = u.agg(F.sum("members").alias("chunks"), F.count("*").alias("units"), F.expr("count(*) * (count(*) - 1) div 2").alias("possible_pairs"))
     b = candidate_pairs(u, settings).agg(F.count("*").alias("candidate_pairs"))
     return a.join(b)

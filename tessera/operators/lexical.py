@@ -96,7 +96,10 @@ def bm25(docs: DataFrame, queries: DataFrame, all_terms: bool = False) -> DataFr
     wanted = queries.select("query_id", "term").distinct()
     size = lengths(docs)
     stats = size.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("mean_dl"))
-    hits = postings(docs).join(wanted.select("term").distinct(), "term", "left_semi")
+    # the words are cut to those asked for before they are counted, so only these shuffle
+    words = docs.select("doc_id", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term"))
+    asked = words.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    hits = asked
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl")))

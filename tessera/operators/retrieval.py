@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.dedupe import similarity
 
 # Vocabularies and weights of the scoring model.
 INTENTS = {
@@ -225,30 +226,37 @@ def diversified(pool: DataFrame, k: int, settings: Settings = Settings()) -> Dat
     s, most = settings, settings.semantic_pool + settings.lexical_pool
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     cut = pool.withColumn("at", F.row_number().over(w)).where(F.col("at") <= most)
-    rows = cut.select("query_id", "doc_id", "score", "section_type", "parent", "document", T.word_set(F.coalesce("text", F.lit(""))).alias("words"))
+    rows = cut.select("query_id", "doc_id", "score", F.lower("section_type").alias("section_type"), "parent", "document", T.normalized(F.coalesce("text", F.lit(""))).alias("norm"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        left = [dict(r, words=set(r["words"])) for r in part.sort_values("doc_id").to_dict("records")]
+        left = part.sort_values("doc_id").to_dict("records")
         chosen: list[dict] = []
 
-        def penalty(r: dict) -> float:
-            worst = 0.0
-            for c in chosen:
-                if r["parent"] is not None and r["parent"] == c["parent"]:
-                    worst = max(worst, s.same_parent)
-                if r["document"] == c["document"]:
-                    worst = max(worst, s.same_document)
-                union = len(r["words"] | c["words"])
-                like = len(r["words"] & c["words"]) / union if union else 1.0
-                if like >= s.redundant_from:
-                    worst = max(worst, like * s.text_redundancy)
-            return worst + s.repeated_function * min(2, sum(c["section_type"] == r["section_type"] for c in chosen))
-
+        def like(a: str, b: str) -> float:
+            # characters in order can't agree on more than the shorter text has
+            if not a or not b or 0.7 * 2 * min(len(a), len(b)) / (len(a) + len(b)) + 0.3 < s.redundant_from:
+                return float(a == b)
+            return similarity(a, b)
+
+        def penalty(r: dict, c: dict) -> float:
+            """What r loses to a chosen c, but for its repeated function."""
+            worst = s.same_parent if r["parent"] is not None and r["parent"] == c["parent"] else 0.0
+            if r["document"] == c["document"]:
+                worst = max(worst, s.same_document)
+            above = like(r["norm"], c["norm"]) - s.redundant_from
+            return max(worst, above / (1 - s.redundant_from) * s.text_redundancy) if above >= 0 else worst
+
+        for r in left:
+            r["worst"], r["same"] = 0.0, 0
+        adjusted = lambda r: r["score"] - round(r["worst"] + s.repeated_function * min(2, r["same"]), 6)
         while left and len(chosen) < k:
-            best = max(left, key=lambda r: (round(r["score"] - penalty(r), 6), -r["doc_id"]))
-            best["adjusted"] = round(best["score"] - penalty(best), 6)
+            best = max(left, key=lambda r: (adjusted(r), -r["doc_id"]))
+            best["adjusted"] = round(adjusted(best), 6)
             left.remove(best)
             chosen.append(best)
+            for r in left:
+                r["worst"] = max(r["worst"], penalty(r, best))
+                r["same"] += r["section_type"] == best["section_type"]
         return pd.DataFrame([(c["query_id"], c["doc_id"], c["adjusted"], i + 1) for i, c in enumerate(chosen)], columns=["query_id", "doc_id", "adjusted", "pick"])
 
     return rows.groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, adjusted double, pick int")

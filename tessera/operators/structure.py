@@ -37,6 +37,8 @@ CONTAINERS = ("advantage", "disadvantage", "contention", "theory_shell", "kritik
 THEORY_CHILDREN = ("answer", "competing_interpretations", "counter_interpretation", "counter_standards", "drop_the_argument", "drop_the_team", "interpretation", "reasonability", "standards", "violation", "voters", "weighing_mechanism")
 KRITIK_CHILDREN = ("alternative", "framework", "impact", "internal_link", "link", "permutation", "role_of_the_ballot", "root_cause", "thesis")
 CASE_CHILDREN = ("claim", "comparative", "counterplan", "defense", "framework", "harms", "impact", "inherency", "internal_link", "link", "mechanism", "offense", "plan", "problem", "solvency", "uniqueness", "warrant")
+STRONG = ("advantage", "answer", "contention", "disadvantage", "kritik", "theory_shell")
+INHERITED = ("alternative", "answer", "claim", "counter_interpretation", "counter_standards", "framework", "framing", "harms", "impact", "impact_calculus", "inherency", "internal_link", "interpretation", "link", "solvency", "standards", "uniqueness", "value", "value_criterion", "voters", "warrant")
 OUTLINE = r"^(\d+|[A-Za-z]|[ivxlcdmIVXLCDM]+)[.)]\s+(.+)$"
 
 
@@ -55,17 +57,22 @@ LABEL = "(?i)^(" + "|".join(a.replace(" ", r"\s+") for _, aliases in LABELS for
 TYPE_OF = {a: name for name, aliases in reversed(LABELS) for a in reversed(aliases.split("|"))}
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once for each row, not again wherever it is named; generated code stays small."""
+    return df.select(*[F.col(c) for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def typed(blocks: DataFrame) -> DataFrame:
     """Adds outline_label and kind, the type that a heading's words name or null, to blocks with body."""
     names = F.create_map(*[F.lit(x) for pair in TYPE_OF.items() for x in pair])
     out = blocks.withColumn("outline_label", F.regexp_extract("body", OUTLINE, 1))
-    out = out.withColumn("inner", F.when(F.col("outline_label") != "", F.regexp_extract("body", OUTLINE, 2)).otherwise(F.col("body")))
+    out = _once(out, "inner", F.when(F.col("outline_label") != "", F.regexp_extract("body", OUTLINE, 2)).otherwise(F.col("body")))
     inner = F.col("inner")
     kind = F.when(inner.rlike(r"(?i)^(?:at|a2|answer\s+to)(?:\s*[:\-–—]\s*|\s+).+$"), "answer")
     kind = kind.when(inner.rlike(r"(?i)^(?:kritik|k)(?:\s*[:\-–—]\s*.+)?\s*:?\s*$|^.+\s+(?:kritik|k)\s*:?\s*$"), "kritik")
     kind = kind.when(inner.rlike(r"(?i)^.+\s+theory(?:\s+shell)?\s*:?\s*$") & (F.lower(inner) != "theory shell"), "theory_shell")
-    label = F.lower(F.regexp_extract(inner, LABEL, 1))
-    return out.withColumn("kind", kind.otherwise(F.coalesce(F.try_element_at(names, label), F.when(F.col("outline_label") != "", "subpoint")))).drop("inner")
+    out = _once(out, "label", F.lower(F.regexp_extract(inner, LABEL, 1)))
+    return _once(out, "kind", kind.otherwise(F.coalesce(F.try_element_at(names, "label"), F.when(F.col("outline_label") != "", "subpoint")))).drop("inner", "label")
 
 
 def detected(blocks: DataFrame) -> DataFrame:
@@ -77,17 +84,17 @@ def detected(blocks: DataFrame) -> DataFrame:
     t = F.trim(F.coalesce("text", F.lit("")))
     marks = F.regexp_extract(t, r"^(#{1,6})\s+\S", 1)
     plain = F.when(marks != "", F.regexp_replace(t, r"^#{1,6}\s+|\s*#*$", "")).otherwise(t)
-    b = blocks.withColumn("body", F.regexp_replace(plain, r"\s+", " ")).withColumn("level", F.coalesce("style_level", F.when(marks != "", F.length(marks))).cast("int"))
+    b = _once(blocks, "body", F.regexp_replace(plain, r"\s+", " ")).withColumn("level", F.coalesce("style_level", F.when(marks != "", F.length(marks))).cast("int"))
     # only short lines are looked at further
-    b = typed(b.withColumn("body", F.when(short(F.col("body")), F.col("body"))))
+    b = typed(_once(b, "body", F.when(short(F.col("body")), F.col("body"))))
     body, kind = F.col("body"), F.col("kind")
     ended = body.rlike(r"[.!?;,]$")
     capitals = body.rlike(r"\p{Lu}") & ~body.rlike(r"\p{Ll}")
     method = F.when(body.isNull(), None).when(F.col("level").isNotNull(), "style").when(kind.isNotNull() & (kind != "subpoint"), "keyword").when((F.col("outline_label") != "") & ~ended, "numbered").when(capitals & ~ended, "uppercase").when(body.endswith(":"), "colon")
-    b = b.withColumn("method", method).withColumn("outline", outline_depth(F.col("outline_label")).cast("int"))
+    b = _once(b, "method", method).withColumn("outline", outline_depth(F.col("outline_label")).cast("int"))
     confidence = F.coalesce(*[F.when(F.col("method") == k, F.lit(v)) for k, v in CONFIDENCE.items()])
     is_heading = F.col("method").isNotNull()
-    return b.select(*blocks.columns, F.when(is_heading, body).alias("heading"), "method", confidence.alias("confidence"), "level", F.when(is_heading, F.coalesce("kind", F.lit("section"))).alias("section_type"), "outline")
+    return b.select(*blocks.columns, F.when(is_heading, body).alias("heading"), "method", confidence.alias("confidence"), "level", F.when(is_heading, F.coalesce("kind", F.lit("heading"))).alias("section_type"), "outline")
 
 
 def wanted_parent(kind: str, open_sections: list[dict]) -> int | None:
@@ -123,7 +130,7 @@ def sections(headings: DataFrame) -> DataFrame:
                     want = stack[0]["level"] + outline
                 elif at is not None:
                     want = stack[at]["level"] + 1
-                elif kind == "section" and stack and stack[-1]["kind"] != "section":
+                elif kind == "heading" and stack and stack[-1]["kind"] != "heading":
                     want = stack[-1]["level"] + 1
                 else:
                     want = 1
@@ -146,29 +153,65 @@ def sections(headings: DataFrame) -> DataFrame:
 
 
 def bodies(blocks: DataFrame, forest: DataFrame) -> DataFrame:
-    """(doc_id, section_id, body): the text under each section's own heading; section_id null before the first."""
+    """(doc_id, section_id, body, places): the text under each section's own heading and where it stands; section_id null before the first."""
     marked = blocks.join(forest.select("doc_id", "pos", "section_id"), ["doc_id", "pos"], "left")
     under = F.last("section_id", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     text = marked.withColumn("under", under).where(F.col("section_id").isNull() & (F.trim("text") != ""))
-    return text.groupBy("doc_id", F.col("under").alias("section_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("body"))
+    lines = text.groupBy("doc_id", F.col("under").alias("section_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("lines"))
+    return lines.select("doc_id", "section_id", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("body"), F.transform("lines", lambda x: x["pos"]).alias("places"))
 
 
 def argument_chunks(forest: DataFrame, body: DataFrame) -> DataFrame:
-    """(chunk_id, doc_id, chunk_level, section_type, heading, parent_chunk_id, blocks): the topmost containers are arguments, what is below them submodules.
-
-    A root without a container is an argument itself. Subtrees come from path prefixes, so no join recurses.
+    """(chunk_id, doc_id, chunk_level, section_type, heading, argument_heading, parent_heading, heading_path, parent_chunk_id, text, places).
+
+    Arguments: the topmost strong sections of a tree; in a tree without any, the root, or its
+    children where it only organises them (no text of its own, and it or a child is a plain
+    heading). Submodules: all below an argument but plain organisers, and arguments that are plain
+    headings of an inherited type. A plain heading takes the type of its nearest ancestor whose type
+    carries over. text: the headings above, then headings and bodies of the whole subtree in order,
+    a blank line between; places: the blocks of these, rising. forest: (doc_id, pos, section_id,
+    parent_id, path, section_type, heading), body: (section_id, body, places). Subtrees and
+    ancestors come from path prefixes, so no join recurses.
     """
-    typed = forest.select("doc_id", "section_id", "path", "section_type", "heading")
-    strong = forest.where(F.col("section_type").isin(*CONTAINERS)).select("doc_id", F.col("section_id").alias("strong_id"))
-    each = typed.select("doc_id", "section_id", F.posexplode("path").alias("depth", "ancestor"))
-    tops = each.join(strong, (each["doc_id"] == strong["doc_id"]) & (F.col("ancestor") == F.col("strong_id"))).groupBy(each["doc_id"], "section_id").agg(F.min_by("ancestor", "depth").alias("top"))
-    argued = typed.join(tops, ["doc_id", "section_id"], "left")
-    argument = F.coalesce("top", F.element_at("path", 1))
+    plain = lambda c: F.col(c) == "heading"
+    said = F.when(F.trim("heading") != "", F.col("heading"))
+    text = F.when(F.trim("body") != "", F.col("body"))
+    node = forest.join(body.select("section_id", "body", "places"), "section_id", "left").select("doc_id", "section_id", "parent_id", "path", "pos", "section_type", said.alias("heading"), text.alias("body"), "places")
+    up = node.select("section_id", F.posexplode("path").alias("k", "above"))
+    facts = node.select(F.col("section_id").alias("above"), F.col("section_type").alias("t"), F.col("heading").alias("h"), F.col("pos").alias("p"))
+    lines = up.join(facts, "above").groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("k", "above", "t", "h", "p"))).alias("line"))
+    below = node.where("parent_id is not null").groupBy(F.col("parent_id").alias("section_id")).agg(F.max(plain("section_type")).alias("plain_child"))
+    roots = node.groupBy(F.element_at("path", 1).alias("root")).agg(F.max(F.col("section_type").isin(*STRONG)).alias("root_strong"))
+    n = node.join(lines, "section_id").join(below, "section_id", "left").withColumn("root", F.element_at("path", 1)).join(roots, "root")
+    organises = F.col("body").isNull() & F.col("plain_child").isNotNull() & (plain("section_type") | F.col("plain_child"))
+    tops = n.where(F.size("path") == 1).select(F.col("section_id").alias("root"), organises.alias("root_organises"))
+    n = n.join(tops, "root")
+    strong = F.try_element_at(F.filter("line", lambda x: x["t"].isin(*STRONG)), F.lit(1))["above"]
+    argument = F.when(F.col("root_strong"), strong).when(F.col("root_organises"), F.try_element_at("path", F.lit(2))).otherwise(F.col("root"))
+    carried = F.element_at(F.concat(F.array(F.lit("heading")), F.transform(F.filter(F.slice("line", 1, F.size("line") - 1), lambda x: x["t"].isin(*INHERITED)), lambda x: x["t"])), -1)
+    n = n.withColumn("argument", argument).where("argument is not null").withColumn("kind", F.when(plain("section_type"), carried).otherwise(F.col("section_type")))
+    own = F.col("argument") == F.col("section_id")
+    organiser = F.col("body").isNull() & F.coalesce("plain_child", F.lit(False))
+    promoted = plain("section_type") & (F.size("path") > 1) & (F.col("kind") != "heading")
+    levels = F.filter(F.array(F.when(own, "argument"), F.when(own & promoted | ~own & ~organiser, "submodule")), lambda x: x.isNotNull())
+    n = n.withColumn("chunk_level", F.explode(levels))
+
+    # what lies in each chunk's subtree, in order
+    parts = node.select("path", "pos", F.concat_ws("\n\n", "heading", "body").alias("text"), F.concat(F.array("pos"), F.coalesce("places", F.expr("slice(array(pos), 1, 0)"))).alias("places"))
+    inside = parts.select(F.explode("path").alias("top"), F.struct("pos", "text", "places").alias("part")).join(n.select(F.col("section_id").alias("top")).distinct(), "top", "left_semi")
+    trees = inside.groupBy(F.col("top").alias("section_id")).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    heads = node.select(F.col("section_id").alias("argument"), F.col("heading").alias("argument_heading"))
+    n = n.join(trees, "section_id").join(heads, "argument")
+    above = F.slice("line", 1, F.size("line") - 1)
+    named = lambda line: F.filter(F.transform(line, lambda x: x["h"]), lambda h: h.isNotNull())
+    texts = F.filter(F.concat(named(above), F.transform("parts", lambda x: x["text"])), lambda x: x != "")
+    places = F.array_sort(F.array_distinct(F.concat(F.transform(above, lambda x: x["p"]), F.flatten(F.transform("parts", lambda x: x["places"])))))
     chunk = lambda level, sid: F.concat_ws(":", F.col("doc_id").cast("string"), level, F.substring(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), level, sid), 256), 1, 24))
-    level = F.when(F.col("section_id") == argument, "argument").when(F.array_contains("path", argument) & (F.array_position("path", argument) < F.size("path")), "submodule")
-    rows = argued.withColumn("chunk_level", level).withColumn("argument_id", argument).where("chunk_level is not null")
-    out = rows.join(body, ["doc_id", "section_id"], "left")
-    return out.select(chunk(F.col("chunk_level"), F.col("section_id")).alias("chunk_id"), "doc_id", "chunk_level", "section_type", "heading", F.when(F.col("chunk_level") == "submodule", chunk(F.lit("argument"), F.col("argument_id"))).alias("parent_chunk_id"), F.concat_ws("\n\n", "heading", "body").alias("text"))
+    return n.select(
+        chunk(F.col("chunk_level"), F.col("section_id")).alias("chunk_id"), "doc_id", "chunk_level", F.col("kind").alias("section_type"), "heading", "argument_heading",
+        F.try_element_at(F.transform(above, lambda x: x["h"]), F.lit(-1)).alias("parent_heading"), named(F.col("line")).alias("heading_path"),
+        F.when(F.col("chunk_level") == "submodule", chunk(F.lit("argument"), F.col("argument"))).alias("parent_chunk_id"), F.array_join(texts, "\n\n").alias("text"), places.alias("places"),
+    )
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:

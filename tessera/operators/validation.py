@@ -6,16 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.tables import materialize
 
 
 def competition_rank(scores: DataFrame, total: str, key: str) -> DataFrame:
-    """Adds rank: one more than the number of greater totals, so ties share.
+    """Adds rank: one more than the number of greater totals, so ties share; rows without a total come last.
 
-    Counts of equal totals are added up from the top, so only distinct totals are ordered together.
+    Distinct totals are dealt out by range, counted within their part, and each part starts after
+    the rows of the parts above it, so no task orders all of them.
     """
-    by_total = scores.groupBy(total).agg(F.count("*").alias("n"))
-    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc(total)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return scores.join(by_total.select(total, (above + 1).alias("rank")), total)
+    by_total = scores.groupBy(F.col(total).alias("value")).agg(F.count("*").alias("n"))
+    dealt = by_total.repartitionByRange(F.desc_nulls_last("value")).select("value", "n", F.spark_partition_id().alias("part"))
+    dealt = materialize(dealt, "totals")
+    within = Window.partitionBy("part").orderBy(F.desc_nulls_last("value")).rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each partition
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("many"))
+    before = sums.select("part", F.coalesce(F.sum("many").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranks = dealt.withColumn("above", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(before), "part").select("value", (F.col("before") + F.col("above") + 1).alias("rank"))
+    return scores.join(ranks, scores[total].eqNullSafe(F.col("value"))).drop("value")
 
 
 def quotes_within(quotes: DataFrame, sources: DataFrame) -> DataFrame:

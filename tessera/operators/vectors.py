@@ -29,16 +29,29 @@ def equal(filters: dict, allowed: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c) == v for c, v in filters.items() if v is not None], F.lit(True))
 
 
+#: Probes that are broadcast; more of them meet the vectors tile by tile.
+PROBES, TILE = 4096, 65_536
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, condition: Column | None = None) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k most similar of each query, conditions before the limit.
 
-    queries (query_id, query): a stated set, broadcast; each vector meets each query once, and
-    the best k of a query are kept by partial ranks before anything shuffles.
+    queries (query_id, query): a stated set. Up to PROBES of them are broadcast. More come in blocks
+    of about that size, vectors in tiles of about TILE, and each block meets each tile in one
+    bucket of a join: no broadcast and no task grows with either table. Partial ranks keep the best
+    k of a query before anything else shuffles.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     pool = vectors if condition is None else vectors.where(condition)
-    pairs = pool.join(F.broadcast(queries)).select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 4).alias("similarity"))
+    n = queries.count()
+    if n <= PROBES:
+        pairs = pool.join(F.broadcast(queries))
+    else:
+        blocks, tiles = -(-n // PROBES), -(-max(1, pool.count()) // TILE)
+        part = lambda df, key, own, many, other, rest: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(many))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rest - 1).cast("long"))))
+        pairs = part(pool, "vec_id", "tile", tiles, "block", blocks).join(part(queries, "query_id", "block", blocks, "tile", tiles), ["block", "tile"])
+    pairs = pairs.select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 4).alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

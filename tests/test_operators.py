@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, lexical, retrieval, rounds, store, structure, validation, vectors
+from tessera.operators import chunking, dedupe, lexical, retrieval, rounds, store, structure, validation, vectors
 from tessera.sources import files
 from tessera.streaming import telemetry
 
@@ -115,7 +116,11 @@ def test_headings_and_sections(spark):
     body = structure.bodies(blocks, forest)
     got = structure.argument_chunks(forest, body).toPandas()
     assert sorted(got["chunk_level"]) == ["argument", "argument", "submodule", "submodule", "submodule"]
-    assert got[got["section_type"] == "link"]["text"].iloc[0] == "Link: Plan helps\n\nIt raises investment."
+    link = got[got["section_type"] == "link"].iloc[0]
+    assert link["text"] == "Advantage 1: Growth\n\nLink: Plan helps\n\nIt raises investment." and list(link["places"]) == [0, 3, 4]
+    whole = got[(got["section_type"] == "advantage") & (got["chunk_level"] == "argument")].iloc[0]
+    assert whole["text"] == "Advantage 1: Growth\n\nUniqueness\n\nGrowth is low now.\n\nLink: Plan helps\n\nIt raises investment."
+    assert link["parent_chunk_id"] == whole["chunk_id"] and link["argument_heading"] == link["parent_heading"] == "Advantage 1: Growth"
 
 
 def test_windows_and_packing(spark):
@@ -135,6 +140,48 @@ def test_diversity_prefers_another_section(spark):
     assert [r["doc_id"] for r in retrieval.diversified(pool, 2).orderBy("pick").collect()] == [1, 3]
 
 
+def test_diversity_equals_a_plain_greedy_choice(spark):
+    rng = random.Random(4)
+    words = ["growth", "trade", "harm", "court", "river", "plan", "vote", "tax"]
+    base = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(6)]
+    rows = [(0, k, round(rng.random(), 3), base[k % 6] + (" more" if k % 4 else ""), rng.choice(["Link", "link", "impact"]), rng.choice(["p", "q", None]), k % 5) for k in range(40)]
+    s = retrieval.Settings()
+
+    def penalty(r, chosen):
+        worst = 0.0
+        for c in chosen:
+            worst = max(worst, s.same_parent if r[5] and r[5] == c[5] else 0, s.same_document if r[6] == c[6] else 0)
+            if (like := dedupe.similarity(r[3], c[3])) >= 0.82:
+                worst = max(worst, (like - 0.82) / 0.18 * 0.12)
+        return round(worst + s.repeated_function * min(2, sum(c[4].lower() == r[4].lower() for c in chosen)), 6)
+
+    left, chosen = list(rows), []
+    while len(chosen) < 12:
+        best = min(left, key=lambda r: (-(r[2] - penalty(r, chosen)), r[1]))
+        left.remove(best)
+        chosen.append(best)
+    pool = spark.createDataFrame(rows, "query_id long, doc_id long, score double, text string, section_type string, parent string, document long")
+    assert [r["doc_id"] for r in retrieval.diversified(pool, 12).orderBy("pick").collect()] == [r[1] for r in chosen]
+
+
+def test_nearest_in_tiles_equals_one_broadcast(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    want = sorted(map(tuple, vectors.nearest(q, v, 5).collect()))
+    monkeypatch.setattr(vectors, "PROBES", 7)
+    monkeypatch.setattr(vectors, "TILE", 11)
+    assert sorted(map(tuple, vectors.nearest(q, v, 5).collect())) == want
+
+
+def test_ranks_across_partitions(spark):
+    rows = [(i, float(i * 7 % 50)) for i in range(200)] + [(900, None)]
+    got = {r["k"]: r["rank"] for r in validation.competition_rank(spark.createDataFrame(rows, "k long, t double"), "t", "k").collect()}
+    assert len(got) == 201 and got[900] == 201
+    assert all(got[k] == 1 + sum(u > t for _, u in rows if u is not None) for k, t in rows if t is not None)
+
+
 def test_generated_queries(spark):
     r = spark.createDataFrame([(1, "THW ban corn imports", "gov")], "request_id long, motion string, side string")
     got = [(x["family"], x["text"]) for x in retrieval.generated_queries(r).orderBy("ordinal").collect()]
