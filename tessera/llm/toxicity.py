@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,9 @@ BLOCK = 64
 #: Postings of a term above which blocks of its list are bounded before they are looked at, and
 #: how many of the longest lists are kept as rows of a matrix and multiplied for TEXTS texts at a time.
 LONG, DENSE, TEXTS = 768, 512, 64
+#: Calibration: votes, and the scores that they stand for.
+Levels = tuple[np.ndarray, np.ndarray]
+LEVEL = (np.zeros(1), np.zeros(1))
 #: Texts whose scores a task remembers.
 REMEMBERED = 20_000
 
@@ -88,7 +92,6 @@ class Index:
     entry: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # postings by term and entry
     value: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     upto: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # by term: its first posting
-    levels: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))  # calibration: vote, score
     empty_score: float = 0.0
 
     def known(self, words: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +109,12 @@ class Index:
     def build(self, number: np.ndarray, tf: np.ndarray, ends: np.ndarray, labels: np.ndarray, ids: list) -> None:
         """Entries with distinct counts, one after the other: term numbers and counts up to each end, weights of labels, an id."""
         starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-        value = ((1 + np.log(tf)) * self.weight[number]).astype(np.float32)
-        size = np.sqrt(np.add.reduceat(value.astype(float) ** 2, starts)) if len(ends) else np.zeros(0)
-        value /= np.repeat(np.maximum(size, 1e-12), ends - starts).astype(np.float32)
+        value = tf.astype(np.float32)
+        np.log(value, out=value)
+        value += 1
+        value *= self.weight.astype(np.float32)[number]
+        size = np.sqrt(np.add.reduceat(value * value, starts, dtype=float)) if len(ends) else np.zeros(0)
+        value /= np.repeat(np.maximum(size, 1e-12).astype(np.float32), ends - starts)
         # vectors with the same strongest word stand side by side, which keeps block maxima tight
         strongest = np.array([number[a + int(value[a:b].argmax())] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
         order = np.lexsort((np.arange(len(ends)), strongest))
@@ -117,8 +123,9 @@ class Index:
         self.labels, self.example = labels[order].reshape(-1, 2), [ids[i] for i in order.tolist()]
         self.entries = {_key(number[a:b], tf[a:b]): int(e) for a, b, e in zip(starts.tolist(), ends.tolist(), place.tolist(), strict=True)}
         entry = np.repeat(place, ends - starts)
-        at = np.lexsort((entry, number))
+        at = np.lexsort((entry, number)).astype(np.int32)
         self.entry, self.value, number = entry[at].astype(np.uint16 if len(ends) < 1 << 16 else np.int32), value[at], number[at]
+        del at, entry, value
         self.upto = np.searchsorted(number, np.arange(len(self.terms) + 1))
         size = np.diff(self.upto)
         self.kind = np.where(size > LONG, 1, 0).astype(np.int8)
@@ -229,14 +236,15 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], rows))], ["term", "n"])
 
     got = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     at, n = got.column("term").to_numpy(), got.column("n").to_numpy()
     df = np.zeros(len(terms), np.int64)
     df[at[at >= 0]] = n[at >= 0]
     return int(n[at < 0].sum()), df
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> Index:
-    """The index of labelled examples, calibrated.
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> tuple[Broadcast, Levels]:
+    """The index of labelled examples, as shared with tasks, and its calibration.
 
     labels: (doc_id, toxic); several rows of a document count as toxic if any is; null ids and
     labels are ignored. learn says which documents of docs may lend their labels. At most
@@ -254,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
     index = Index(prior=totals.get(1, 0) / max(1, sum(totals.values())))
     index.empty_score = index.prior
     if len(kept) < 2:
-        return index
+        return spark.sparkContext.broadcast(index), LEVEL
     # at most 2 * per_class rows of two numbers
     chosen = F.broadcast(spark.createDataFrame(picked, f"learned_id {id_kind}, toxic int"))
 
@@ -282,9 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
 
     votes = examples.mapInArrow(left_out, "toxic int, vote double").where("vote is not null").toArrow()
     y = votes.column("toxic").to_numpy()
-    if len(y):
-        index.levels = isotonic(votes.column("vote").to_numpy(), y.astype(float), np.array([weight[c] for c in y.tolist()]))
-    return index
+    return shared, isotonic(votes.column("vote").to_numpy(), y.astype(float), np.array([weight[c] for c in y.tolist()])) if len(y) else LEVEL
 
 
 def _learn(index: Index, got: pa.Table, weight: dict[int, float], frequencies: Callable[[np.ndarray], tuple[int, np.ndarray]], settings: Settings) -> None:
@@ -293,8 +299,11 @@ def _learn(index: Index, got: pa.Table, weight: dict[int, float], frequencies: C
     toxic, ids = got.column("toxic").to_numpy(), got.column("doc_id").to_pylist()
     words, tf = (pc.list_flatten(got.column(c)).to_numpy() for c in ("words", "tf"))
     index.terms = np.unique(words)
-    number = np.searchsorted(index.terms, words).astype(np.int32)
-    del words
+    number = np.empty(len(words), np.int32)
+    for lo in range(0, len(words), 1 << 18):
+        number[lo : lo + (1 << 18)] = np.searchsorted(index.terms, words[lo : lo + (1 << 18)])
+    # the driver's memory is small
+    del words, got
     n_docs, df = frequencies(index.terms)
     per_word = np.repeat(toxic == 1, lengths)
     hits = [np.bincount(number[x], minlength=len(index.terms)).astype(float) for x in (per_word, ~per_word)]
@@ -310,10 +319,13 @@ def _learn(index: Index, got: pa.Table, weight: dict[int, float], frequencies: C
             continue
         g = groups.setdefault(_key(number[a:b], tf[a:b]), [0.0, 0.0, i])
         g[0], g[1], g[2] = g[0] + w * c, g[1] + w, i if ids[i] < ids[g[2]] else g[2]
-    kept = sorted(groups.values(), key=lambda g: ids[g[2]])
+    kept = sorted(groups.values(), key=lambda g: g[2])
     at = np.array([g[2] for g in kept], np.int64)
-    p = _spans((ends - lengths)[at], lengths[at])
-    index.build(number[p], tf[p], np.cumsum(lengths[at]), np.array([g[:2] for g in kept]), [ids[i] for i in at.tolist()])
+    stays = np.zeros(len(lengths), bool)
+    stays[at] = True
+    stays = np.repeat(stays, lengths)
+    number, tf = number[stays], tf[stays]
+    index.build(number, tf, np.cumsum(lengths[at]), np.array([g[:2] for g in kept]), [ids[i] for i in at.tolist()])
     if blank[1]:
         index.empty_score = (blank[0] + 0.05) / (blank[1] + 0.1)
 
@@ -321,8 +333,8 @@ def _learn(index: Index, got: pa.Table, weight: dict[int, float], frequencies: C
 class Scorer:
     """Scores texts; equal texts of a task are looked up once."""
 
-    def __init__(self, index: Index, settings: Settings):
-        self.index, self.settings, self.seen = index, settings, {}
+    def __init__(self, index: Index, levels: Levels, settings: Settings):
+        self.index, self.levels, self.settings, self.seen = index, levels, settings, {}
 
     def __call__(self, texts: list[str]) -> list[tuple[float, list]]:
         """Scores, and the ids of the nearest examples, nearest first."""
@@ -333,7 +345,7 @@ class Scorer:
         for lo in range(0, len(new), TEXTS):
             part = new[lo : lo + TEXTS]
             for (key, _), near in zip(part, index.nearest([index.known(*counted(t)) for _, t in part], self.settings.k), strict=True):
-                score = float(np.interp(index.vote(near, self.settings), *index.levels)) if near else index.empty_score
+                score = float(np.interp(index.vote(near, self.settings), *self.levels)) if near else index.empty_score
                 self.seen[key] = score, [index.example[e] for _, e in near]
         return [self.seen[k] for k in keys]
 
@@ -346,10 +358,10 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column
     both classes every score is the rate of label 1. evidence: doc_ids of the nearest examples,
     nearest first. Repeated rows are scored each. Ids may be of any type that can be ordered.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, learn, settings))
+    shared, levels = fit(docs, labels, learn, settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(shared.value, settings)
+        score = Scorer(shared.value, levels, settings)
         for b in batches:
             got = score(b.column(2).to_pylist())
             s = np.array([x for x, _ in got], float)
@@ -362,11 +374,11 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column
 
 def accepted(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below 0.5; null and empty texts are scored as in classify()."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, learn, settings))
+    shared, levels = fit(docs, labels, learn, settings)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(shared.value, settings)
+        score = Scorer(shared.value, levels, settings)
         for b in batches:
             keep = [x < 0.5 for x, _ in score([t or "" for t in b.column(at).to_pylist()])]
             yield b.filter(pa.array(keep, pa.bool_()))
