@@ -31,7 +31,7 @@ WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
 #: Postings of a term above which blocks of its list are bounded before they are looked at, and
 #: how many of the longest lists are kept as rows of a matrix and multiplied for TEXTS texts at a time.
-LONG, DENSE, TEXTS = 768, 512, 64
+LONG, DENSE, TEXTS = 2048, 512, 64
 #: Calibration: votes, and the scores that they stand for.
 Levels = tuple[np.ndarray, np.ndarray]
 LEVEL = (np.zeros(1), np.zeros(1))
@@ -230,7 +230,8 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
         n = np.zeros(len(shared.value), np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
-                n[index.known(*counted(t))[0]] += 1
+                words = np.sort(np.fromiter(map(HASHES.__getitem__, set(WORD.findall(t.lower()))), np.int64))
+                n[index.known(words, words)[0]] += 1
             rows += b.num_rows
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], rows))], ["term", "n"])
