@@ -95,6 +95,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42)
 
 #: Bits of the counts of shingles that rank them, rarest first.
 RANK_BITS = 20
+#: Odd multiplier that mixes the hashes of a shingle's words in turn.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a unit's name that the bitmap of wanted units goes by: 2 MB.
 PREFIX_BITS = 24
 
@@ -108,21 +110,42 @@ def unit_of(words: list[bytes]) -> bytes:
     return xxhash.xxh128_digest(b" ".join(words))
 
 
-def shingles(words: list[bytes], size: int) -> list[int]:
-    """Distinct hashes of the runs of size words, or of all words where there are fewer."""
-    joined = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
-    return sorted({xxhash.xxh64_intdigest(s) - (1 << 63) for s in joined})
+class Hashes(dict):
+    """Unsigned 64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+HASHES = Hashes()
+
+
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """Distinct hashes, rising, of the runs of size words, or of all words where there are fewer."""
+    w = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    size = min(size, len(w))
+    h = np.zeros(max(1, len(w) - size + 1), np.uint64)
+    for j in range(size):
+        h = (h ^ w[j : j + len(h)]) * MIX
+        h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
 
 
 def ranks(src: DataFrame, size: int) -> np.ndarray:
-    """How often shingles of each value of their last RANK_BITS bits occur; of fixed size."""
+    """How often shingles of each value of their last RANK_BITS bits occur; of fixed size.
+
+    Counts of one in a task are left out: any order serves, and these tell frequent from rare no better.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << RANK_BITS, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
-                np.add.at(n, np.array(shingles(_words(t), size), np.int64) & (1 << RANK_BITS) - 1, 1)
-        at = np.flatnonzero(n)
+                np.add.at(n, shingles(_words(t), size) & len(n) - 1, 1)
+        at = np.flatnonzero(n > 1)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["at", "n"])
 
     got = src.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
@@ -162,7 +185,7 @@ def similar_units(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tu
                     sizes.append(None)
                     continue
                 given.add(unit)
-                h = np.array(shingles(w, size), np.int64)
+                h = shingles(w, size)
                 first = np.lexsort((h, order.value[h & (1 << RANK_BITS) - 1]))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
                 keys.append(h[first])
                 sizes.append(len(h))
@@ -238,7 +261,8 @@ def _scored(src: DataFrame, units: DataFrame, pairs: DataFrame, size: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], ["of", "shingles"])
 
     each = src.select("text").mapInArrow(gather, "of binary, shingles array<bigint>")
-    sets = each.join(wanted, F.col("of") == F.col("unit")).dropDuplicates(["id"]).select("id", "shingles")
+    # the join finds the rows where the search for copies has put them
+    sets = each.groupBy("of").agg(F.first("shingles").alias("shingles")).join(wanted, F.col("of") == F.col("unit")).select("id", "shingles")
     sets = materialize(sets, "shingles")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
