@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.groups import ordinals
 from tessera.operators.retrieval import EMPIRICAL, is_kritik, is_theory
 
 # The knowledge category of each section type.
@@ -144,3 +145,16 @@ def research_queries(motion: Column, concept: Column, year: int) -> Column:
     own = F.when(F.trim(F.coalesce(concept, F.lit(""))) != "", F.concat_ws(" ", motion, F.substring(concept, 1, 300), F.lit(f"{year} evidence outcomes limitations")))
     rest = (F.concat(motion, F.lit(f" {year} official statistics government data")), F.concat(motion, F.lit(" peer reviewed study evidence outcomes limitations")), F.concat(motion, F.lit(f" {year} recent developments evidence risks")))
     return F.slice(F.array_distinct(F.filter(F.array(own, *rest), lambda x: x.isNotNull())), 1, 3)
+
+
+def category_lists(items: DataFrame, category: str, key: str, position: str) -> DataFrame:
+    """(category, key, ordinal): items in order of their first occurrence in a category, from 0; repeats are left out."""
+    first = items.groupBy(category, key).agg(F.min(position).alias("_at"))
+    place = F.struct(F.col("_at"), F.col(key)).alias("_place")
+    return ordinals(first.select(category, key, place), category, "_place", "ordinal").drop("_place")
+
+
+def provenance_lines(cited: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(chunk_id, line) of each cited chunk once: its id, source file and heading path; missing chunks have no line."""
+    once = cited.select("chunk_id").distinct().join(chunks.select("chunk_id", "source_file", "heading_path"), "chunk_id")
+    return once.select("chunk_id", F.concat(F.lit("- Archive "), "chunk_id", F.lit(": "), F.coalesce("source_file", F.lit("")), F.lit(" \u2014 "), F.coalesce(F.array_join("heading_path", " > "), F.lit(""))).alias("line"))

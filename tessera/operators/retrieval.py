@@ -50,6 +50,10 @@ SECTION_FIT = {
 }
 SOURCE_WEIGHT = {"personal": 1.10, "past_case": 1.05, "other": 0.90}
 SOURCE_QUALITY = {"personal": 1.0, "past_case": 0.8, "other": 0.55}
+CASE_TOPICS = (
+    "economy", "economic", "regulation", "subsidies", "subsidy", "inflation", "interest", "currency", "currencies", "development",
+    "resources", "nationalization", "environment", "environmental", "investment", "poverty", "welfare", "power",
+)
 FRESHNESS = {"current": 1.0, "possibly_stale": -0.5, "stale_empirics": -1.0}
 
 
@@ -63,6 +67,7 @@ class Settings:
     masterfile_weight: float = 1.15
     source_influence: float = 0.40
     masterfile_bonus: float = 0.06
+    theory_masterfile_bonus: float = 0.08
     motion_similarity: float = 0.08
     section_fit: float = 0.08
     freshness: float = 0.04
@@ -268,3 +273,44 @@ def hydrated(parents: DataFrame, children: DataFrame, key: str, foreign: str, ch
     first = children.withColumn("at", F.row_number().over(w)).where(F.col("at") <= most)
     lists = first.groupBy(foreign).agg(F.array_join(F.array_sort(F.collect_list(child_key)), ",").alias("children"))
     return parents.join(lists, F.col(key) == F.col(foreign), "left").select(key, F.coalesce("children", F.lit("")).alias("children"))
+
+
+def suppressed(hits: DataFrame, representatives: DataFrame) -> DataFrame:
+    """Distinct doc_ids among hits that another document stands for; hits of several searches may be united first."""
+    return hits.select("doc_id").distinct().join(representatives.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+
+def split_levels(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arguments, fallback chunks and rows without a level among them, and submodules."""
+    sub = F.coalesce(F.col("chunk_level") == "submodule", F.lit(False))
+    return candidates.where(~sub), candidates.where(sub)
+
+
+def with_parent(submodules: DataFrame, chunks: DataFrame, foreign: str, key: str, columns: list[str]) -> DataFrame:
+    """Adds the parent's columns, as parent_<name>, null where a submodule has no parent."""
+    parents = chunks.select(F.col(key).alias("_key"), *[F.col(c).alias(f"parent_{c}") for c in columns])
+    return submodules.join(parents, F.col(foreign) == F.col("_key"), "left").drop("_key")
+
+
+def statistics(candidates: DataFrame, minimum: float = Settings.minimum_base) -> DataFrame:
+    """One row of counts of scored candidates: merged, ineligible, below the threshold, left; candidates: reason, base."""
+    ok = F.coalesce(F.col("reason") == "ok", F.lit(False))
+    low = F.coalesce(F.round("base", 6) < minimum, F.lit(True))
+    return candidates.agg(F.count("*").alias("merged_candidates"), F.count_if(~ok).alias("ineligible_candidates"), F.count_if(ok & low).alias("below_relevance_threshold"), F.count_if(ok & ~low).alias("scored_candidates"))
+
+
+def masterfile_weight(filename: Column, source_group: Column, names: tuple[str, ...], settings: Settings = Settings()) -> Column:
+    """Priority of a file: that of masterfiles where its stem is one of the names in either case, else its group's."""
+    stem = F.lower(F.regexp_replace(filename, r"\.[^./]*$", ""))
+    return F.when(stem.isin(*[n.lower() for n in names]), settings.masterfile_weight).otherwise(_table(SOURCE_WEIGHT, source_group, SOURCE_WEIGHT["other"]))
+
+
+def masterfile_part(base: Column, name: Column, concepts: tuple[str, ...], asked: tuple[str, ...], theory_file: str, case_file: str, settings: Settings = Settings()) -> Column:
+    """What a masterfile adds: the theory file where theory is asked for, the case file where its topics or functions are.
+
+    theory_file and case_file are the names that an archive gives these files.
+    """
+    relevant = bool(set(concepts) & set(CASE_TOPICS) or set(asked) & {"internal_link", "impact", "framework", "link"})
+    special = F.lower(F.coalesce(name, F.lit("")))
+    theory = special == theory_file.lower()
+    return F.when(theory & F.lit("theory" in asked), base * settings.theory_masterfile_bonus).when((special == case_file.lower()) & F.lit(relevant), base * settings.masterfile_bonus).otherwise(0.0)

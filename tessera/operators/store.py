@@ -76,3 +76,23 @@ def stats(df: DataFrame, columns: tuple[str, ...], measure: Column) -> DataFrame
     level = F.coalesce(*[F.when(F.col(f"_g{i}") == 0, c) for i, c in enumerate(columns)], F.lit("all"))
     value = F.coalesce(*[F.when(F.col(f"_g{i}") == 0, F.coalesce(F.col(c).cast("string"), F.lit("(none)"))) for i, c in enumerate(columns)], F.lit("all"))
     return grouped.select(level.alias("level"), value.alias("value"), "total", "measured")
+
+
+def replace_all(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, change): what making new the complete set does to each row: deleted, inserted, unchanged or updated."""
+    cols = [c for c in new.columns if c != key]
+    both = old.select(key, F.struct(*cols).alias("o")).join(new.select(key, F.struct(*cols).alias("n")), key, "full_outer")
+    same = F.col("o").eqNullSafe(F.col("n"))
+    return both.select(key, F.when(F.col("n").isNull(), "deleted").when(F.col("o").isNull(), "inserted").when(same, "unchanged").otherwise("updated").alias("change"))
+
+
+def resolved(ids: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """Distinct asked ids with the columns of their rows and found; ids without a row are kept and reported, not dropped."""
+    there = df.withColumn("_found", F.lit(True))
+    return ids.select(key).distinct().join(there, key, "left").withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found")
+
+
+def subset_in_order(df: DataFrame, ids: DataFrame, key: str, order: str, limit: int = -1) -> DataFrame:
+    """Rows of the named ids in the table's own order, then the first of them; limit -1: all."""
+    out = by_ids(df, ids, key).orderBy(order, key)
+    return out if limit < 0 else out.limit(limit)

@@ -228,3 +228,9 @@ def html_blocks(pages: DataFrame) -> DataFrame:
 def line_blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, text, style_level): the lines of documents; blank ones are no blocks."""
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r")).alias("pos", "text"), F.lit(None).cast("int").alias("style_level")).where(F.trim("text") != "")
+
+
+def inspected(sections: DataFrame, depth: int | None = None, types: tuple[str, ...] = ()) -> DataFrame:
+    """Sections of a depth (the top is 1) and of any of the types; None and () ask for nothing."""
+    out = sections if depth is None else sections.where(F.size("path") == depth)
+    return out.where(F.col("section_type").isin(*types)) if types else out

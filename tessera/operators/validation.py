@@ -65,3 +65,38 @@ def unresolved(findings: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     """Findings without an answer that resolves them; answers: key, resolved."""
     done = answers.where("resolved").select(key).distinct()
     return findings.join(done, key, "left_anti")
+
+
+def unsupplied(cited: DataFrame, supplied: DataFrame, owner: str, cites: str) -> DataFrame:
+    """(owner, cites) once for each citation of something that its owner was not given; null citations are violations too."""
+    given = supplied.select(owner, cites).distinct()
+    return cited.select(owner, cites).distinct().join(given, [owner, cites], "left_anti")
+
+
+#: Label of tricks in section types and headings, and phrases of automatic ballots.
+TRICKS = r"(?i)\b(?:tricks?|a\s*priori|auto(?:matic)?[- ]win)\b"
+AUTOMATIC_BALLOTS = (
+    r"(?i)\b(?:automatic(?:ally)? win(?:s)?(?: the round)?|vote for (?:us|our (?:team|side)) regardless of (?:the )?motion"
+    r"|drop (?:the|our) opponents? for (?:not wearing|their attire))\b"
+)
+
+
+def tricked(section_type: Column, heading_path: Column) -> Column:
+    """Whether a section type or a heading above it is labelled as a trick; nulls are not."""
+    return F.concat_ws(" ", section_type, heading_path).rlike(TRICKS)
+
+
+def forbidden_phrases(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, rule) of texts that ask for an automatic ballot; null texts ask for nothing."""
+    return texts.where(F.coalesce(F.col(text).rlike(AUTOMATIC_BALLOTS), F.lit(False))).select(key, F.lit("automatic-ballot phrase").alias("rule"))
+
+
+def evaluation_violations(stated: DataFrame, key: str) -> DataFrame:
+    """(key, rule) of evaluations whose stated total is not the sum of their parts, or whose rank is not one more than the number of greater totals.
+
+    stated: key, parts (array of numbers), total, rank.
+    """
+    ranked = competition_rank(stated.withColumnRenamed("rank", "stated_rank"), "total", key)
+    parts = F.aggregate(F.coalesce("parts", F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
+    rules = F.array(F.when(~F.col("total").eqNullSafe(parts), "total"), F.when(~F.col("stated_rank").eqNullSafe(F.col("rank")), "rank"))
+    return ranked.select(key, F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
