@@ -28,6 +28,8 @@ OPEN, MIDDLE, CLOSE = "### ", ": ", " </turn>\n"
 ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"), (":", "\\c"))
 #: Stands in for a null conversation id, which is a conversation of its own.
 NO_ID = -(1 << 63)
+#: Intervals of emitted tokens find their nodes by blocks of two to the power of this.
+BLOCK_BITS = 12
 
 
 def escape(text: str, role: bool = False) -> str:
@@ -126,11 +128,15 @@ def prefix_tree(conversations: DataFrame, vocabulary: str | None = None) -> tupl
     length = F.aggregate("above", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     chain = F.when(F.col("own_from") < F.col("emit_start"), F.array(F.struct(F.col("own_from").alias("start"), F.col("emit_start").alias("end"))))
     full = nodes.join(above, "owner").select("key", "depth", "owner", "role", "ids", "loss_from", "loss_to", "emit_start", "emit_end", (length + F.col("emit_start") - F.col("own_from")).alias("position"), F.concat("above", F.coalesce(chain, F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("attend"))
-    return full, members.select("cid", "depth", "key")
+    return materialize(full, "nodes"), members.select("cid", "depth", "key")
 
 
 def read_back(nodes: DataFrame, members: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Digests of each conversation, from the emitted tokens along its path."""
+    """Digests of each conversation, from the emitted tokens that its last turn attends to, and itself, by position id.
+
+    Null ids are one conversation, rows of equal turn stand by role and text, as in turns(); no
+    conversations give no rows, and an empty text is a turn without characters.
+    """
     path = vocabulary or default_vocabulary()
     turn = re.compile(re.escape(OPEN) + "([^:]*)" + re.escape(MIDDLE) + "(.*)" + re.escape(CLOSE), re.DOTALL)
 
@@ -166,6 +172,13 @@ def read_back(nodes: DataFrame, members: DataFrame, vocabulary: str | None = Non
         if state:
             yield batch([close()])
 
-    walked = members.join(nodes.select("key", "ids", "loss_from", "loss_to"), "key")
-    walked = walked.repartition("cid").sortWithinPartitions("cid", "depth").select("cid", "ids", "loss_from", "loss_to")
+    last = members.groupBy("cid").agg(F.max_by("key", "depth").alias("key"))
+    itself = F.array(F.struct(F.col("emit_start").alias("start"), F.col("emit_end").alias("end")))
+    spans = last.join(nodes.select("key", F.concat("attend", itself).alias("spans")), "key").select("cid", F.inline("spans"))
+    # nodes meet the intervals in blocks of emitted tokens
+    block = lambda place: F.shiftright(place, BLOCK_BITS)
+    wanted = spans.select("cid", "start", "end", F.explode(F.sequence(block(F.col("start")), block(F.col("end") - 1))).alias("block"))
+    emitted = nodes.select(block(F.col("emit_start")).alias("block"), "emit_start", "position", "ids", "loss_from", "loss_to")
+    walked = wanted.join(emitted, "block").where("emit_start >= start and emit_start < end")
+    walked = walked.repartition("cid").sortWithinPartitions("cid", "position").select("cid", "ids", "loss_from", "loss_to")
     return walked.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
