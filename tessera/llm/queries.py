@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, decontam, langid, licenses, lm, media, packing, secrets, simhash, toxicity
+from . import chat, codes, decontam, langid, licenses, lm, media, mixing, packing, secrets, simhash, toxicity
 from .common import fold, table
 
 
@@ -71,6 +71,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -96,7 +100,7 @@ def op13_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat, op3_language, op4_packing, op5_lm_score, op6_media, op7_licenses, op8_secrets, op9_toxicity, op10_simhash, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat, op3_language, op4_packing, op5_lm_score, op6_media, op7_licenses, op8_secrets, op9_toxicity, op10_simhash, op12_mixing, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
