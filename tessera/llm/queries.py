@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, decontam, langid, licenses, lm, media, mixing, packing, secrets, simhash, toxicity
+from . import chat, codes, decontam, langid, licenses, lm, media, mixing, packing, phrases, secrets, simhash, toxicity
 from .common import fold, table
 
 
@@ -71,6 +71,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+#: Products of counts are 128-bit integers.
+OP11_SQL = f"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+ p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM t),
+ g AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, {phrases.LONGEST + 1}) AS r(k)),
+ f AS MATERIALIZED (SELECT lang, k, w[i : i + k - 1] AS p, count(*) AS f FROM g GROUP BY ALL),
+ n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+ c AS MATERIALIZED (SELECT * FROM f WHERE k > 1 AND f >= {phrases.LEAST}),
+ i AS (SELECT lang, k, p, f, unnest(range(2, k)) AS m FROM c), s AS (SELECT DISTINCT lang, p[j : j + m - 1] AS p, f FROM (SELECT *, unnest(range(1, k - m + 2)) AS j FROM i)),
+ o AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.lang = c.lang AND s.p = c.p AND s.f >= c.f)),
+ x AS (SELECT o.lang, o.k, o.p, o.f AS a, n.n, unnest(range(1, o.k)) AS j FROM o JOIN n ON o.lang = n.lang),
+ y AS (SELECT x.*, l.f AS l, r.f AS r, CAST(1000::HUGEINT * a * n // (l.f::HUGEINT * r.f) AS BIGINT) AS score FROM x JOIN f l ON l.lang = x.lang AND l.p = x.p[: j] JOIN f r ON r.lang = x.lang AND r.p = x.p[j + 1 :]),
+ z AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, j) AS first FROM y),
+ q AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM z WHERE first = 1)
+ SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM q) WHERE rank <= {phrases.TOP}"""
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -100,9 +120,9 @@ def op13_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat, op3_language, op4_packing, op5_lm_score, op6_media, op7_licenses, op8_secrets, op9_toxicity, op10_simhash, op12_mixing, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat, op3_language, op4_packing, op5_lm_score, op6_media, op7_licenses, op8_secrets, op9_toxicity, op10_simhash, op11_phrases, op12_mixing, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
     """What SQL can say; tests hold the others against plain versions."""
-    return {"op2_chat": OP2_SQL, "op13_vector_codes": op13_sql()}
+    return {"op2_chat": OP2_SQL, "op11_phrases": OP11_SQL, "op13_vector_codes": op13_sql()}
