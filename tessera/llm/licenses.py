@@ -149,7 +149,8 @@ class Classifier:
                 continue
             if not lines:
                 open_from = k
-            lines, held = lines + 1, held + words
+            lines += 1
+            held.extend(words)
         close()
         return sorted(found)
 

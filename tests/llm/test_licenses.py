@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections import Counter
 
 from tessera.llm import licenses
@@ -61,3 +62,13 @@ def test_on_the_tables_as_a_plain_version(spark, sf_dir):
     got = {r["doc_id"]: set(filter(None, r["families"].split(","))) for r in licenses.scan(docs).collect()}
     for d, t in texts.items():
         assert {f for line in t.split("\n") if (f := plain_label(model, licenses.words_of(line)))} <= got[d]
+
+
+def test_a_million_neighbouring_lines_that_look_like_a_notice():
+    model = licenses.Classifier(["ordinary words of the day", "the terms of a garden under the sun"])
+    took = []
+    for n in (250_000, 1_000_000):
+        began = time.process_time()
+        assert model.notices("under the terms of\n" * n + "Released under the MIT License.")[-1][:2] == (n, "MIT")
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 5
