@@ -44,3 +44,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables that materialize() wrote, once all that was computed from them is written as well.
+
+    Shuffle files of what they were made from go when the driver's garbage does.
+    """
+    for df in tables:
+        if df is None or not (files := df.inputFiles()):
+            continue
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in files}:
+            if folder.split(":", 1)[-1].lstrip("/").startswith(shared_dir(spark).split(":", 1)[-1].lstrip("/")):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
