@@ -183,3 +183,12 @@ def source_query_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inspected_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree, _ = _forest(spark, sf_dir)
     return structure.inspected(tree, 3, ("warrant", "turn")).select("section_id", F.size("path").cast("long").alias("depth"), "section_type")
+
+
+@query()
+def near_group_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and near groups with type, representative, least and greatest similarity, members and remarks."""
+    c = chunks(spark, sf_dir)
+    members, near = groups.memberships(c)
+    members = materialize(members, "memberships")
+    return groups.table_of(members, c, near).join(groups.notes(members, c).withColumn("notes", F.array_join("notes", " ")), "duplicate_group_id")

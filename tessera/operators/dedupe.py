@@ -18,10 +18,17 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.graph import components
+from tessera.operators.ordering import ordinals
 from tessera.tables import materialize
 
-# Ranks of sources and of freshness.
+# Ranks of sources and of freshness; types and sections whose age doesn't matter.
 SOURCE_RANK = {"personal": 3, "past_case": 2, "other": 1}
+AGE_NEUTRAL_TYPES = ("theory", "kritik")
+AGE_NEUTRAL_SECTIONS = (
+    "alternative", "competing_interpretations", "counter_interpretation", "counter_standards", "framework", "framing",
+    "impact_calculus", "interpretation", "kritik", "reasonability", "role_of_the_ballot", "standards", "theory_shell",
+    "thesis", "violation", "voters",
+)
 FRESHNESS_RANK = {"current": 4, "possibly_stale": 3, "unknown": 2, "stale_empirics": 1, "evergreen": 2}
 
 
@@ -88,12 +95,18 @@ def exact_groups(chunks: DataFrame) -> DataFrame:
     return digests.join(many, "unit").select(F.concat(F.lit("dup_"), F.substring("digest", 1, 16)).alias("duplicate_group_id"), "members", "first_member")
 
 
+def age_neutral(c: DataFrame) -> Column:
+    """Whether a chunk's age says nothing about it, by document type (where there is one) and section."""
+    kind = F.coalesce("document_type", F.lit("")) if "document_type" in c.columns else F.lit("")
+    return kind.isin(*AGE_NEUTRAL_TYPES) | F.lower(F.coalesce("section_type", F.lit(""))).isin(*AGE_NEUTRAL_SECTIONS)
+
+
 def quality(c: DataFrame) -> list[Column]:
     """Sort keys of a representative, the best first when ascending."""
     has = lambda name, default: F.col(name) if name in c.columns else F.lit(default)
     rank = lambda table, col: F.coalesce(*[F.when(col == k, v) for k, v in table.items()], F.lit(0))
     dated = has("freshness", "unknown").isin("current", "possibly_stale", "stale_empirics")
-    empirical = dated | T.has_number(F.col("text"))
+    empirical = (dated | T.has_number(F.col("text"))) & ~age_neutral(c)
     special = ((F.col("source_group") == "personal") & has("is_special", False)).cast("int")
     keys = [
         rank(SOURCE_RANK, F.col("source_group")), special,
@@ -182,69 +195,149 @@ def required(kind: Column, numbers_a: Column, numbers_b: Column, settings: Setti
     return F.greatest(fallback, F.when(numbers_a != numbers_b, settings.updated_statistic_threshold).otherwise(settings.threshold))
 
 
+def marks(unit_rows: DataFrame) -> DataFrame:
+    """(uid, chars, kind, numbers): what a comparison needs of a unit besides its text."""
+    return unit_rows.select("uid", F.length("norm").alias("chars"), "kind", T.numbers(F.col("text")).alias("numbers"))
+
+
+def scored_pairs(pairs: DataFrame, unit_rows: DataFrame, unit_marks: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(first_id, second_id, similarity, ok): whether pairs reach what their kind and numbers require.
+
+    Lengths decide first, from marks alone; texts are fetched for the pairs that could reach it, and
+    the others have no similarity.
+    """
+    side = lambda k: unit_marks.select(F.col("uid").alias(f"{k}_id"), *[F.col(c).alias(f"{k}_{c}") for c in ("chars", "kind", "numbers")])
+    both = pairs.join(side("first"), "first_id").join(side("second"), "second_id")
+    low, high = F.least("first_chars", "second_chars"), F.greatest("first_chars", "second_chars", F.lit(1))
+    both = both.withColumn("required", required(F.col("first_kind"), F.col("first_numbers"), F.col("second_numbers"), settings))
+    possible = (low / high >= settings.length_ratio) & (1.4 * low / (low + high) + 0.3 >= F.col("required"))
+    judged = materialize(both.select("first_id", "second_id", "required", possible.alias("possible")), "judged")
+    text = lambda k: unit_rows.select(F.col("uid").alias(f"{k}_id"), F.col("norm").alias(f"{k}_norm"))
+    read = judged.where("possible").join(text("first"), "first_id").join(text("second"), "second_id").withColumn("similarity", similarity_of("first_norm", "second_norm"))
+    out = materialize(read.select("first_id", "second_id", "similarity", (F.col("similarity") >= F.col("required")).alias("ok")), "scored")
+    return out.unionByName(judged.where("not possible").select("first_id", "second_id", F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("ok")))
+
+
 def near_pairs(unit_rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(first_id, second_id, similarity) of the candidates that reach what their kind and numbers require."""
-    side = lambda k: unit_rows.select(F.col("uid").alias(f"{k}_id"), F.col("norm").alias(f"{k}_norm"), F.col("kind").alias(f"{k}_kind"), T.numbers(F.col("text")).alias(f"{k}_numbers"))
-    pairs = candidate_pairs(unit_rows, settings).join(side("first"), "first_id").join(side("second"), "second_id")
-    scored = pairs.withColumn("required", required(F.col("first_kind"), F.col("first_numbers"), F.col("second_numbers"), settings))
-    a, b = F.length("first_norm"), F.length("second_norm")
-    scored = scored.where(0.7 * 2 * F.least(a, b) / (a + b) + 0.3 >= F.col("required")).withColumn("similarity", similarity_of("first_norm", "second_norm"))
-    return scored.where("similarity >= required").select("first_id", "second_id", "similarity")
-
-
-def linked(part: pd.DataFrame, settings: Settings = Settings()) -> list[list[int]]:
-    """Complete linkage within one component: rows uid, norm, kind, numbers, and pairs in order of similarity."""
-    rows = part.reset_index(drop=True)
-    norms, kinds, nums = rows["norm"].tolist(), rows["kind"].tolist(), [tuple(x) for x in rows["numbers"]]
-    number = {u: i for i, u in enumerate(rows["uid"])}
-    seen: dict[tuple[int, int], float] = {}
-
-    def fits(i: int, j: int) -> bool:
-        i, j = min(i, j), max(i, j)
-        a, b = norms[i], norms[j]
-        if min(len(a), len(b)) / max(len(a), len(b), 1) < settings.length_ratio:
-            return False
-        need = max(settings.fallback_threshold if kinds[i] == "fallback" else settings.threshold, settings.updated_statistic_threshold if nums[i] != nums[j] else 0)
-        if (i, j) not in seen:
-            seen[i, j] = similarity(a, b)
-        return seen[i, j] >= need
-
-    edges = sorted(((s, u, v) for u, out in zip(rows["uid"], rows["pairs"], strict=True) for v, s in out.items()), reverse=True) if "pairs" in rows else []
-    group = {i: [i] for i in range(len(rows))}
-    at = list(range(len(rows)))
-    for _, u, v in edges:
-        a, b = at[number[u]], at[number[v]]
-        if a != b and all(fits(i, j) for i in group[a] for j in group[b]):
-            group[a] += group.pop(b)
-            for i in group[a]:
-                at[i] = a
-    return [sorted(g) for g in group.values()]
+    u = materialize(unit_rows, "units")
+    return scored_pairs(candidate_pairs(u, settings), u, marks(u), settings).where("ok").select("first_id", "second_id", "similarity")
 
 
-def near_groups(chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(uid, group_uid, similarity_min, similarity_max) of units in groups of two or more.
+#: Links of one component that are folded at a time; a component with more is folded from its best on.
+LINKS = 1000
+FOLDED = "step string, x string, y string, s double, f string, g string, n long, bad long"
 
-    Pairs are accepted relationally; each connected component of them is then folded by complete
-    linkage, which never merges over a pair that was not accepted. group_uid: least uid of the group.
+
+def fold(part: pd.DataFrame) -> list[tuple]:
+    """One component's links, the best first, as far as what is known of its clusters decides them.
+
+    part: rows of step `link` (x, y: clusters; s, f, g: similarity and the two units), `known` (x, y: clusters; n pairs
+    compared, bad of them refused) and `size` (x: cluster; n units). Two clusters merge if all their cross pairs are
+    known and none is refused; a refused pair is refused for good, as clusters only grow. Where a cross pair is not
+    known yet, the two clusters are asked for and wait, as do links to clusters that wait. Links between others
+    can't change that, so they go on. Rows out: `merge` (x into y), `need` (x, y) and the links that are left, as `later`.
     """
-    u = materialize(units(chunks), "units")
-    pairs = materialize(near_pairs(u, settings), "pairs")
-    roots = components(pairs.select(F.col("first_id").alias("a"), F.col("second_id").alias("b")))
-    inside = u.join(roots, F.col("uid") == F.col("node")).select("root", "uid", "norm", "kind", T.numbers(F.col("text")).alias("numbers"))
-    out = pairs.groupBy(F.col("first_id").alias("uid")).agg(F.map_from_entries(F.collect_list(F.struct("second_id", "similarity"))).alias("pairs"))
-    rows = inside.join(out, "uid", "left").withColumn("pairs", F.coalesce("pairs", F.create_map().cast("map<string,double>")))
+    size = {r.x: r.n for r in part[part.step == "size"].itertuples()}
+    at = {x: x for x in size}
+    inside = {x: [x] for x in size}
+    known: dict[str, dict[str, tuple[int, int]]] = {x: {} for x in size}
+    for r in part[part.step == "known"].itertuples():
+        known[r.x][r.y] = known[r.y][r.x] = (r.n, r.bad)
+    waiting: set[str] = set()
+    out = []
+    links = part[part.step == "link"]
+    for s, f, g, x, y in sorted(zip(links.s, links.f, links.g, links.x, links.y, strict=True), reverse=True):
+        p, q = at[x], at[y]
+        if p == q:
+            continue
+        n, bad = known[p].get(q, (0, 0))
+        if p in waiting or q in waiting:
+            waiting |= {p, q}
+            out.append(("later", x, y, s, f, g, None, None))
+        elif bad:
+            continue
+        elif n == size[p] * size[q]:
+            size[p] += size.pop(q)
+            for c in inside[q]:
+                at[c] = p
+            inside[p] += inside.pop(q)
+            for r, (m, worse) in known.pop(q).items():
+                if r != p:
+                    del known[r][q]
+                    m2, worse2 = known[p].get(r, (0, 0))
+                    known[p][r] = known[r][p] = (m + m2, worse + worse2)
+            known[p].pop(q, None)
+        else:
+            waiting |= {p, q}
+            out += [("need", p, q, None, None, None, None, None), ("later", x, y, s, f, g, None, None)]
+    return out + [("merge", x, p, None, None, None, None, None) for x, p in at.items() if x != p]
+
+
+def linkage(unit_rows: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """((uid, cluster), scored pairs) of units that have a link: complete linkage, the best link first.
+
+    Equals going through all accepted candidates by similarity and ids, from the greatest, and merging
+    two clusters whenever all their cross pairs are accepted. Components of links don't touch each
+    other, so each is folded in a task of its own, which holds ids and counts of at most LINKS links
+    and of the clusters they join; cross pairs that blocking didn't bring together are
+    scored in between, as a join. A component with more links is folded a stretch at a time.
+    """
+    u = unit_rows
+    light = materialize(marks(u), "marks")
+    known = scored_pairs(candidate_pairs(u, settings), u, light, settings)
+    links = known.where("ok").select("first_id", "second_id", "similarity")
+    ends = links.select(F.col("first_id").alias("uid")).union(links.select("second_id")).distinct()
+    clusters = materialize(ends.select("uid", F.col("uid").alias("cluster")), "clusters")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("uid").reset_index(drop=True)
-        part["pairs"] = [dict(p) for p in part["pairs"]]
-        found = []
-        for g in linked(part, settings):
-            if len(g) > 1:
-                scores = [similarity(part["norm"][i], part["norm"][j]) for k, i in enumerate(g) for j in g[k + 1 :]]
-                found += [(part["uid"][i], part["uid"][g[0]], round(min(scores), 4), round(max(scores), 4)) for i in g]
-        return pd.DataFrame(found, columns=["uid", "group_uid", "similarity_min", "similarity_max"])
-
-    return rows.groupBy("root").applyInPandas(run, "uid string, group_uid string, similarity_min double, similarity_max double")
+        return pd.DataFrame(fold(part), columns=["step", "x", "y", "s", "f", "g", "n", "bad"])
+
+    while True:
+        a, b = clusters.select(F.col("uid").alias("first_id"), F.col("cluster").alias("x")), clusters.select(F.col("uid").alias("second_id"), F.col("cluster").alias("y"))
+        live = materialize(links.join(a, "first_id").join(b, "second_id").where("x != y"), "live")
+        if live.isEmpty():
+            return clusters, known
+        rooted = lambda rows, col: components(rows.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", col)
+        todo, rest = live.join(rooted(live, "x"), "x"), None
+        counts = todo.groupBy("root").agg(F.count("*").alias("n"))
+        if not counts.where(F.col("n") > LINKS).isEmpty():
+            placed = ordinals(todo.withColumn("_key", F.struct("similarity", "first_id", "second_id")), "root", "_key", "place").drop("_key").join(counts, "root")
+            placed = materialize(placed.withColumn("now", F.col("place") >= F.col("n") - LINKS).drop("place", "n", "root"), "placed")
+            taken, rest = placed.where("now").drop("now"), placed.where("not now").select("first_id", "second_id", "similarity")
+            todo = taken.join(rooted(taken, "x"), "x")
+        todo = materialize(todo, "todo")
+        roots = todo.select("x", "root").union(todo.select("y", "root")).distinct()
+        empty = lambda kind: F.lit(None).cast(kind)
+        row = lambda df, step, **c: df.select("root", F.lit(step).alias("step"), *[c.get(k, empty(t)).alias(k) for k, t in (("x", "string"), ("y", "string"), ("s", "double"), ("f", "string"), ("g", "string"), ("n", "long"), ("bad", "long"))])
+        cross = known.join(a, "first_id").join(b, "second_id").where("x != y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("bad"))
+        cross = cross.join(roots, "x").join(roots.select(F.col("x").alias("y"), F.col("root").alias("other")), "y").where("root = other")
+        sizes = clusters.groupBy(F.col("cluster").alias("x")).agg(F.count("*").alias("n")).join(roots, "x")
+        col = F.col
+        rows = row(todo, "link", x=col("x"), y=col("y"), s=col("similarity"), f=col("first_id"), g=col("second_id")).unionByName(row(cross, "known", x=col("x"), y=col("y"), n=col("n"), bad=col("bad"))).unionByName(row(sizes, "size", x=col("x"), n=col("n")))
+        done = materialize(rows.groupBy("root").applyInPandas(run, FOLDED), "folded")
+        merged = done.where("step = 'merge'").select(F.col("x").alias("cluster"), F.col("y").alias("into"))
+        clusters = materialize(clusters.join(merged, "cluster", "left").select("uid", F.coalesce("into", "cluster").alias("cluster")), "clusters")
+        links = done.where("step = 'later'").select(F.col("f").alias("first_id"), F.col("g").alias("second_id"), F.col("s").alias("similarity"))
+        links = links if rest is None else links.unionByName(rest)
+        needed = done.where("step = 'need'").select("x", "y")
+        if not needed.isEmpty():
+            members = lambda k, c: clusters.select(F.col("cluster").alias(c), F.col("uid").alias(k))
+            asked = needed.join(members("p", "x"), "x").join(members("q", "y"), "y").select(F.least("p", "q").alias("first_id"), F.greatest("p", "q").alias("second_id"))
+            known = known.unionByName(scored_pairs(asked.join(known.select("first_id", "second_id"), ["first_id", "second_id"], "left_anti"), u, light, settings))
+
+
+def near_groups(chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(uid, group_uid, similarity_min, similarity_max) of units in groups of two or more. group_uid: least uid of the group.
+
+    All pairs of a group were compared when it grew, so its least and greatest similarity are aggregates.
+    """
+    clusters, known = linkage(materialize(units(chunks), "units"), settings)
+    first = clusters.groupBy("cluster").agg(F.min("uid").alias("group_uid"), F.count("*").alias("n")).where("n > 1")
+    at = clusters.select(F.col("uid").alias("first_id"), "cluster")
+    pairs = known.where("ok").join(at, "first_id").join(clusters.select(F.col("uid").alias("second_id"), F.col("cluster").alias("other")), "second_id").where("cluster = other")
+    span = pairs.groupBy("cluster").agg(F.round(F.min("similarity"), 4).alias("similarity_min"), F.round(F.max("similarity"), 4).alias("similarity_max"))
+    return clusters.join(first, "cluster").join(span, "cluster").select("uid", "group_uid", "similarity_min", "similarity_max")
 
 
 def statistics(chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:

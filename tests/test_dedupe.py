@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.operators import dedupe
+from tessera.jobs import catalogue
+from tessera.operators import dedupe, groups
 from tessera.operators.graph import components
 
 
@@ -54,24 +57,114 @@ def test_blocking_compares_few_of_many_distinct_texts(spark):
     assert dedupe.candidate_pairs(dedupe.units(chunks(spark, texts))).count() < 300
 
 
+def slow_groups(rows, settings=dedupe.Settings()):
+    """Units in groups by the definition: all accepted candidates from the greatest, merged if every cross pair is accepted.
+
+    rows: (uid, norm, kind, numbers); candidates: pairs of ids that blocking brings together.
+    """
+    units, candidates = rows
+    of = {u: (norm, kind, tuple(nums)) for u, norm, kind, nums in units}
+    seen = {}
+
+    def fits(a, b):
+        (x, kind, m), (y, _, n) = of[a], of[b]
+        need = max(settings.fallback_threshold if kind == "fallback" else settings.threshold, settings.updated_statistic_threshold if m != n else 0)
+        seen[a, b] = seen[b, a] = dedupe.similarity(x, y)
+        return min(len(x), len(y)) / max(len(x), len(y), 1) >= settings.length_ratio and seen[a, b] >= need
+
+    group = {u: [u] for u in of}
+    for _, a, b in sorted(((dedupe.similarity(of[a][0], of[b][0]), a, b) for a, b in candidates), reverse=True):
+        if group[a] is not group[b] and all(fits(*sorted(p)) for p in itertools.product(group[a], group[b])):
+            group[a].extend(group[b])
+            for u in group[b]:
+                group[u] = group[a]
+    out = []
+    for g in {id(g): sorted(g) for g in group.values()}.values():
+        if len(g) > 1:
+            all_pairs = [dedupe.similarity(of[a][0], of[b][0]) for a, b in itertools.combinations(g, 2)]
+            out += [(u, g[0], round(min(all_pairs), 4), round(max(all_pairs), 4)) for u in g]
+    return sorted(out)
+
+
+def inputs(c, settings=dedupe.Settings()):
+    u = dedupe.units(c)
+    rows = [(r["uid"], r["norm"], r["kind"], r["numbers"]) for r in u.select("uid", "norm", "kind", dedupe.T.numbers(dedupe.F.col("text")).alias("numbers")).collect()]
+    return rows, [tuple(r) for r in dedupe.candidate_pairs(u, settings).collect()]
+
+
 def test_near_groups_need_every_pair(spark):
     base = [f"token{i:03d}" for i in range(100)]
     a, b, c = list(base), list(base), list(base)
-    for i in range(4):
-        b[i] = f"bbbbbb{i}"
     for i in range(8):
-        c[i] = f"cccccc{i}" if i >= 4 else b[i]
-    got = dedupe.near_groups(chunks(spark, [" ".join(x) for x in (a, b, c)])).toPandas()
-    sizes = got.groupby("group_uid").size().tolist()
-    assert all(n <= 3 for n in sizes)
-    again = dedupe.near_groups(chunks(spark, [" ".join(x) for x in (a, b, c)])).toPandas()
-    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, again.values.tolist()))
-
-
-def test_linked_refuses_a_chain():
-    norm = ["a" * 100, "a" * 96 + "b" * 4, "a" * 90 + "b" * 10]
-    part = pd.DataFrame({"uid": ["x", "y", "z"], "norm": norm, "kind": ["argument"] * 3, "numbers": [[], [], []], "pairs": [{"y": 0.96}, {"z": 0.96}, {}]})
-    assert max(map(len, dedupe.linked(part))) == 2
+        b[i] = f"bbbbbb{i}"
+        c[i + 50] = f"cccccc{i}"
+    # a is near b and near c, b and c are not near
+    x = chunks(spark, [" ".join(t) for t in (a, b, c)])
+    got = sorted(tuple(r) for r in dedupe.near_groups(x).collect())
+    assert len(got) == 2 and got == slow_groups(inputs(x))
+
+
+@pytest.mark.parametrize("links", [1000, 12])
+def test_near_groups_equal_the_sequential_fold(spark, monkeypatch, links):
+    monkeypatch.setattr(dedupe, "LINKS", links)
+    rng, texts = random.Random(11), []
+    for family in range(4):
+        base = [f"{rng.choice('bcdfg')}{family}{rng.randrange(10**5):05d}x" for _ in range(60)]
+        for _ in range(9):  # copies drift apart; some changes tie exactly
+            t = list(base)
+            for i in rng.sample(range(60), rng.choice([1, 2, 3, 5])):
+                t[i] = f"z{rng.randrange(100):02d}{t[i][3:]}" if rng.random() < 0.5 else f"edit{i % 10}"
+            texts.append(" ".join(t))
+            if rng.random() < 0.3:
+                base = t
+    texts += [texts[0] + " 2024", texts[0] + " 2025", texts[1].upper(), texts[2] + "!"]
+    for level in ("argument", "fallback"):
+        x, wide = chunks(spark, texts, level).cache(), dedupe.Settings(anchor_share=0.3)
+        got = sorted(tuple(r) for r in dedupe.near_groups(x, wide).collect())
+        want = slow_groups(inputs(x, wide))
+        assert got == want and (level == "fallback" or len({r[1] for r in want}) > 3)
+
+
+def test_a_pair_that_blocking_missed_is_asked_for():
+    link = lambda s, x, y: {"step": "link", "x": x, "y": y, "s": s, "f": x, "g": y, "n": None, "bad": None}
+    size = [{"step": "size", "x": x, "n": 1} for x in "abcd"]
+    known = [{"step": "known", "x": x, "y": y, "n": 1, "bad": 0} for x, y in ("ab", "bc", "cd")]
+    part = pd.DataFrame([link(0.99, "a", "b"), link(0.98, "b", "c"), link(0.97, "c", "d"), *size, *known])
+    got = dedupe.fold(part)
+    # a and b merge; a-c is unknown, so c waits, and d waits for c
+    assert [r[:3] for r in got if r[0] == "merge"] == [("merge", "b", "a")]
+    assert [r[:3] for r in got if r[0] == "need"] == [("need", "a", "c")]
+    assert sorted(r[4:6] + r[3:4] for r in got if r[0] == "later") == [("b", "c", 0.98), ("c", "d", 0.97)]
+    bad = pd.DataFrame([*part.to_dict("records"), {"step": "known", "x": "a", "y": "c", "n": 1, "bad": 1}])
+    got = dedupe.fold(bad)
+    assert sorted(r[:3] for r in got) == [("merge", "b", "a"), ("merge", "d", "c")]
+
+
+def test_groups_hold_copies_and_say_what_they_are(spark):
+    words = [f"token{i:03d}" for i in range(60)]
+    near = " ".join(words[:59] + ["changed"])
+    texts = [" ".join(words), " ".join(words).upper(), near, "alone here", "twice, here", "Twice here", " ".join(words) + " 12"]
+    x = chunks(spark, texts)
+    members, near_rows = groups.memberships(x, dedupe.Settings(anchor_share=0.6))
+    got = {}
+    for r in members.collect():
+        got.setdefault(r["duplicate_group_id"], []).append((r["member_index"], r["chunk_id"]))
+    ids = {g: [c for _, c in sorted(m)] for g, m in got.items()}
+    assert sorted(ids.values()) == [["c0000", "c0001", "c0002", "c0006"], ["c0004", "c0005"]]
+    for g, m in ids.items():
+        assert g == "dup_" + hashlib.sha256("|".join(m).encode()).hexdigest()[:16]
+    kinds = {r["duplicate_group_id"]: r for r in groups.table_of(members, x, near_rows).collect()}
+    said = {r["duplicate_group_id"]: r["notes"] for r in groups.notes(members, x).collect()}
+    for g, m in ids.items():
+        big = len(m) == 4
+        assert kinds[g]["duplicate_type"] == ("near" if big else "exact") and kinds[g]["similarity_max"] == 1.0
+        assert (kinds[g]["similarity_min"] < 1) == big
+        assert said[g] == [groups.KEPT, groups.UPDATED][: 1 + big]
+
+
+def test_near_groups_of_the_table(spark, sf_dir):
+    got = sorted(tuple(r) for r in catalogue.near_duplicate_groups(spark, sf_dir).collect())
+    assert got == slow_groups(inputs(catalogue.chunks(spark, sf_dir))) and got
 
 
 def test_components_of_a_path_a_star_and_a_pair(spark):
