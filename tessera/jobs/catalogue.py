@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import chunking, dedupe, lexical, reports, retrieval, rounds, store, structure, validation, vectors
+from tessera.operators import chunking, dedupe, lexical, postings, reports, retrieval, rounds, store, structure, validation, vectors
 from tessera.streaming import telemetry
 from tessera.tables import materialize, table
 
@@ -179,7 +179,20 @@ def _terms(spark: SparkSession) -> DataFrame:
 @query(f"""WITH {BM25_SQL}, s AS (SELECT doc_id, round(sum(w), 4) AS score FROM w WHERE term IN ({", ".join(f"'{t}'" for t in TERMS)}) GROUP BY doc_id)
  SELECT CAST(0 AS BIGINT) AS query_id, doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top_k(lexical.bm25(table(spark, sf_dir, "documents"), _terms(spark)), 10)
+    return postings.top(table(spark, sf_dir, "documents"), _terms(spark), 10)
+
+
+@query(f"""WITH {BM25_SQL}, o AS (SELECT doc_id FROM documents WHERE doc_id % 10 = 3), c AS (SELECT count(*) AS n, avg(dl) AS m FROM dl WHERE doc_id NOT IN (SELECT doc_id FROM o)),
+ d AS (SELECT term, count(*) AS df FROM tf WHERE doc_id NOT IN (SELECT doc_id FROM o) GROUP BY term),
+ s AS (SELECT doc_id, round(sum(ln((c.n - d.df + 0.5) / (d.df + 0.5) + 1) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * dl / c.m))), 4) AS score
+       FROM tf JOIN d USING (term) JOIN dl USING (doc_id) CROSS JOIN c WHERE term IN ({", ".join(f"'{t}'" for t in TERMS)}) AND doc_id NOT IN (SELECT doc_id FROM o) GROUP BY doc_id)
+ SELECT CAST(0 AS BIGINT) AS query_id, doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
+def postings_replaced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search after the index of older versions was brought up to date: every seventh text came later, every tenth document went."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    late, gone = F.col("doc_id") % 7 == 0, F.col("doc_id") % 10 == 3
+    index = postings.build(d.withColumn("text", F.when(late, F.lit("an older version")).otherwise(F.col("text"))))
+    return postings.search(postings.replaced(index, d.where(late & ~gone), d.where(gone)), _terms(spark), 10)[0]
 
 
 ITEM_TERMS_SQL = f"q AS (SELECT DISTINCT item_id AS query_id, unnest(list_distinct({TERMS_SQL})) AS term FROM benchmark)"
@@ -192,9 +205,12 @@ def bm25_multi_query_rank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical_evidence(spark, sf_dir)
 
 
+def _item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(lexical.terms(F.col("text")))).alias("term"))
+
+
 def _lexical_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(lexical.terms(F.col("text")))).alias("term"))
-    ranked = lexical.top_k(lexical.bm25(table(spark, sf_dir, "documents"), q), 10)
+    ranked = postings.top(table(spark, sf_dir, "documents"), _item_terms(spark, sf_dir), 10)
     return retrieval.evidence(ranked.withColumn("score", F.round(lexical.rank_score(F.col("rank")), 4)), "lexical")
 
 
