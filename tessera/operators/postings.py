@@ -43,13 +43,18 @@ def share(tf: Column, dl: Column, mean: Column | float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(mean)))
 
 
-def _counted(docs: DataFrame, shards: int | None, only: DataFrame | None) -> DataFrame:
+#: Terms asked for that are sent to the texts; more of them are joined by term.
+SENT = 200_000
+
+
+def _counted(docs: DataFrame, only: DataFrame | None) -> DataFrame:
     """(doc_id, dl, term, tf), with the term '' once for every document, so that texts are taken apart once."""
-    words = docs.select("doc_id", terms(F.coalesce("text", F.lit(""))).alias("words"))
-    each = words.select("doc_id", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.col("words"))).alias("term"))
+    words = docs.select("doc_id", F.concat(F.array(F.lit("")), terms(F.coalesce("text", F.lit("")))).alias("words"))
+    each = words.select("doc_id", (F.size("words") - 1).alias("dl"), "words").select("doc_id", "dl", F.explode("words").alias("term"))
     if only is not None:
         wanted = only.select("term").union(only.sparkSession.createDataFrame([("",)], "term string")).distinct()
-        each = each.join(wanted, "term", "left_semi")
+        few = wanted.limit(SENT + 1).count() <= SENT
+        each = each.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
     return each.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -68,7 +73,7 @@ def build(docs: DataFrame, only: DataFrame | None = None, shards: int | None = N
 
     Lengths count all terms either way. Texts are read once.
     """
-    counted = materialize(_counted(docs, shards, only), "counted")
+    counted = materialize(_counted(docs, only), "counted")
     sizes = counted.where("term = ''")
     stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
     shards = shards or max(1, -(-stats["n"] // SHARD))
@@ -86,7 +91,7 @@ def replaced(index: Index, changed: DataFrame, removed: DataFrame | None = None)
     gone = changed.select("doc_id") if removed is None else changed.select("doc_id").union(removed.select("doc_id"))
     gone = materialize(gone.distinct().select("doc_id", _shard(index.shards)), "gone")
     touched = gone.select("shard").distinct()
-    counted = materialize(_counted(changed, index.shards, None), "counted")
+    counted = materialize(_counted(changed, None), "counted")
     now = counted.where("term != ''").select("term", _shard(index.shards), "doc_id", "tf", "dl")
     old = index.blocks.join(touched, "shard", "left_semi").select("term", "shard", F.explode("posts").alias("p")).select("term", "shard", "p.doc_id", "p.tf", "p.dl")
     again = old.join(gone.select("doc_id"), "doc_id", "left_anti").select("term", "shard", "doc_id", "tf", "dl").unionByName(now)
@@ -96,7 +101,7 @@ def replaced(index: Index, changed: DataFrame, removed: DataFrame | None = None)
     return replace(index, blocks=materialize(blocks, "blocks"), lengths=materialize(lengths, "lengths"))
 
 
-def _weighed(index: Index, queries: DataFrame, mean: float, n: int) -> DataFrame:
+def _weighed(index: Index, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, term, idf) of the distinct terms of queries that the index has."""
     wanted = queries.select("query_id", "term").distinct()
     df = index.blocks.select("term", "n").join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
@@ -121,7 +126,7 @@ def search(index: Index, queries: DataFrame, k: int, all_terms: bool = False, di
         raise ValueError("k must be at least 1")
     stats = index.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
     n, mean = stats["n"], stats["mean"] or 1.0
-    weighed = materialize(_weighed(index, queries, mean, n), "weighed")
+    weighed = _weighed(index, queries, n)
     # a longer mean raises shares by no more than it grew
     allowance = max(1.0, mean / index.mean)
     heads = materialize(weighed.join(index.blocks.select("term", "shard", "n", "peak"), "term").select("query_id", "shard", "term", "idf", "n", (F.col("idf") * F.col("peak") * allowance).alias("bound")), "heads")
@@ -129,7 +134,6 @@ def search(index: Index, queries: DataFrame, k: int, all_terms: bool = False, di
     asked = queries.select("query_id", "term").distinct().groupBy("query_id").agg(F.count("*").alias("need"))
     if all_terms:
         shards = shards.join(asked, "query_id").where("terms = need").drop("need")
-    shards = materialize(shards, "shards")
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "shard")
     first = shards.withColumn("at", F.row_number().over(order)).where(F.col("at") <= FIRST).select("query_id", "shard")
     whole = lambda scores: scores.join(asked, "query_id").where("held = need").drop("need") if all_terms else scores
