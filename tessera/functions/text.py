@@ -54,12 +54,21 @@ def compatible(text: Column) -> Column:
     return fold(text)
 
 
+#: Characters that compatibility form and full case folding may change in a way that lower() doesn't; ranges of others are left out.
+ODD = (
+    "[^\\x00-\\x7F\\u00A1-\\u00A7\\u00A9\\u00AB\\u00AC\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB\\u00BF-\\u012F\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E"
+    "\\u0400-\\u0482\\u048A-\\u052F\\u2010\\u2012-\\u2016\\u2018-\\u201F\\u2022\\u2023\\u20AC\\u4E00-\\u9FA5]"
+)
+
+
 def normalized_exact(text: Column) -> Column:
-    return normalized(compatible(text))
+    """normalized() of any text. Only texts with a character of ODD are folded outside the JVM; for the others the task sends nulls."""
+    odd = text.rlike(ODD)
+    return F.when(odd, normalized(compatible(F.when(odd, text)))).otherwise(normalized(text))
 
 
 def content_hash(text: Column) -> Column:
-    return F.sha2(normalized(text), 256)
+    return F.sha2(normalized_exact(text), 256)
 
 
 def token_count(text: Column) -> Column:

@@ -384,7 +384,7 @@ SHORT_SQL = r"len(t) <= 120 AND len(regexp_split_to_array(t, '\s+')) <= 12"
 @query(rf"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|\n|\r')) AS line FROM documents),
  b AS (SELECT doc_id, trim(regexp_replace(line, '[.!?]+$', '')) AS t, regexp_replace(trim(regexp_replace(line, '[.!?]+$', '')), '\s+', ' ', 'g') AS body FROM l WHERE trim(regexp_replace(line, '[.!?]+$', '')) <> ''),
  m AS (SELECT doc_id, CASE WHEN NOT ({SHORT_SQL}) THEN NULL WHEN regexp_matches(body, '^#{{1,6}}\s+\S') THEN 'style'
-   WHEN regexp_matches(body, '\p{{Lu}}') AND NOT regexp_matches(body, '\p{{Ll}}') AND NOT regexp_matches(body, '[.!?;,]$') THEN 'uppercase' WHEN ends_with(body, ':') THEN 'colon' END AS method FROM b)
+   WHEN regexp_matches(body, '\p{{Lu}}') AND NOT regexp_matches(body, '\p{{Ll}}') AND NOT regexp_matches(body, '[.!?;]$') THEN 'uppercase' WHEN ends_with(body, ':') THEN 'colon' END AS method FROM b)
  SELECT doc_id, count(*) AS headings FROM m WHERE method IN ('uppercase', 'colon') GROUP BY doc_id""")
 def heading_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines without their end punctuation, as headings in capitals or with a colon."""

@@ -51,7 +51,7 @@ def compatibility(level: Column, section: Column) -> Column:
 
 def keyed(chunks: DataFrame) -> DataFrame:
     """Adds norm, the comparison text, and unit, the hash of it and its kind."""
-    norm = T.normalized(F.coalesce("text", F.lit("")))
+    norm = T.normalized_exact(F.coalesce("text", F.lit("")))
     kind = compatibility(F.col("chunk_level"), F.col("section_type"))
     return chunks.withColumn("norm", norm).withColumn("kind", kind).withColumn("unit", F.sha2(F.concat_ws("|", "kind", "norm"), 256))
 

@@ -76,80 +76,128 @@ def typed(blocks: DataFrame) -> DataFrame:
 
 
 def detected(blocks: DataFrame) -> DataFrame:
-    """Adds heading, method, confidence and level to blocks (doc_id, pos, text, style_level).
+    """Adds heading, method, detection, confidence, level, section_type and outline to blocks (doc_id, pos, text, style_level).
 
-    Not a heading: null heading. Markdown marks and styles give a level; words give a type; letters
-    in capitals or a closing colon make a heading of a short line without end punctuation.
+    Not a heading: null heading. Markdown marks and styles give a level; words or an outline's number give a type;
+    emphasis (columns bold, underline, highlight, where there are any), letters in capitals or a closing colon make
+    a heading of a short line, the first two only without end punctuation. method is the strongest sign,
+    detection all of them, joined by a plus.
     """
     t = F.trim(F.coalesce("text", F.lit("")))
     marks = F.regexp_extract(t, r"^(#{1,6})\s+\S", 1)
     plain = F.when(marks != "", F.regexp_replace(t, r"^#{1,6}\s+|\s*#*$", "")).otherwise(t)
     b = _once(blocks, "body", F.regexp_replace(plain, r"\s+", " ")).withColumn("level", F.coalesce("style_level", F.when(marks != "", F.length(marks))).cast("int"))
+    b = b.withColumn("_style", F.when(F.col("style_level").isNotNull(), "docx_heading_style").when(marks != "", "markdown_heading"))
     # only short lines are looked at further
     b = typed(_once(b, "body", F.when(short(F.col("body")), F.col("body"))))
     body, kind = F.col("body"), F.col("kind")
-    ended = body.rlike(r"[.!?;,]$")
+    ended = body.rlike(r"[.!?;]$")
     capitals = body.rlike(r"\p{Lu}") & ~body.rlike(r"\p{Ll}")
-    method = F.when(body.isNull(), None).when(F.col("level").isNotNull(), "style").when(kind.isNotNull() & (kind != "subpoint"), "keyword").when((F.col("outline_label") != "") & ~ended, "numbered").when(capitals & ~ended, "uppercase").when(body.endswith(":"), "colon")
-    b = _once(b, "method", method).withColumn("outline", outline_depth(F.col("outline_label")).cast("int"))
-    confidence = F.coalesce(*[F.when(F.col("method") == k, F.lit(v)) for k, v in CONFIDENCE.items()])
-    is_heading = F.col("method").isNotNull()
-    return b.select(*blocks.columns, F.when(is_heading, body).alias("heading"), "method", confidence.alias("confidence"), "level", F.when(is_heading, F.coalesce("kind", F.lit("heading"))).alias("section_type"), "outline")
+    stressed = F.array_compact(F.array(*[F.when(F.col(c), c) for c in ("bold", "underline", "highlight") if c in blocks.columns] or [F.lit(None).cast("string")]))
+    keyword, numbered = kind.isNotNull() & (kind != "subpoint"), F.col("outline_label") != ""
+    method = F.when(body.isNull(), None).when(F.col("level").isNotNull(), "style").when(keyword, "keyword").when(numbered, "numbered").when((F.size(stressed) > 0) & ~ended, "formatted").when(capitals & ~ended, "uppercase").when(body.endswith(":"), "colon")
+    b = _once(b, "method", method).withColumn("outline", F.when(kind.isNotNull(), outline_depth(F.col("outline_label"))).cast("int"))
+    found = F.col("method")
+    single = F.when(found == "formatted", F.concat(F.lit("formatted_short_line:"), F.array_join(stressed, "+"))).when(found == "uppercase", "uppercase_short_line").when(found == "colon", "short_colon_line")
+    detection = F.coalesce(single, F.array_join(F.array_compact(F.array("_style", F.when(keyword, "debate_keyword"), F.when(kind.isNotNull() & numbered, "numbering"))), "+"))
+    confidence = F.coalesce(*[F.when(found == k, F.lit(v)) for k, v in CONFIDENCE.items()])
+    is_heading = found.isNotNull()
+    return b.select(*blocks.columns, F.when(is_heading, body).alias("heading"), "method", F.when(is_heading, detection).alias("detection"), confidence.alias("confidence"), "level", F.when(is_heading, F.coalesce("kind", F.lit("heading"))).alias("section_type"), "outline")
 
 
 def wanted_parent(kind: str, open_sections: list[dict]) -> int | None:
-    """Place among the open sections of the nearest container that takes a kind as its child."""
-    for at in range(len(open_sections) - 1, -1, -1):
-        c = open_sections[at]["kind"]
-        if c == "theory_shell" and kind in THEORY_CHILDREN or c == "kritik" and kind in KRITIK_CHILDREN or c in ("advantage", "disadvantage", "contention") and kind in CASE_CHILDREN:
-            return at
-    return None
+    """Place among the open sections of the nearest container that takes a kind as its child; a kind of theory belongs to theory alone."""
+    if kind in THEORY_CHILDREN:
+        takers: tuple[str, ...] = ("theory_shell",)
+    elif kind in KRITIK_CHILDREN or kind in CASE_CHILDREN:
+        takers = ("kritik", "advantage", "disadvantage", "contention")
+    else:
+        return None
+    return next((at for at in range(len(open_sections) - 1, -1, -1) if open_sections[at]["kind"] in takers), None)
+
+
+def wanted_level(kind: str, style: int | None, outline: int | None, stack: list[dict]) -> tuple[int, int | None]:
+    """(level, place of the parent that its type asks for, if any) of a heading under the open sections.
+
+    An outline's number counts from the innermost open section that is no subpoint; then the container that the type
+    belongs to, then a stated level, then one below an open typed section, else the top.
+    """
+    if outline is not None:
+        return next((s["level"] for s in reversed(stack) if s["kind"] != "subpoint"), 0) + outline, None
+    if (at := wanted_parent(kind, stack)) is not None:
+        return stack[at]["level"] + 1, at
+    if style is not None:
+        return style, None
+    if kind == "heading" and stack and stack[-1]["kind"] != "heading":
+        return stack[-1]["level"] + 1, len(stack) - 1
+    return 1, None
+
+
+FOREST = ("section_id", "string"), ("parent_id", "string"), ("level", "int"), ("wanted", "int"), ("path", "array<string>")
 
 
 def sections(headings: DataFrame) -> DataFrame:
-    """(doc_id, pos, section_id, parent_id, level, path, section_type, heading): the section forest.
+    """(doc_id, pos, section_id, parent_id, level, wanted, path, section_type, heading): the section forest.
 
     headings: detected() rows with a heading. The rows of a document come in order through one task,
-    which holds the sections open at that point. A heading of no stated level goes one below the
-    container that its type belongs to, or below the open typed section, else at the top; no level
-    is skipped.
+    which holds the sections open at that point. No level is skipped below an open section: wanted is
+    the level that the heading asked for, level what it got. A heading with nothing above it keeps its level as a root.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, n, stack = None, 0, []
         for b in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for did, level, kind, outline in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 5)), strict=True):
+            out: list[list] = [[] for _ in FOREST]
+            for did, style, kind, outline in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 5)), strict=True):
                 if did != doc:
                     doc, n, stack = did, 0, []
                 n += 1
-                at = wanted_parent(kind, stack)
-                if level is not None:
-                    want = level
-                elif outline is not None and stack:
-                    want = stack[0]["level"] + outline
-                elif at is not None:
-                    want = stack[at]["level"] + 1
-                elif kind == "heading" and stack and stack[-1]["kind"] != "heading":
-                    want = stack[-1]["level"] + 1
-                else:
-                    want = 1
-                if level is None and at is not None:
+                want, at = wanted_level(kind, style, outline, stack)
+                if at is not None:
                     del stack[at + 1 :]
                 while stack and stack[-1]["level"] >= want:
                     stack.pop()
-                want = min(want, (stack[-1]["level"] if stack else 0) + 1)
+                level = min(want, stack[-1]["level"] + 1) if stack else want
                 sid = f"{did}:section:{n:04d}"
                 parent = stack[-1]["id"] if stack else None
-                stack.append({"id": sid, "level": want, "kind": kind})
-                for o, x in zip(out, (sid, parent, want, [s["id"] for s in stack]), strict=True):
+                stack.append({"id": sid, "level": level, "kind": kind})
+                for o, x in zip(out, (sid, parent, level, want, [s["id"] for s in stack]), strict=True):
                     o.append(x)
-            cols = [pa.array(o, t) for o, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, b.column(3), b.column(4)], ["doc_id", "pos", "section_id", "parent_id", "level", "path", "section_type", "heading"])
+            cols = [pa.array(o, t) for o, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, b.column(3), b.column(4)], ["doc_id", "pos", *[c for c, _ in FOREST], "section_type", "heading"])
 
     kind = headings.schema["doc_id"].dataType.simpleString()
     ordered = headings.repartition("doc_id").sortWithinPartitions("doc_id", "pos").select("doc_id", F.col("pos").cast("int").alias("pos"), "level", "section_type", "heading", "outline")
-    return ordered.mapInArrow(run, f"doc_id {kind}, pos int, section_id string, parent_id string, level int, path array<string>, section_type string, heading string")
+    return ordered.mapInArrow(run, f"doc_id {kind}, pos int, {', '.join(f'{c} {t}' for c, t in FOREST)}, section_type string, heading string")
+
+
+def outlines(blocks: DataFrame, found: DataFrame, forest: DataFrame, stem: Column | None = None) -> DataFrame:
+    """(doc_id, title, sections, orphans, confidence, remarks): one row for each document of blocks.
+
+    found: detected() rows of the blocks. The title is the first heading of style level 1 or with Markdown marks, else stem (of the document's columns
+    in blocks; null without). orphans counts blocks with text before the first section; confidence is the mean over
+    sections. remarks, in order: levels that were skipped, roots that begin below the top, orphans, no section at all.
+    """
+    kept = found.where("heading is not null")
+    marked = (F.col("level") == 1) & (F.col("style_level").isNotNull() | F.col("detection").startswith("markdown")) | F.col("detection").startswith("markdown_heading")
+    title = F.min_by(F.regexp_replace("heading", r":+$", ""), F.when(marked, F.col("pos")))
+    heads = kept.groupBy("doc_id").agg(F.when(F.max(marked), title).alias("title"), F.round(F.avg("confidence"), 4).alias("confidence"), F.count("*").alias("sections"), F.min("pos").alias("_first"))
+    below = forest.where("wanted > level or parent_id is null and level > 1")
+    jump = F.when(F.col("parent_id").isNotNull(), F.format_string("Heading at source block %d jumped from level %d to %d; normalized to level %d.", F.col("pos"), F.col("level") - 1, F.col("wanted"), F.col("level")))
+    said = F.coalesce(jump, F.format_string("Heading at source block %d begins at level %d without a detected parent; preserved as a root.", F.col("pos"), F.col("level")))
+    jumps = below.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))).alias("_jumps"))
+    docs = blocks.groupBy("doc_id").agg((F.min(stem) if stem is not None else F.lit(None).cast("string")).alias("_stem"))
+    before = blocks.join(heads.select("doc_id", "_first"), "doc_id", "left").where(F.col("_first").isNull() | (F.col("pos") < F.col("_first")))
+    orphans = before.where(F.trim("text") != "").groupBy("doc_id").agg(F.count("*").alias("orphans"))
+    all_ = docs.join(heads, "doc_id", "left").join(jumps, "doc_id", "left").join(orphans, "doc_id", "left").fillna(0, ["sections", "orphans"]).fillna(0.0, ["confidence"])
+    remarks = F.concat(
+        F.coalesce(F.transform("_jumps", lambda j: j["said"]), F.array().cast("array<string>")),
+        F.array_compact(F.array(
+            F.when(F.col("orphans") > 0, F.format_string("%d non-empty source block(s) precede any detected heading.", F.col("orphans"))),
+            F.when(F.col("sections") == 0, "No reliable debate structure was detected; all source blocks remain unstructured."),
+        )),
+    )
+    return all_.select("doc_id", F.coalesce("title", "_stem").alias("title"), "sections", "orphans", "confidence", remarks.alias("remarks"))
 
 
 def bodies(blocks: DataFrame, forest: DataFrame) -> DataFrame:

@@ -218,3 +218,87 @@ def test_stream_equals_batch(spark, tmp_path):
     telemetry.run_once(spark, str(tmp_path / "in"), "*.parquet", e.schema, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     closed = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert closed and closed <= {tuple(r) for r in telemetry.windowed(e).collect()}
+
+
+def slow_sections(rows):
+    """rows: (style, kind, outline) of a document's headings, in order. Levels, wanted levels and parents by recursion over ancestors."""
+    out = []
+    # the families of the rules: a type is first a child of theory, then of a kritik, then of a case
+    def accepted(kind):
+        families = ((structure.THEORY_CHILDREN, {"theory_shell"}), (structure.KRITIK_CHILDREN, {"kritik", "advantage", "disadvantage", "contention"}), (structure.CASE_CHILDREN, {"advantage", "disadvantage", "contention", "kritik"}))
+        return next((parents for kinds, parents in families if kind in kinds), set())
+
+    for style, kind, outline in rows:
+        line, at = [], (len(out) - 1 if out else None)
+        while at is not None:
+            line.append(at)
+            at = out[at][0]
+        parent = next((a for a in line if out[a][3] in accepted(kind)), None) if outline is None else None
+        if outline is not None:
+            want = next((out[a][1] for a in line if out[a][3] != "subpoint"), 0) + outline
+        elif parent is not None:
+            want = out[parent][1] + 1
+        elif style is not None:
+            want = style
+        elif kind == "heading" and line and out[line[0]][3] != "heading":
+            want = out[line[0]][1] + 1
+        else:
+            want = 1
+        if parent is None:
+            parent = next((a for a in line if out[a][1] < want), None)
+        level = want if parent is None else min(want, out[parent][1] + 1)
+        out.append((parent, level, want, kind))
+    return out
+
+
+def test_sections_by_brute_force(spark):
+    rng = random.Random(4)
+    kinds = ["heading", "subpoint", "advantage", "kritik", "theory_shell", "link", "impact", "standards", "answer", "framework", "claim", "turn"]
+    rows = []
+    for d in range(60):
+        for i in range(rng.randrange(1, 25)):
+            kind = rng.choice(kinds)
+            rows.append((d, i, rng.choice([None, None, 1, 2, 3, 5]), kind, f"h{i}", rng.choice([1, 2, 3]) if kind == "subpoint" or rng.random() < 0.1 else None))
+    found = spark.createDataFrame(rows, "doc_id long, pos int, level int, section_type string, heading string, outline int")
+    got = {}
+    for r in structure.sections(found).orderBy("doc_id", "pos").collect():
+        got.setdefault(r["doc_id"], []).append((None if r["parent_id"] is None else int(r["parent_id"][-4:]) - 1, r["level"], r["wanted"], r["section_type"]))
+    for d in range(60):
+        assert got[d] == slow_sections([(r[2], r[3], r[5]) for r in rows if r[0] == d]), d
+
+
+def test_two_headings_with_four_children_each_give_ten_chunks(spark):
+    blocks, i = [], 0
+    for top in ("Advantage 1: Access", "Disadvantage: Costs"):
+        blocks.append((1, i, top, 1))
+        i += 1
+        for child in ("Uniqueness", "Link", "Internal Link", "Impact"):
+            blocks += [(1, i, child, 2), (1, i + 1, f"A paragraph about {child.lower()} that says what it is.", None)]
+            i += 2
+    b = spark.createDataFrame(blocks, "doc_id long, pos int, text string, style_level int")
+    forest = structure.sections(structure.detected(b).where("heading is not null"))
+    got = structure.argument_chunks(forest, structure.bodies(b, forest)).collect()
+    assert len(got) == 10 and sorted(r["chunk_level"] for r in got) == ["argument"] * 2 + ["submodule"] * 8
+
+
+def test_outlines_have_titles_orphans_and_remarks(spark):
+    rows = [(1, 0, "before anything", None, False), (1, 1, "# Whole Case:", None, False), (1, 2, "Advantage 1", None, False), (1, 3, "1. first point", None, False), (1, 4, "ii. deep point.", None, False), (1, 5, "Some Words", None, True), (2, 0, "a. begins low", None, False), (3, 0, "nothing here at all, just a sentence.", None, False)]
+    b = spark.createDataFrame([(*r, f"stem{r[0]}") for r in rows], "doc_id long, pos int, text string, style_level int, bold boolean, stem string")
+    found = structure.detected(b)
+    said = {(r["doc_id"], r["pos"]): (r["method"], r["detection"]) for r in found.where("heading is not null").collect()}
+    assert said == {(1, 1): ("style", "markdown_heading"), (1, 2): ("keyword", "debate_keyword"), (1, 3): ("numbered", "numbering"), (1, 4): ("numbered", "numbering"), (1, 5): ("formatted", "formatted_short_line:bold"), (2, 0): ("numbered", "numbering")}
+    forest = structure.sections(found.where("heading is not null"))
+    got = {r["doc_id"]: r for r in structure.outlines(b, found, forest, F.col("stem")).collect()}
+    assert [(got[d]["title"], got[d]["sections"], got[d]["orphans"]) for d in (1, 2, 3)] == [("Whole Case", 5, 1), ("stem2", 1, 0), ("stem3", 0, 1)]
+    assert got[1]["remarks"] == ["Heading at source block 4 jumped from level 2 to 4; normalized to level 3.", "1 non-empty source block(s) precede any detected heading."]
+    assert got[2]["remarks"] == ["Heading at source block 0 begins at level 2 without a detected parent; preserved as a root."]
+    assert got[3]["remarks"][-1].startswith("No reliable debate structure") and got[3]["confidence"] == 0.0
+
+
+def test_round_types_and_http_categories(spark):
+    motions = ["THW ban x", "this house would y", "THP a", "This House Regrets b", "THBT c", "This House Believes That d", "THO e", "THWx f", None]
+    got = [r[0] for r in spark.createDataFrame([(m,) for m in motions], "m string").select(rounds.round_type(F.col("m"))).collect()]
+    assert got == ["policy", "policy", "value", "value", "unknown", "unknown", "unknown", "unknown", "unknown"]
+    codes = [400, 401, 403, 404, 429, 500, 503, 418, 200, None]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in codes], "c int").select(rounds.http_category(F.col("c"))).collect()]
+    assert got == ["invalid_request", "authentication", "permission", "model_unavailable", "rate_limit_or_quota", "server_error", "server_error", "provider_error", None, None]

@@ -42,3 +42,14 @@ def test_truncated_and_junk(spark):
 
 def test_speech_words(spark):
     assert one(spark, T.speech_words, "Don't over-think it") == 3
+
+
+def test_the_fold_within_the_jvm_equals_the_full_one_for_every_character(spark):
+    every = [f"A{chr(c)}b {chr(c)}" for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000] + ["ﬁne ＡＢ１２％", "STRASSE straße", "İstanbul ΣΑΣ", "e\u0301tude", "\u212b", None]
+    df = spark.createDataFrame([(t,) for t in every], "t string")
+    full = T.normalized(T.compatible(F.col("t")))
+    wrong = df.select("t", T.normalized_exact(F.col("t")).alias("a"), full.alias("b")).where("not (a <=> b)")
+    assert [r["t"] for r in wrong.collect()] == []
+    assert df.where(F.col("t").rlike(T.ODD)).count() < df.count() - 20_000
+    fine = df.where("t like 'ﬁne%'").select(T.normalized_exact(F.col("t"))).first()[0]
+    assert fine == "fine ab12%" or fine == "fine ab12 %" or fine.startswith("fine ab12")
