@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.jobs.catalogue import COS_SQL, GROUP_SQL, REQUEST, SCORE_SQL, TREE_SQL, UNITS_SQL, URL_SQL, _candidates, _forest, _probes, chunks, group_of, query
-from tessera.operators import groups, reports, retrieval, rounds, store, structure, validation, vectors
+from tessera.operators import dedupe, groups, reports, requests, retrieval, rounds, store, structure, validation, vectors
 from tessera.tables import materialize, table
 
 MEMBERS_SQL = f"""{UNITS_SQL}, gid AS (SELECT unit, 'dup_' || substr(sha256(array_to_string(list_sort(list(chunk_id)), '|')), 1, 16) AS duplicate_group_id FROM hashed GROUP BY unit HAVING count(*) > 1),
@@ -192,3 +192,36 @@ def near_group_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, near = groups.memberships(c)
     members = materialize(members, "memberships")
     return groups.table_of(members, c, near).join(groups.notes(members, c).withColumn("notes", F.array_join("notes", " ")), "duplicate_group_id")
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> requests.Result:
+    """Every benchmark item is a motion. Documents are arguments, each with the next two by id as its submodules; probes of the vectors are the searches' answers."""
+    items = table(spark, sf_dir, "benchmark")
+    k = F.col("item_id") % 4
+    asked = items.select(
+        F.col("item_id").alias("request_id"), F.concat(F.lit("This House Would "), "text").alias("motion"),
+        F.when(k == 0, "gov").when(k == 1, "opp").alias("side"), F.when(k == 2, "flay").alias("judge"), F.when(k == 3, "personal").alias("source_group"), F.when(k == 1, 3).alias("desired_arguments"),
+    )
+    d, own = chunks(spark, sf_dir), F.col("doc_id") % 3
+    c = d.withColumn("chunk_level", F.when(own == 0, "argument").otherwise("submodule")).withColumn("parent", F.when(own > 0, F.col("doc_id") - own)).withColumn("document", (F.col("doc_id") - F.col("doc_id") % 9))
+    c = c.withColumn("heading", F.substring_index("text", "\n", 1))
+    many = items.count()
+    hits = vectors.nearest(_probes(spark, sf_dir), table(spark, sf_dir, "embeddings"), 18)
+    at = (F.col("query_id") / 20).cast("long")
+    ids = items.select("item_id").distinct().withColumn("at", F.row_number().over(Window.orderBy("item_id")) - 1)
+    hits = hits.withColumn("at", at % many).join(ids, "at").select(F.col("item_id").alias("request_id"), ((at / many).cast("int") % 4).alias("ordinal"), F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score"))
+    keyed = materialize(dedupe.keyed(d).select("unit", "doc_id"), "keyed")
+    first = keyed.groupBy("unit").agg(F.min("doc_id").alias("representative"), F.count("*").alias("n")).where("n > 1")
+    copies = materialize(keyed.join(first, "unit").select(F.col("doc_id").alias("member"), "representative"), "copies")
+    return requests.retrieve(asked, c, hits, copies)
+
+
+@query()
+def retrieve_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _requests(spark, sf_dir).selected
+    return got.select("request_id", "doc_id", "level", "pick", F.round("score", 6).alias("score"), F.round("adjusted", 6).alias("adjusted"), "support_level", "parent", F.array_join("children", ",").alias("children"))
+
+
+@query()
+def request_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _requests(spark, sf_dir).statistics.withColumn("warnings", F.array_join("warnings", " "))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.dedupe import similarity
+from tessera.operators.dedupe import similarity, similarity_of
 
 # Vocabularies and weights of the scoring model.
 INTENTS = {
@@ -94,6 +94,33 @@ class Request:
     concepts: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class Asked:
+    """A request whose parts are columns, so that many requests are scored in one plan."""
+
+    side: Column
+    round_type: Column
+    judge: Column
+    source_group: Column
+    include_theory: Column
+    include_kritiks: Column
+    intents: Column
+    concepts: Column
+
+    @classmethod
+    def of(cls, request: Request | Asked) -> Asked:
+        if isinstance(request, Asked):
+            return request
+        word = lambda x: F.lit(x).cast("string")
+        flag = lambda x: F.lit(x).cast("boolean")
+        many = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+        return cls(word(request.side), word(request.round_type), word(request.judge), word(request.source_group), flag(request.include_theory), flag(request.include_kritiks), many(request.intents), many(request.concepts))
+
+    @classmethod
+    def columns(cls, prefix: str = "asked_") -> Asked:
+        return cls(*[F.col(prefix + name) for name in cls.__dataclass_fields__])
+
+
 def _listed(words: str) -> Column:
     return F.array(*map(F.lit, words.split()))
 
@@ -108,15 +135,23 @@ def themes(tokens: Column, table: dict[str, str]) -> Column:
 
 
 def generated_queries(requests: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(request_id, ordinal, family, text); requests: request_id, motion, side."""
+    """(request_id, ordinal, family, text); requests: request_id, motion, side, and where there are any explicit_concepts, user_queries, infoslide.
+
+    The core are the motion's terms, then those of the explicit concepts, then the first sixty of the infoslide. The user's own
+    queries come right after the motion.
+    """
+    has = lambda name, kind: F.coalesce(F.col(name), F.array().cast(kind)) if name in requests.columns else F.array().cast(kind)
+    slide = F.slice(T.concepts(F.coalesce("infoslide", F.lit(""))), 1, 60) if "infoslide" in requests.columns else F.array().cast("array<string>")
+    more_terms = F.flatten(F.transform(has("explicit_concepts", "array<string>"), T.concepts))
     cleaned = T.clean_motion(F.coalesce("motion", F.lit("")))
-    r = requests.withColumn("cleaned", cleaned).withColumn("tokens", T.concepts(F.col("cleaned"))).withColumn("core", F.array_join("tokens", " "))
+    r = requests.withColumn("cleaned", cleaned).withColumn("own", has("user_queries", "array<string>")).withColumn("tokens", F.array_distinct(F.concat(T.concepts(F.col("cleaned")), more_terms, slide))).withColumn("core", F.array_join("tokens", " "))
     some = lambda table, other: F.when(F.size(themes(F.col("tokens"), table)) > 0, F.slice(themes(F.col("tokens"), table), 1, 2)).otherwise(F.array(F.concat(F.col("core"), F.lit(other))))
     one = lambda family, text: F.struct(F.lit(family).alias("family"), text.alias("text"))
     more = lambda family, texts: F.transform(texts, lambda t: one(family, t))
     said = lambda *heads: F.array(*[F.concat(F.lit(h + " "), F.col("core")) for h in heads])
     sides = F.when(F.col("side").isin("aff", "gov"), said("benefits advantages reform change", "harms problems current policy status quo")).when(F.col("side").isin("neg", "opp"), said("harms risks disadvantages change", "benefits defenses current policy restrictions")).otherwise(F.array().cast("array<string>"))
-    every = F.concat(F.array(one("full_motion", F.col("cleaned")), one("core_concept", F.col("core"))), more("mechanism", some(MECHANISMS, " incentives mechanism effects")), more("impact", some(IMPACTS, " impacts harms benefits")), more("side_aware", sides))
+    own = F.transform("own", lambda t: one("explicit", F.trim(F.regexp_replace(t, r"\s+", " "))))
+    every = F.concat(F.array(one("full_motion", F.col("cleaned"))), own, F.array(one("core_concept", F.col("core"))), more("mechanism", some(MECHANISMS, " incentives mechanism effects")), more("impact", some(IMPACTS, " impacts harms benefits")), more("side_aware", sides))
     rows = r.select("request_id", F.posexplode(every).alias("at", "q")).where(F.trim("q.text") != "")
     first = rows.withColumn("same", F.row_number().over(Window.partitionBy("request_id", F.lower("q.text")).orderBy("at"))).where("same = 1")
     placed = first.withColumn("ordinal", F.row_number().over(Window.partitionBy("request_id").orderBy("at")) - 1)
@@ -146,26 +181,25 @@ def is_kritik(section: Column, document_type: Column) -> Column:
     return (document_type == "kritik") | F.lower(section).isin(*KRITIK) & ~is_theory(section, document_type)
 
 
-def eligibility(request: Request) -> Column:
+def eligibility(request: Request | Asked) -> Column:
     """The first rule that keeps a chunk out, or ok. Columns: source_group, section_type, document_type, is_special."""
+    a = Asked.of(request)
     theory, kritik = is_theory(F.col("section_type"), F.col("document_type")), is_kritik(F.col("section_type"), F.col("document_type"))
     personal = (F.col("source_group") == "personal") | F.col("is_special")
-    asked = "theory" in request.intents
-    out = F.when(F.lit(request.source_group is not None) & (F.col("source_group") != F.lit(request.source_group or "")), "source-group filter")
-    out = out.when(theory & ~personal, "non-personal theory excluded")
-    if request.include_theory is False:
-        out = out.when(theory, "theory explicitly excluded")
-    elif request.include_theory is not True and not asked:
-        out = out.when(theory, "theory not requested")
-    out = out.when(theory, "ok")
-    if asked:
-        out = out.when(F.lit(True), "non-theory material excluded from theory retrieval")
-    out = out.when(kritik & ~personal, "non-personal kritik excluded")
-    if request.include_kritiks is False:
-        out = out.when(kritik, "kritiks explicitly excluded")
-    elif request.include_kritiks is not True and not (request.judge == "tech" and "kritik" in request.intents):
-        out = out.when(kritik, "kritik not eligible for judge/context")
-    return out.otherwise("ok")
+    asked = F.array_contains(a.intents, "theory")
+    yes, no = lambda c: F.coalesce(c, F.lit(False)), lambda c: F.coalesce(~c, F.lit(False))
+    return (
+        F.when(yes(F.col("source_group") != a.source_group), "source-group filter")
+        .when(theory & ~personal, "non-personal theory excluded")
+        .when(theory & no(a.include_theory), "theory explicitly excluded")
+        .when(theory & ~yes(a.include_theory) & ~asked, "theory not requested")
+        .when(theory, "ok")
+        .when(asked, "non-theory material excluded from theory retrieval")
+        .when(kritik & ~personal, "non-personal kritik excluded")
+        .when(kritik & no(a.include_kritiks), "kritiks explicitly excluded")
+        .when(kritik & ~yes(a.include_kritiks) & ~(yes(a.judge == "tech") & F.array_contains(a.intents, "kritik")), "kritik not eligible for judge/context")
+        .otherwise("ok")
+    )
 
 
 def _table(values: dict, col: Column, default: float) -> Column:
@@ -178,13 +212,14 @@ def empirical() -> Column:
     return ~out & (section.isin(*EMPIRICAL) | F.col("freshness").isin(*FRESHNESS) | F.col("text").rlike(r"\p{Nd}"))
 
 
-def scored(candidates: DataFrame, request: Request, settings: Settings = Settings()) -> DataFrame:
+def scored(candidates: DataFrame, request: Request | Asked, settings: Settings = Settings()) -> DataFrame:
     """Adds base and each part of the score, their sum, support and its level.
 
     Columns: semantic_score, lexical_score, their matches, text, heading, section_type,
     document_type, source_group, is_special, side, round_type, freshness.
     """
-    s, tokens = settings, F.array(*map(F.lit, request.concepts)) if request.concepts else F.array().cast("array<string>")
+    s, a = settings, Asked.of(request)
+    tokens = a.concepts
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     base = s.semantic * clamp(F.col("semantic_score")) + s.lexical * clamp(F.col("lexical_score")) + s.concept * T.overlap(tokens, T.concepts(F.col("text"))) + s.heading * T.overlap(tokens, T.concepts(F.col("heading")))
     out = candidates.withColumn("base", base)
@@ -192,14 +227,15 @@ def scored(candidates: DataFrame, request: Request, settings: Settings = Setting
     context = T.overlap(tokens, T.concepts(F.concat_ws(" ", "heading", F.substring("text", 1, 500))))
     motion = F.when((F.col("source_group") == "past_case") & (context >= 0.20), F.least(F.lit(1.0), 0.7 * context + 0.3 * F.greatest(F.lit(0.0), F.col("semantic_score"))) * s.motion_similarity).otherwise(0.0)
     section = F.lower(F.col("section_type"))
-    fits = [F.when(section == i, 1.0).when(section.isin(*SECTION_FIT.get(i, ())), 0.75).otherwise(0.0) if SECTION_FIT.get(i) and i in SECTION_FIT[i] else F.when(section.isin(*SECTION_FIT.get(i, ("",))), 0.75).otherwise(0.0) for i in request.intents]
-    if request.judge in ("flay", "fully_lay"):
-        fits.append(F.when(section.isin("claim", "warrant", "impact", "harms", "solvency"), 0.35).otherwise(0.0))
-    fit = F.greatest(*fits, F.lit(0.0)) if fits else F.lit(0.0)
+    serves = lambda i, kinds: F.when(section == i, 1.0 if i in kinds else 0.0).when(section.isin(*kinds), 0.75).otherwise(0.0)
+    fits = [F.when(F.array_contains(a.intents, i), serves(i, kinds)).otherwise(0.0) for i, kinds in SECTION_FIT.items()]
+    lay = F.when(a.judge.isin("flay", "fully_lay") & section.isin("claim", "warrant", "impact", "harms", "solvency"), 0.35).otherwise(0.0)
+    fit = F.greatest(*fits, lay)
     family = lambda c: F.when(c.isin("aff", "gov"), 1).when(c.isin("neg", "opp"), 2)
-    mine = {"aff": 1, "gov": 1, "neg": 2, "opp": 2}.get(request.side or "")
-    sides = F.coalesce(F.when(family(F.col("side")) == mine, 0.025).when(family(F.col("side")).isNotNull(), -0.01), F.lit(0.0)) if mine else F.lit(0.0)
-    rounds = F.when(F.col("round_type") == request.round_type, 0.015).when(F.coalesce("round_type", F.lit("unknown")) != "unknown", -0.005).otherwise(0.0) if request.round_type not in (None, "unknown") else F.lit(0.0)
+    mine, theirs = family(a.side), family(F.col("side"))
+    sides = F.when(mine == theirs, 0.025).when(mine.isNotNull() & theirs.isNotNull(), -0.01).otherwise(0.0)
+    stated = a.round_type.isNotNull() & (a.round_type != "unknown")
+    rounds = F.when(stated & (F.col("round_type") == a.round_type), 0.015).when(stated & (F.coalesce("round_type", F.lit("unknown")) != "unknown"), -0.005).otherwise(0.0)
     out = out.select(
         "*",
         (F.col("base") * (weight - 1) * s.source_influence).alias("source_part"),
@@ -221,17 +257,19 @@ def reasons() -> Column:
     return F.filter(F.array(*[F.when(c, t) for c, t in pairs]), lambda x: x.isNotNull())
 
 
-def diversified(pool: DataFrame, k: int, settings: Settings = Settings()) -> DataFrame:
+def diversified(pool: DataFrame, k: int | None, settings: Settings = Settings()) -> DataFrame:
     """(query_id, doc_id, adjusted, pick): greedy choice of k by score less redundancy with what is chosen.
 
+    Without k each query takes as many as its rows' column most says.
+
     A pool is cut to settings.semantic_pool + settings.lexical_pool candidates by score first, so
     the fold over one query's pool is small whatever the table. pool: query_id, doc_id, score,
     text, section_type, parent, document.
     """
-    s, most = settings, settings.semantic_pool + settings.lexical_pool
+    s = settings
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    cut = pool.withColumn("at", F.row_number().over(w)).where(F.col("at") <= most)
-    rows = cut.select("query_id", "doc_id", "score", F.lower("section_type").alias("section_type"), "parent", "document", T.normalized(F.coalesce("text", F.lit(""))).alias("norm"))
+    cut = pool.withColumn("at", F.row_number().over(w)).where(F.col("at") <= s.semantic_pool + s.lexical_pool)
+    rows = cut.select("query_id", F.lit(k).cast("int").alias("most") if k is not None else F.col("most").cast("int"), "doc_id", "score", F.lower("section_type").alias("section_type"), "parent", "document", T.normalized(F.coalesce("text", F.lit(""))).alias("norm"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         left = part.sort_values("doc_id").to_dict("records")
@@ -254,7 +292,7 @@ def diversified(pool: DataFrame, k: int, settings: Settings = Settings()) -> Dat
         for r in left:
             r["worst"], r["same"] = 0.0, 0
         adjusted = lambda r: r["score"] - round(r["worst"] + s.repeated_function * min(2, r["same"]), 6)
-        while left and len(chosen) < k:
+        while left and len(chosen) < part["most"].iloc[0]:
             best = max(left, key=lambda r: (adjusted(r), -r["doc_id"]))
             best["adjusted"] = round(adjusted(best), 6)
             left.remove(best)
@@ -314,3 +352,33 @@ def masterfile_part(base: Column, name: Column, concepts: tuple[str, ...], asked
     special = F.lower(F.coalesce(name, F.lit("")))
     theory = special == theory_file.lower()
     return F.when(theory & F.lit("theory" in asked), base * settings.theory_masterfile_bonus).when((special == case_file.lower()) & F.lit(relevant), base * settings.masterfile_bonus).otherwise(0.0)
+
+
+#: Text agreement from which a submodule only repeats an argument; what characters in order must then reach, and the lengths' ratio with it.
+REPEATS = 0.98
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def _letter_counts(norm: Column) -> Column:
+    return F.array(*[F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit(""))) for c in LETTERS])
+
+
+def repeating(submodules: DataFrame, arguments: DataFrame, threshold: float = REPEATS) -> DataFrame:
+    """(request_id, doc_id) of submodules whose text is as good as that of an argument chosen for the same request.
+
+    submodules: request_id, doc_id, text; arguments: request_id, text. Agreement is dedupe.similarity of the
+    comparison texts. Texts that agree word for word meet by hash. Others are compared only where their lengths and
+    letters allow the threshold: characters in order can't agree on more than the letters have in common.
+    """
+    side = lambda df, k, *keep: df.select("request_id", *keep, T.normalized_exact(F.coalesce("text", F.lit(""))).alias(k))
+    subs, args = side(submodules, "a", "doc_id"), side(arguments, "b").distinct()
+    equal = subs.join(args.withColumnRenamed("b", "a"), ["request_id", "a"], "left_semi").select("request_id", "doc_id")
+    # with all words in common, characters in order must still reach this
+    need = (threshold - 0.3) / 0.7
+    la, lb = F.length("a"), F.length("b")
+    rest = subs.join(equal, ["request_id", "doc_id"], "left_anti").withColumn("ca", _letter_counts(F.col("a")))
+    pairs = rest.join(args.withColumn("cb", _letter_counts(F.col("b"))), "request_id").where((la > 0) & (lb > 0) & (2 * F.least(la, lb) >= need * (la + lb)))
+    other = lambda n, counts: n - F.aggregate(counts, F.lit(0), lambda s, x: s + x)
+    common = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x) + F.least(other(la, F.col("ca")), other(lb, F.col("cb")))
+    near = pairs.where(2 * common >= need * (la + lb)).withColumn("s", similarity_of("a", "b")).where(F.col("s") >= threshold)
+    return equal.unionByName(near.select("request_id", "doc_id")).distinct()
