@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,80 @@ def snippet(text: Column, word: str, around: int = 8) -> Column:
     return F.concat(F.when(start > 1, "…").otherwise(""), F.array_join(cut, " "), F.when(start + 2 * around <= F.size(w), "…").otherwise(""))
 
 
+#: Words of a snippet, and how much a further term in it counts against repeated ones.
+SNIPPET, DISTINCT = 16, 1000
+TOKEN = regex.compile(r"[\p{L}\p{N}]+")
+FOLDS = str.maketrans(MARKED, PLAIN)
+
+
+def hits(tokens: list[str], match: Match) -> list[tuple[int, int, int]]:
+    """(place, length, which) of each word, phrase and prefix of a match among folded words, in order."""
+    asked = [((w,), False) for w in match.words] + [(p, False) for p in match.phrases] + [((p,), True) for p in match.prefixes]
+    at: dict[str, list[int]] = {}
+    for k, t in enumerate(tokens):
+        at.setdefault(t, []).append(k)
+    found = []
+    for which, (words, prefix) in enumerate(asked):
+        if prefix:
+            found += [(k, 1, which) for t, places in at.items() if t.startswith(words[0]) for k in places]
+        else:
+            found += [(k, len(words), which) for k in at.get(words[0], ()) if tuple(tokens[k : k + len(words)]) == words]
+    return sorted(found)
+
+
+def best_window(found: list[tuple[int, int, int]], n: int, size: int = SNIPPET) -> int:
+    """First word of the window that holds most of a match's terms, then most of their repeats, the earliest of equals.
+
+    Windows begin at a hit; the best is moved so that its hits stand in the middle, as far as the text reaches.
+    """
+    best, first, last = -1, 0, 0
+    for i, (start, *_) in enumerate(found):
+        inside = []
+        for h in found[i:]:
+            if h[0] >= start + size:
+                break
+            if h[0] + h[1] <= start + size:
+                inside.append(h)
+        terms_ = len({h[2] for h in inside})
+        score = DISTINCT * terms_ + len(inside) - terms_
+        if score > best:
+            best, first, last = score, start, max((h[0] + h[1] for h in inside), default=start + 1)
+    return max(0, min(first - (size - (last - first)) // 2, n - size))
+
+
+def best_snippet(text: Column, match: Match, size: int = SNIPPET, left: str = "[", right: str = "]", gap: str = " … ") -> Column:
+    """About size words of a text where a match is densest, hits in brackets; touching hits share them. Meant for the few rows of a result.
+
+    A text without a hit gives its first words, a null or empty one an empty snippet.
+    """
+
+    def cut(t: str | None) -> str:
+        spans = [m.span() for m in TOKEN.finditer(t or "")]
+        if not spans:
+            return ""
+        found = hits([t[a:b].lower().translate(FOLDS) for a, b in spans], match)
+        lo = best_window(found, len(spans), size)
+        hi = min(len(spans), lo + size)
+        marked = sorted((a, a + n) for a, n, _ in found if a >= lo and a + n <= hi)
+        runs: list[list[int]] = []
+        for a, b in marked:
+            if runs and a < runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        out, at = [gap if lo else ""], spans[lo][0]
+        for a, b in runs:
+            out += [t[at : spans[a][0]], left, t[spans[a][0] : spans[b - 1][1]], right]
+            at = spans[b - 1][1]
+        return "".join([*out, t[at : spans[hi - 1][1]], gap if hi < len(spans) else ""])
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series) -> pd.Series:
+        return t.map(cut)
+
+    return run(text)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, all_terms: bool = False) -> DataFrame:
     """(query_id, doc_id, score): summed over a query's distinct terms; queries: query_id, term.
 

@@ -1,0 +1,161 @@
+"""Snippets, context packing, vector synchronisation and saved hand-offs."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import os
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators import contexts, lexical, publishing
+from tessera.sources import checkpoints
+
+
+def slow_window(found, n, size):
+    def score(s):
+        inside = [h for h in found if h[0] >= s and h[0] + h[1] <= s + size]
+        kinds = len({h[2] for h in inside})
+        return 1000 * kinds + len(inside) - kinds, -s, max((h[0] + h[1] for h in inside), default=s + 1)
+
+    if not found:
+        return max(0, min(-((size - 0) // 2), n - size))
+    _, first, last = max(score(h[0]) for h in found)
+    first = -first
+    return max(0, min(first - (size - (last - first)) // 2, n - size))
+
+
+def test_best_window_equals_trying_all():
+    rng = random.Random(3)
+    match = lexical.parse_match('a "b c" d* e')
+    for _ in range(300):
+        words = [rng.choice(["a", "b", "c", "dd", "d", "e", "x", "y", "z"]) for _ in range(rng.randrange(1, 60))]
+        found = lexical.hits(words, match)
+        want = sorted([(i, 1, 0) for i, w in enumerate(words) if w == "a"] + [(i, 1, 1) for i, w in enumerate(words) if w == "e"] + [(i, 2, 2) for i in range(len(words) - 1) if words[i : i + 2] == ["b", "c"]] + [(i, 1, 3) for i, w in enumerate(words) if w.startswith("d")])
+        assert found == want
+        size = rng.choice([2, 5, 16])
+        assert lexical.best_window(found, len(words), size) == slow_window(found, len(words), size)
+
+
+def test_snippets_mark_the_densest_place(spark):
+    filler = "word " * 40
+    texts = [f"license {filler} Under the MIT License, Café releases; {filler}", "mit license", None, "", "nothing here", "?!"]
+    m = lexical.parse_match('"mit license" releas* cafe')
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", lexical.best_snippet(F.col("t"), m).alias("s")).orderBy("i").collect()
+    got = [r["s"] for r in rows]
+    assert "[MIT License], [Café] [releases]" in got[0] and got[0].startswith(" … ") and got[0].endswith(" … ")
+    assert len(re.findall(r"\w+", got[0])) == 16
+    assert got[1:] == ["[mit license]", "", "", "nothing here", ""]
+
+
+def test_context_packing_by_plain_loops(spark):
+    rng = random.Random(5)
+    budget = contexts.Budget(3, 2, 10)
+    items = [(q, rng.choice(["archive", "research"]), p, f"s{rng.randrange(9)}", "x" * rng.randrange(20), rng.random() < 0.7, q % 2 == 0) for q in range(12) for p in range(rng.randrange(14))]
+    kept, warned = contexts.packed(spark.createDataFrame(items, "request_id long, kind string, position int, source_id string, text string, eligible boolean, internet boolean"), budget)
+    want, said = [], []
+    for q in range(12):
+        own, remarks, seen = sorted((i for i in items if i[0] == q), key=lambda i: i[2]), [], set()
+        out = {"archive": [], "research": []}
+        full = False
+        for _, kind, _, s, text, ok, internet in own:
+            if (kind, s) in seen:
+                continue
+            seen.add((kind, s))
+            if kind == "archive":
+                if full:
+                    continue
+                if not ok:
+                    remarks.append((0, contexts.INELIGIBLE))
+                elif len(out[kind]) == budget.archive:
+                    full = True
+                    remarks.append((2, contexts.ARCHIVE_FULL))
+                else:
+                    out[kind].append((s, text[:10]))
+                    remarks += [(1, contexts.SHORTENED)] if len(text) > 10 else []
+            elif internet:
+                if len(out[kind]) == budget.research:
+                    remarks.append((3, contexts.RESEARCH_FULL))
+                else:
+                    out[kind].append((s, text[:10]))
+        want += [(q, k, i, *x) for k, xs in out.items() for i, x in enumerate(xs)]
+        said += [(q, i, w) for i, (_, w) in enumerate(sorted(set(remarks)))]
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(want)
+    assert sorted(tuple(r) for r in warned.collect()) == sorted(said)
+
+
+def encoder():
+    # a closure, so that workers need not import this module
+    def encode(texts):
+        if any("BAD" in t for t in texts):
+            raise ValueError("no vector")
+        return [[float(b) for b in hashlib.md5(t.encode()).digest()[:4]] for t in texts]
+
+    return encode
+
+
+encode = encoder()
+
+
+def report(spark, root, rows, **kw):
+    df = spark.createDataFrame(rows, "chunk_id string, text string, status string")
+    return publishing.synchronised(df, root, encoder(), 4, kw.pop("settings", {"model": "m1", "schema": "1"}), **kw).first().asDict()
+
+
+def test_synchronising_is_whole_idempotent_and_guarded(spark, tmp_path):
+    root = f"file://{tmp_path}/index"
+    rows = [("a", "one", "eligible"), ("b", "two", "eligible"), ("c", "BAD", "eligible"), ("d", "three", "skipped"), ("e", "", "invalid")]
+    first = report(spark, root, rows)
+    assert first == {"chunks_found": 5, "eligible": 3, "duplicate_members_skipped": 1, "invalid_skipped": 1, "embedded": 2, "updated": 0, "already_current": 0, "stale_deleted": 0, "failures": 1}
+    state = lambda: {r["chunk_id"]: list(r["embedding"]) for r in publishing.current(spark, root).collect()}
+    assert state() == {"a": encode(["one"])[0], "b": encode(["two"])[0]}
+    versions = len(os.listdir(tmp_path / "index" / "versions"))
+    again = report(spark, root, [r for r in rows if r[0] != "c"])
+    assert again["already_current"] == 2 and again["embedded"] == again["updated"] == again["stale_deleted"] == again["failures"] == 0
+    assert len(os.listdir(tmp_path / "index" / "versions")) == versions
+    # a changed text that fails keeps its old vector; a limit holds for embedding and not for deletions
+    third = report(spark, root, [("a", "BAD now", "eligible"), ("f", "four", "eligible"), ("g", "five", "eligible")], limit=2)
+    assert (third["failures"], third["embedded"], third["stale_deleted"], third["already_current"]) == (1, 1, 1, 0)
+    assert state() == {"a": encode(["one"])[0], "f": encode(["four"])[0]}
+    with pytest.raises(ValueError, match="model: wanted 'm2', found 'm1'"):
+        report(spark, root, rows, settings={"model": "m2", "schema": "1"})
+    rebuilt = report(spark, root, rows[:2], settings={"model": "m2", "schema": "1"}, rebuild=True)
+    assert rebuilt["embedded"] == 2 and sorted(state()) == ["a", "b"]
+    with pytest.raises(ValueError):
+        report(spark, root, rows, limit=0)
+
+
+def test_handoffs_agree_by_fingerprint(spark, tmp_path):
+    def canonical(x):
+        return hashlib.sha256(json.dumps(x, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+    packet, other = {"b": 1, "a": ["x", None]}, {"a": 2}
+    strategy = {"status": "completed", "packet_fingerprint": canonical(packet), "z": 1}
+    good = {"packet_fingerprint": canonical(packet), "strategy_fingerprint": canonical(strategy)}
+
+    def put(folder, name, value, at=1000):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        path = tmp_path / folder / name
+        path.write_text(value if isinstance(value, str) else json.dumps(value, indent=2))
+        os.utime(path, (at, at))
+
+    for k in ("good", "old", "wrong", "open", "lost", "broken", "plain"):
+        put(k, "packet-1.json", other)
+        put(k, "packet-2.json", packet if k != "lost" else other)
+        put(k, "strategy.json", strategy if k != "open" else strategy | {"status": "failed"})
+    put("good", "evaluation-1.json", good | {"strategy_fingerprint": "no"}, 1000)
+    put("good", "evaluation-0.json", good, 2000)
+    put("old", "evaluation-1.json", good, 1000)
+    put("old", "evaluation-0.json", good | {"strategy_fingerprint": "no"}, 1000)
+    put("wrong", "evaluation.json", good | {"packet_fingerprint": "no"})
+    put("broken", "packet-3.json", "{")
+    put("none", "packet.json", packet)
+    put("good", "notes.txt", "not read")
+    got = {r["folder"].rsplit("/", 1)[1]: (r["packet"], r["evaluation"], r["problem"]) for r in checkpoints.handoffs(checkpoints.saved_files(spark, f"file://{tmp_path}")).collect()}
+    assert got == {
+        "good": ("packet-2.json", "evaluation-0.json", None), "old": ("packet-2.json", "evaluation-1.json", None), "plain": ("packet-2.json", None, None), "wrong": ("packet-2.json", "evaluation.json", checkpoints.OTHER_EVALUATION),
+        "open": ("packet-2.json", None, checkpoints.NO_STRATEGY), "lost": (None, None, checkpoints.NO_PACKET), "broken": ("packet-2.json", None, checkpoints.MALFORMED), "none": (None, None, checkpoints.NO_STRATEGY),
+    }
