@@ -139,8 +139,9 @@ def blocking_keys(unit_rows: DataFrame, settings: Settings = Settings()) -> Data
     total = unit_rows.agg(F.greatest(F.lit(2), F.floor(F.count("*") * settings.anchor_share)).alias("df_limit"))
     df = document_frequency(unit_rows).join(F.broadcast(total), F.col("df") <= F.col("df_limit")).drop("df_limit")
     long = unit_rows.where(F.length("norm") >= settings.minimum_characters).select("uid", "kind", "norm", F.length("norm").alias("chars"), T.significant(F.col("norm")).alias("tokens"))
-    spots = long.select("uid", F.posexplode("tokens").alias("pos", "token"), F.size("tokens").alias("n"))
-    each = spots.groupBy("uid", "token").agg(F.max((F.col("pos") < 2) | (F.col("pos") >= F.col("n") - 2)).alias("edge"))
+    edges = F.array_union(F.slice("tokens", 1, 2), F.when(F.size("tokens") > 1, F.slice("tokens", -2, 2)).otherwise(F.col("tokens")))
+    # a row knows its own first and last words, so that each of its words is sent once
+    each = long.select("uid", edges.alias("edges"), F.explode(F.array_distinct("tokens")).alias("token")).select("uid", "token", F.array_contains("edges", F.col("token")).alias("edge"))
     rare = each.join(df, "token").withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy("df", "token")))
     chosen = rare.where((F.col("rank") <= settings.anchors) | F.col("edge")).select("uid", F.col("token").alias("anchor"))
     keyed_ = long.join(chosen, "uid", "left").select("uid", "kind", "chars", F.coalesce("anchor", F.substring(F.sha2("norm", 256), 1, 16)).alias("anchor"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,27 +35,82 @@ def equal(filters: dict, allowed: tuple[str, ...]) -> Column:
 
 #: Probes that are broadcast; more of them meet the vectors tile by tile.
 PROBES, TILE = 4096, 65_536
+#: Similarities this close to the k-th are kept until they are rounded.
+MARGIN = 1e-3
+
+
+def matrix(column: pa.ListArray, width: int | None = None) -> np.ndarray:
+    """Vectors as rows of doubles of length 1; null and zero vectors are zeros, shorter ones end in zeros, and so do null components."""
+    column = pc.fill_null(column.cast(pa.list_(pa.float64())), []) if column.null_count else column.cast(pa.list_(pa.float64()))
+    lengths = np.diff(column.offsets.to_numpy())
+    flat = np.nan_to_num(pc.fill_null(column.flatten(), 0.0).to_numpy(zero_copy_only=False).astype(float))
+    width = width or (int(lengths.max()) if len(lengths) else 0)
+    out = np.zeros((len(lengths), width))
+    row, place = np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    fits = place < width
+    out[row[fits], place[fits]] = flat[fits]
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def _best_of(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, similarity) of vectors that may be among the k nearest of a query within their task. queries: at most PROBES."""
+    q = queries.select("query_id", "query").toArrow().combine_chunks()
+    ids = q.column("query_id").to_pylist()
+    column = q.column("query").combine_chunks()
+    probes = matrix(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
+    shared = queries.sparkSession.sparkContext.broadcast((ids, probes))
+    kinds = dict(queries.dtypes)["query_id"], dict(pool.dtypes)["vec_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, probes = shared.value
+        held, kind = [(np.zeros(0), []) for _ in ids], None
+        for b in batches:
+            kind = b.column(0).type
+            if not b.num_rows or not len(ids):
+                continue
+            sims, names = probes @ matrix(b.column(1), probes.shape[1]).T, b.column(0)
+            for i, row in enumerate(sims):
+                least = np.partition(held[i][0], len(held[i][0]) - k)[len(held[i][0]) - k] - MARGIN if len(held[i][0]) >= k else -2.0
+                if len(row) > k:
+                    least = max(least, np.partition(row, len(row) - k)[len(row) - k] - MARGIN)
+                at = np.flatnonzero(row >= least)
+                if len(at):
+                    s, v = np.concatenate([held[i][0], row[at]]), held[i][1] + names.take(pa.array(at)).to_pylist()
+                    if len(s) > 2 * k:
+                        keep = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - MARGIN)
+                        s, v = s[keep], [v[j] for j in keep.tolist()]
+                    held[i] = s, v
+        if kind is not None:
+            for i, (s, v) in enumerate(held):
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(s), q_kind), pa.array(v, kind), pa.array(s)], ["query_id", "vec_id", "similarity"])
+
+    q_kind = q.column("query_id").type
+    return pool.select("vec_id", "embedding").mapInArrow(run, f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, condition: Column | None = None) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the k most similar of each query, conditions before the limit.
+    """(query_id, vec_id, similarity, rank): the k most similar of each query, conditions before the limit, ties by vec_id.
 
-    queries (query_id, query): a stated set. Up to PROBES of them are broadcast. More come in blocks
-    of about that size, vectors in tiles of about TILE, and each block meets each tile in one
-    bucket of a join: no broadcast and no task grows with either table. Partial ranks keep the best
-    k of a query before anything else shuffles.
+    queries (query_id, query): a stated set. Up to PROBES of them are broadcast, and each task multiplies its vectors with them
+    as matrices and keeps what may be among the k nearest. More come in blocks of about that size, vectors in tiles of about TILE, and each
+    block meets each tile in one bucket of a join: no broadcast and no task grows with either table. Partial ranks keep the best
+    k of a query before anything else shuffles. A null or zero vector is at similarity 0 to all.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     pool = vectors if condition is None else vectors.where(condition)
     n = queries.count()
     if n <= PROBES:
-        pairs = pool.join(F.broadcast(queries))
+        pairs = _best_of(queries, pool, k)
     else:
         blocks, tiles = -(-n // PROBES), -(-max(1, pool.count()) // TILE)
         part = lambda df, key, own, many, other, rest: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(many))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rest - 1).cast("long"))))
         pairs = part(pool, "vec_id", "tile", tiles, "block", blocks).join(part(queries, "query_id", "block", blocks, "tile", tiles), ["block", "tile"])
-    pairs = pairs.select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 4).alias("similarity"))
+        pairs = pairs.select("query_id", "vec_id", cosine(F.col("query"), F.col("embedding")).alias("similarity"))
+    one = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("similarity")))
+    pairs = pairs.select("query_id", "vec_id", F.round(one, 4).alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

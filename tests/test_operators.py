@@ -302,3 +302,26 @@ def test_round_types_and_http_categories(spark):
     codes = [400, 401, 403, 404, 429, 500, 503, 418, 200, None]
     got = [r[0] for r in spark.createDataFrame([(c,) for c in codes], "c int").select(rounds.http_category(F.col("c"))).collect()]
     assert got == ["invalid_request", "authentication", "permission", "model_unavailable", "rate_limit_or_quota", "server_error", "server_error", "provider_error", None, None]
+
+
+def test_nearest_with_null_zero_and_tied_vectors_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    vecs = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(300)] + [(900, None), (901, [0.0] * 4), (902, [1e-30, 0.0, 0.0, 0.0])]
+    probes = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(7)] + [(50, [0.0] * 4)]
+    v, q = spark.createDataFrame(vecs, "vec_id long, embedding array<float>").repartition(3), spark.createDataFrame(probes, "query_id long, query array<float>")
+
+    def cos(a, b):
+        a, b = a or [0.0] * 4, b or [0.0] * 4
+        n = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / n, 4) if n > 1e-200 else 0.0
+
+    for k in (1, 5, 400):
+        want = [(i, *x, r) for i, p in probes for r, x in enumerate(sorted(((d, cos(p, e)) for d, e in vecs), key=lambda x: (-x[1], x[0]))[:k], 1)]
+        got = sorted((tuple(r) for r in vectors.nearest(q, v, k).collect()), key=lambda r: (r[0], r[3]))
+        assert [(a, b, r) for a, b, _, r in got] == [(a, b, r) for a, b, _, r in want]
+        assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(got, want, strict=True))
+    monkeypatch.setattr(vectors, "PROBES", 3)
+    again = sorted(tuple(r) for r in vectors.nearest(q, v.where("embedding is not null"), 5).collect())
+    monkeypatch.setattr(vectors, "PROBES", 4096)
+    assert again == sorted(tuple(r) for r in vectors.nearest(q, v.where("embedding is not null"), 5).collect())
+    assert vectors.nearest(q, v.where("false"), 5).count() == 0 and vectors.nearest(q.where("false"), v, 5).count() == 0
