@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,45 +52,117 @@ def decode(data: bytes | None) -> tuple[str | None, str, str | None]:
     return text, "ok" if text.strip() else "partial", warning
 
 
-def docx_blocks(data: bytes) -> list[tuple[str, int | None]]:
-    """(text, heading level) of a DOCX body's paragraphs and table cells in order."""
-    ns = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+#: Words that fewer visible characters than this on all pages of a PDF hide in pictures.
+SCANNED = 20
+NEEDS_OCR = "PDF has pages but almost no extractable text; it is likely scanned or image-only and requires OCR."
+
+
+def _said(p: ElementTree.Element) -> str:
+    """A paragraph's text: runs, also within links, with their tabs and line breaks."""
+    marks = {f"{W}tab": "\t", f"{W}br": "\n", f"{W}cr": "\n", f"{W}noBreakHyphen": "-"}
+    return "".join(x.text or "" if x.tag == f"{W}t" else marks.get(x.tag, "") for r in p.iter(f"{W}r") for x in r)
+
+
+def _on(run: ElementTree.Element, name: str) -> bool:
+    """Whether a run's own properties switch an emphasis on."""
+    x = run.find(f"{W}rPr/{W}{name}")
+    return x is not None and (x.get(f"{W}val") or "true").lower() not in ("0", "false", "off", "none")
+
+
+def docx_blocks(data: bytes) -> list[dict]:
+    """Blocks of a DOCX body in order: paragraphs, and table cells row by row, with style, level and emphasis.
+
+    A cell is one block, its paragraphs on lines of their own. A cell over several columns is given once in a row, at
+    its first column; one over several rows once in each.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        root = ElementTree.fromstring(z.read("word/document.xml"))
-    out = []
-    for p in root.iter(f"{ns}p"):
-        style = p.find(f"{ns}pPr/{ns}pStyle")
-        name = (style.get(f"{ns}val") or "") if style is not None else ""
-        digits = "".join(c for c in name if c.isdigit())
-        out.append(("".join(t.text or "" for t in p.iter(f"{ns}t")), int(digits) if name.lower().startswith("heading") and digits else None))
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
+        styles = ElementTree.fromstring(z.read("word/styles.xml")) if "word/styles.xml" in z.namelist() else None
+    names = {s.get(f"{W}styleId"): s.find(f"{W}name").get(f"{W}val") for s in styles.iter(f"{W}style") if s.find(f"{W}name") is not None} if styles is not None else {}
+    usual = next((names.get(s.get(f"{W}styleId")) for s in (styles.iter(f"{W}style") if styles is not None else ()) if s.get(f"{W}type") == "paragraph" and s.get(f"{W}default") in ("1", "true")), None)
+
+    def style_of(p: ElementTree.Element) -> str | None:
+        x = p.find(f"{W}pPr/{W}pStyle")
+        own = x.get(f"{W}val") if x is not None else None
+        return usual if own is None else names.get(own) or re.sub(r"(?<=[a-z])(?=\d)", " ", own)
+
+    def block(ps: list[ElementTree.Element], **place: object) -> dict:
+        runs, found = [r for p in ps for r in p.findall(f"{W}r")], {style_of(p) for p in ps} - {None}
+        style = found.pop() if len(found) == 1 else None
+        level = re.fullmatch(r"(?i)heading\s+(\d+)", (style or "").strip())
+        emphasis = {k: any(_on(r, x) for r in runs) for k, x in (("bold", "b"), ("italic", "i"), ("underline", "u"), ("highlight", "highlight"))}
+        return {"text": "\n".join(map(_said, ps)), "style_level": int(level[1]) if level else None, "style_name": style, "block_type": "paragraph"} | emphasis | place
+
+    out: list[dict] = []
+    table = -1
+    for item in body if body is not None else ():
+        if item.tag == f"{W}p":
+            out.append(block([item]))
+        elif item.tag == f"{W}tbl":
+            table += 1
+            above: dict[int, ElementTree.Element] = {}
+            for row, tr in enumerate(item.findall(f"{W}tr")):
+                column = 0
+                for tc in tr.findall(f"{W}tc"):
+                    span, merge = tc.find(f"{W}tcPr/{W}gridSpan"), tc.find(f"{W}tcPr/{W}vMerge")
+                    goes_on = merge is not None and (merge.get(f"{W}val") or "continue") == "continue"
+                    cell = above.get(column, tc) if goes_on else tc
+                    out.append(block(cell.findall(f"{W}p"), block_type="table_cell", table_index=table, row_index=row, column_index=column))
+                    width = int(span.get(f"{W}val") or 1) if span is not None else 1
+                    above |= dict.fromkeys(range(column, column + width), cell)
+                    column += width
     return out
 
 
-def parsed(files: DataFrame, extra: dict[str, Callable[[bytes], list[tuple[str, int | None]]]] | None = None) -> DataFrame:
-    """(path, status, warning, pos, text, style_level): blocks of each file of (path, content); a failure is a row.
+def pdf_status(pages: list[str | None]) -> tuple[str, str | None]:
+    """(status, warning) of a PDF by its pages' texts; null: the page could not be read."""
+    if not pages:
+        return "partial", "PDF contains no pages."
+    if sum(len(re.sub(r"\s+", "", t or "")) for t in pages) < SCANNED:
+        return "needs_ocr", NEEDS_OCR
+    lost = [f"Page {k} could not be extracted" for k, t in enumerate(pages, 1) if t is None]
+    return ("partial", "; ".join(lost)) if lost else ("ok", None)
+
+
+BLOCK = {"style_level": "int", "style_name": "string", "block_type": "string", "bold": "boolean", "italic": "boolean", "underline": "boolean", "highlight": "boolean", "table_index": "int", "row_index": "int", "column_index": "int"}
 
-    extra: readers of further extensions, such as pdf. Files without a reader are unsupported.
+
+def parsed(files: DataFrame, extra: dict[str, Callable[[bytes], list[tuple[str | None, int | None]]]] | None = None) -> DataFrame:
+    """(path, status, warning, pos, text, and BLOCK): blocks of each file of (path, content); a failure is a row.
+
+    extra: readers of further extensions, which give (text, heading level) rows; a pdf reader gives its pages, null
+    where one can't be read. Files without a reader are unsupported.
     """
-    readers = {"docx": docx_blocks} | (extra or {})
+    own = dict(extra or {})
 
-    def one(path: str, data: bytes | None) -> list[tuple]:
+    def one(path: str, data: bytes | None) -> list[dict]:
+        row = lambda status, warning=None, pos=-1, **b: {"path": path, "status": status, "warning": warning, "pos": pos} | b
         ext = path.rpartition(".")[2].lower()
         try:
             if ext in ("txt", "md"):
                 text, status, warning = decode(data)
                 lines = [] if text is None else text.splitlines()
-                return [(path, status, warning, i, t, None) for i, t in enumerate(lines)] or [(path, status, warning, -1, None, None)]
-            if ext not in readers:
-                return [(path, "unsupported", None, -1, None, None)]
-            rows = readers[ext](data or b"")
-            return [(path, "ok", None, i, t, level) for i, (t, level) in enumerate(rows)] or [(path, "partial", "no text", -1, None, None)]
+                return [row(status, warning, i, text=t, block_type="line") for i, t in enumerate(lines)] or [row(status, warning)]
+            if ext == "docx" and ext not in own:
+                blocks = docx_blocks(data or b"")
+                empty = not any(b["text"].strip() for b in blocks)
+                return [row(*(("partial", "no text") if empty else ("ok", None)), i, **b) for i, b in enumerate(blocks)] or [row("partial", "no text")]
+            if ext not in own:
+                return [row("unsupported")]
+            got = own[ext](data or b"")
+            status, warning = pdf_status([t for t, _ in got]) if ext == "pdf" else ("ok", None) if got else ("partial", "no text")
+            return [row(status, warning, i, text=t or "", style_level=level, block_type="page" if ext == "pdf" else "paragraph") for i, (t, level) in enumerate(got)] or [row(status, warning)]
         except Exception as e:  # a bad file is a row of its own and stops no other
-            return [(path, "failed", f"{type(e).__name__}: {e}"[:300], -1, None, None)]
+            return [row("failed", f"{type(e).__name__}: {e}"[:300])]
+
+    columns = {"path": "string", "status": "string", "warning": "string", "pos": "int", "text": "string"} | BLOCK
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(c, kinds[t]) for c, t in columns.items()])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [r for path, data in zip(p["path"], p["content"], strict=True) for r in one(path, data)]
-            df = pd.DataFrame(rows, columns=["path", "status", "warning", "pos", "text", "style_level"])
-            yield df.astype({"style_level": "Int32", "pos": "int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist(one(path, data), schema)
 
-    return files.select("path", "content").mapInPandas(run, "path string, status string, warning string, pos int, text string, style_level int")
+    return files.select("path", "content").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in columns.items()))
