@@ -9,14 +9,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Workers live on from stage to stage: arrays of a megabyte or more, and Arrow's buffers, go back to the system when they are freed.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "8388608"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed, and get texts in small batches.
+    """Let Python workers import this package where it is not installed, get texts in small batches, and hold no freed memory.
 
     Rows are whole documents: Spark's usual 10,000 of them can be gigabytes in one Arrow batch.
     """
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(batch, "10000") == "10000":
         spark.conf.set(batch, "1000")
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
