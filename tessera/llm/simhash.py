@@ -1,11 +1,12 @@
-"""SimHash near-duplicates by multi-index hashing.
+"""SimHash near-duplicates by hashing the neighbours of whole fingerprints.
 
-A 64-bit fingerprint is cut into four segments of 16 bits. The Hamming ball of radius one of
-each segment is enumerated, which together with the untouched fingerprint gives 65 table keys.
-Two fingerprints at distance one or two always share a key (flip one differing bit on either
+This is multi-index hashing with a single table of whole fingerprints instead of a table for each segment: each
+fingerprint is entered under itself and under the 64 values that differ from it in one bit. Two
+fingerprints at distance one or two always share a key (flip one differing bit on either
 side), and all that share a key lie within two bits of it, so at most 65 distinct fingerprints
-meet there: no bucket can be hot, whatever the number of documents. Matches are verified on the
-complete distance. Groups are connected components of the links, found by contraction.
+meet there: no bucket can be hot, whatever the number of documents, where values of segments would
+gather all fingerprints that share one. Sharing a key with another value proves a distance of one or two, so nothing is left to
+verify. Groups are connected components of the links, found by contraction.
 """
 
 from __future__ import annotations

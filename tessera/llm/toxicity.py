@@ -52,7 +52,7 @@ class Hashes(dict):
     """Signed 64-bit hashes of words, remembered."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 50_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word) - (1 << 63)
         return h
