@@ -37,7 +37,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("argument").alias("chunk_level"), section.alias("section_type"), group_of(F.col("source")).alias("source_group"),
         T.token_count(F.col("text")).alias("token_count"), F.lit("case").alias("document_type"), F.lit(False).alias("is_special"),
         F.when(F.col("doc_id") % 2 == 0, "gov").otherwise("opp").alias("side"), F.lit("policy").alias("round_type"), F.lit("unknown").alias("freshness"),
-        F.substring("text", 1, 60).alias("heading"),
+        F.substring_index("text", "\n", 1).alias("heading"),
     )
 
 
@@ -295,8 +295,8 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONCEPTS_ASKED = "[" + ", ".join(f"'{c}'" for c in REQUEST.concepts) + "]"
 SCORE_SQL = rf"""{FUSED_SQL},
  c AS (SELECT *, {GROUP_SQL} AS g, list_extract([{", ".join(f"'{s}'" for s in SECTIONS)}], CAST(doc_id % 8 + 1 AS INTEGER)) AS section,
-   len(list_intersect({CONCEPTS_ASKED}, {concepts_sql("text")})) / 4.0 AS tc, len(list_intersect({CONCEPTS_ASKED}, {concepts_sql("substr(text, 1, 60)")})) / 4.0 AS hc,
-   len(list_intersect({CONCEPTS_ASKED}, {concepts_sql("substr(text, 1, 60) || ' ' || substr(text, 1, 500)")})) / 4.0 AS xc FROM documents JOIN fused USING (doc_id)),
+   len(list_intersect({CONCEPTS_ASKED}, {concepts_sql("text")})) / 4.0 AS tc, len(list_intersect({CONCEPTS_ASKED}, {concepts_sql("split_part(text, chr(10), 1)")})) / 4.0 AS hc,
+   len(list_intersect({CONCEPTS_ASKED}, {concepts_sql("split_part(text, chr(10), 1) || ' ' || substr(text, 1, 500)")})) / 4.0 AS xc FROM documents JOIN fused USING (doc_id)),
  b AS (SELECT *, 0.60 * greatest(0, least(1, semantic_score)) + 0.14 * lexical_score + 0.16 * tc + 0.10 * hc AS base FROM c),
  p AS (SELECT *, base * (CASE g WHEN 'personal' THEN 1.10 WHEN 'past_case' THEN 1.05 ELSE 0.90 END - 1) * 0.40 AS source_part,
    CASE WHEN g = 'past_case' AND xc >= 0.20 THEN least(1, 0.7 * xc + 0.3 * greatest(0, semantic_score)) * 0.08 ELSE 0 END AS motion_part,
@@ -362,7 +362,7 @@ def theme_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def generated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.concat(F.lit("This House Would "), F.substring("text", 1, 80)).alias("motion"), F.when(F.col("item_id") % 2 == 0, "gov").otherwise("neg").alias("side"))
+    r = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.concat(F.lit("This House Would "), "text").alias("motion"), F.when(F.col("item_id") % 2 == 0, "gov").otherwise("neg").alias("side"))
     return retrieval.generated_queries(r)
 
 

@@ -204,7 +204,6 @@ def _requests(spark: SparkSession, sf_dir: str) -> requests.Result:
     )
     d, own = chunks(spark, sf_dir), F.col("doc_id") % 3
     c = d.withColumn("chunk_level", F.when(own == 0, "argument").otherwise("submodule")).withColumn("parent", F.when(own > 0, F.col("doc_id") - own)).withColumn("document", (F.col("doc_id") - F.col("doc_id") % 9))
-    c = c.withColumn("heading", F.substring_index("text", "\n", 1))
     many = items.count()
     hits = vectors.nearest(_probes(spark, sf_dir), table(spark, sf_dir, "embeddings"), 18)
     at = (F.col("query_id") / 20).cast("long")
