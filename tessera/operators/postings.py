@@ -43,15 +43,21 @@ def share(tf: Column, dl: Column, mean: Column | float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(mean)))
 
 
-#: Terms asked for that are sent to the texts; more of them are joined by term.
-SENT = 200_000
+#: Terms asked for that texts are searched for in place, that are sent to the texts, and beyond: joined by term.
+NAMED, SENT = 64, 200_000
+#: Postings of all asked terms up to which shards are not weighed up before they are read.
+FEW = 1_000_000
 
 
 def _counted(docs: DataFrame, only: DataFrame | None) -> DataFrame:
     """(doc_id, dl, term, tf), with the term '' once for every document, so that texts are taken apart once."""
-    words = docs.select("doc_id", F.concat(F.array(F.lit("")), terms(F.coalesce("text", F.lit("")))).alias("words"))
-    each = words.select("doc_id", (F.size("words") - 1).alias("dl"), "words").select("doc_id", "dl", F.explode("words").alias("term"))
-    if only is not None:
+    words = docs.select("doc_id", terms(F.coalesce("text", F.lit(""))).alias("words"))
+    each = words.select("doc_id", F.size("words").alias("dl"), "words")
+    some = [] if only is None else [r["term"] for r in only.select("term").distinct().limit(NAMED + 1).collect()]
+    if only is not None and len(some) <= NAMED:
+        each = each.withColumn("words", F.filter("words", lambda w: w.isin(*some)) if some else F.array().cast("array<string>"))
+    each = each.select("doc_id", "dl", F.explode(F.concat(F.array(F.lit("")), F.col("words"))).alias("term"))
+    if len(some) > NAMED:
         wanted = only.select("term").union(only.sparkSession.createDataFrame([("",)], "term string")).distinct()
         few = wanted.limit(SENT + 1).count() <= SENT
         each = each.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
@@ -102,10 +108,10 @@ def replaced(index: Index, changed: DataFrame, removed: DataFrame | None = None)
 
 
 def _weighed(index: Index, queries: DataFrame, n: int) -> DataFrame:
-    """(query_id, term, idf) of the distinct terms of queries that the index has."""
+    """(query_id, term, df, idf) of the distinct terms of queries that the index has."""
     wanted = queries.select("query_id", "term").distinct()
     df = index.blocks.select("term", "n").join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
-    return wanted.join(df, "term").select("query_id", "term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    return wanted.join(df, "term").select("query_id", "term", "df", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
 def _scores(index: Index, chosen: DataFrame, mean: float) -> DataFrame:
@@ -126,29 +132,33 @@ def search(index: Index, queries: DataFrame, k: int, all_terms: bool = False, di
         raise ValueError("k must be at least 1")
     stats = index.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
     n, mean = stats["n"], stats["mean"] or 1.0
-    weighed = _weighed(index, queries, n)
+    weighed = materialize(_weighed(index, queries, n), "weighed")
+    asked = queries.select("query_id", "term").distinct().groupBy("query_id").agg(F.count("*").alias("need"))
+    whole = lambda scores: scores.join(asked, "query_id").where("held = need").drop("need") if all_terms else scores
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    ranked = lambda scores: scores.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    if (weighed.agg(F.sum("df")).first()[0] or 0) <= FEW:
+        rows = weighed.join(index.blocks.select("term", "shard"), "term").select("query_id", "shard", "term", "idf")
+        report = weighed.groupBy("query_id").agg(F.sum("df").alias("postings"), F.sum("df").alias("postings_read"))
+        return ranked(whole(_scores(index, rows, mean))), report
     # a longer mean raises shares by no more than it grew
     allowance = max(1.0, mean / index.mean)
     heads = materialize(weighed.join(index.blocks.select("term", "shard", "n", "peak"), "term").select("query_id", "shard", "term", "idf", "n", (F.col("idf") * F.col("peak") * allowance).alias("bound")), "heads")
     shards = heads.groupBy("query_id", "shard").agg(F.sum("bound").alias("bound"), F.count("*").alias("terms"))
-    asked = queries.select("query_id", "term").distinct().groupBy("query_id").agg(F.count("*").alias("need"))
     if all_terms:
         shards = shards.join(asked, "query_id").where("terms = need").drop("need")
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "shard")
     first = shards.withColumn("at", F.row_number().over(order)).where(F.col("at") <= FIRST).select("query_id", "shard")
-    whole = lambda scores: scores.join(asked, "query_id").where("held = need").drop("need") if all_terms else scores
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    seen = materialize(whole(_scores(index, heads.join(first, ["query_id", "shard"], "left_semi").select("query_id", "shard", "term", "idf"), mean)).withColumn("at", F.row_number().over(best)).where(F.col("at") <= k), "seen")
-    bar = seen.where(F.col("at") == k).select("query_id", (F.round("score", digits) - 0.5 * 10**-digits - SLACK).alias("bar"))
+    opening = heads.join(first, ["query_id", "shard"], "left_semi").select("query_id", "shard", "term", "idf")
+    seen = materialize(ranked(whole(_scores(index, opening, mean))), "seen")
+    bar = seen.where(F.col("rank") == k).select("query_id", (F.col("score") - 0.5 * 10**-digits - SLACK).alias("bar"))
     reach = shards.join(bar, "query_id", "left").where(F.col("bar").isNull() | (F.col("bound") >= F.col("bar"))).select("query_id", "shard")
     rest = reach.join(first, ["query_id", "shard"], "left_anti")
     read = heads.join(rest, ["query_id", "shard"], "left_semi")
     both = seen.select("query_id", "doc_id", "score").unionByName(whole(_scores(index, read.select("query_id", "shard", "term", "idf"), mean)).select("query_id", "doc_id", "score"))
-    both = both.withColumn("score", F.round("score", digits))
-    found = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     opened = heads.join(first.unionByName(rest).withColumn("open", F.lit(True)), ["query_id", "shard"], "left")
     report = opened.groupBy("query_id").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("postings_read"))
-    return found.select("query_id", "doc_id", "score", "rank"), report
+    return ranked(both), report
 
 
 def top(docs: DataFrame, queries: DataFrame, k: int, all_terms: bool = False) -> DataFrame:
