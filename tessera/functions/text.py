@@ -63,7 +63,8 @@ ODD = (
 
 def normalized_exact(text: Column) -> Column:
     """normalized() of any text. Only texts with a character of ODD are folded outside the JVM; for the others the task sends nulls."""
-    odd = text.rlike(ODD)
+    # most texts are ASCII, which their lengths tell at once
+    odd = (F.octet_length(text) != F.length(text)) & text.rlike(ODD)
     return F.when(odd, normalized(compatible(F.when(odd, text)))).otherwise(normalized(text))
 
 

@@ -136,15 +136,19 @@ def document_frequency(unit_rows: DataFrame) -> DataFrame:
 
 def blocking_keys(unit_rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(uid, kind, chars, bucket, anchor): each long enough unit under its rarest tokens and its first and last two."""
-    total = unit_rows.agg(F.greatest(F.lit(2), F.floor(F.count("*") * settings.anchor_share)).alias("df_limit"))
-    df = document_frequency(unit_rows).join(F.broadcast(total), F.col("df") <= F.col("df_limit")).drop("df_limit")
-    long = unit_rows.where(F.length("norm") >= settings.minimum_characters).select("uid", "kind", "norm", F.length("norm").alias("chars"), T.significant(F.col("norm")).alias("tokens"))
+    # texts are taken apart once; what follows reads words
+    tokens = T.significant(F.col("norm")).alias("tokens")
+    base = materialize(unit_rows.select("uid", "kind", F.length("norm").alias("chars"), F.substring(F.sha2("norm", 256), 1, 16).alias("own"), tokens), "tokens")
+    total = base.agg(F.greatest(F.lit(2), F.floor(F.count("*") * settings.anchor_share)).alias("df_limit"))
+    frequency = base.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    df = frequency.join(F.broadcast(total), F.col("df") <= F.col("df_limit")).drop("df_limit")
+    long = base.where(F.col("chars") >= settings.minimum_characters)
     edges = F.array_union(F.slice("tokens", 1, 2), F.when(F.size("tokens") > 1, F.slice("tokens", -2, 2)).otherwise(F.col("tokens")))
     # a row knows its own first and last words, so that each of its words is sent once
     each = long.select("uid", edges.alias("edges"), F.explode(F.array_distinct("tokens")).alias("token")).select("uid", "token", F.array_contains("edges", F.col("token")).alias("edge"))
     rare = each.join(df, "token").withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy("df", "token")))
     chosen = rare.where((F.col("rank") <= settings.anchors) | F.col("edge")).select("uid", F.col("token").alias("anchor"))
-    keyed_ = long.join(chosen, "uid", "left").select("uid", "kind", "chars", F.coalesce("anchor", F.substring(F.sha2("norm", 256), 1, 16)).alias("anchor"))
+    keyed_ = long.join(chosen, "uid", "left").select("uid", "kind", "chars", F.coalesce("anchor", "own").alias("anchor"))
     return keyed_.withColumn("bucket", F.floor(F.log(F.greatest(F.col("chars"), F.lit(1))) / math.log(settings.bucket_ratio)).cast("int"))
 
 
