@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,3 +326,19 @@ def test_nearest_with_null_zero_and_tied_vectors_equals_all_pairs(spark, monkeyp
     monkeypatch.setattr(vectors, "PROBES", 4096)
     assert again == sorted(tuple(r) for r in vectors.nearest(q, v.where("embedding is not null"), 5).collect())
     assert vectors.nearest(q, v.where("false"), 5).count() == 0 and vectors.nearest(q.where("false"), v, 5).count() == 0
+
+
+def test_nearest_of_copies_holds_only_the_best_and_odd_lengths_count_whole():
+    probes = vectors.matrix(pa.chunked_array([pa.array([[1.0, 0.0, 0.0], [0.0, 2.0, 0.0]])]), 3)
+    v = vectors.matrix(pa.chunked_array([pa.array([[1.0, 1.0]] * 5000 + [[3.0, 0.0, 4.0], None, [1.0, None]])]), 3)
+    sims, at = vectors.best_of(probes, v, 3)
+    # equal vectors by number, a third component counts for the length
+    assert at.tolist() == [[5002, 0, 1], [0, 1, 2]] and sims[0].tolist() == [1.0, 0.7071, 0.7071]
+    assert vectors.best_of(probes, v[:2], 3)[1].tolist() == [[0, 1, -1], [0, 1, -1]]
+
+
+def test_nearest_of_many_queries_multiplies_matrices(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PROBES", 5)
+    v = spark.range(40).selectExpr("id AS vec_id", "array(cast(id AS float), 1f) AS embedding")
+    plan = vectors.nearest(v.selectExpr("vec_id AS query_id", "embedding AS query"), v, 3)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan and "CartesianProduct" not in plan
