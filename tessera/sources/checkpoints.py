@@ -34,19 +34,20 @@ def handoffs(files: DataFrame) -> DataFrame:
     """(folder, packet, evaluation, problem): one row for each folder of saved files.
 
     packet: the first by name whose fingerprint the strategy states. evaluation: the newest, of equal times the one of
-    greatest name; it must state the fingerprints of the strategy and its packet. problem: the first reason against a folder,
+    greatest name, and of equal names one that agrees; it must state the fingerprints of the strategy and its packet. problem: the first reason against a folder,
     null where it can be taken up.
     """
     said = lambda key: F.get_json_object("body", f"$.{key}")
     f = files.select("folder", "name", "kind", "changed", fingerprint(F.col("body")).alias("own"), said("status").alias("status"), said("packet_fingerprint").alias("packet_fp"), said("strategy_fingerprint").alias("strategy_fp"))
     # a folder holds a few files; its aggregates meet by folder
-    strategy = f.where("kind = 'strategy'").groupBy("folder").agg(F.max_by(F.struct("own", "status", "packet_fp"), F.struct("changed", "name")).alias("s"))
+    strategy = f.where("kind = 'strategy'").groupBy("folder").agg(F.max_by(F.struct("own", "status", "packet_fp"), F.struct("changed", "name", "own")).alias("s"))
     packets = f.where("kind = 'packet'").join(strategy, "folder").where("own = s.packet_fp").groupBy("folder").agg(F.min("name").alias("packet"))
-    newest = f.where("kind = 'evaluation'").groupBy("folder").agg(F.max_by(F.struct("name", "own", "packet_fp", "strategy_fp"), F.struct("changed", "name")).alias("e"))
+    stated = f.where("kind = 'evaluation'").join(strategy, "folder", "left")
+    agrees = F.coalesce((F.col("packet_fp") == F.col("s.packet_fp")) & (F.col("strategy_fp") == F.col("s.own")), F.lit(False))
+    newest = stated.withColumn("agrees", agrees).groupBy("folder").agg(F.max_by(F.struct("name", "agrees"), F.struct("changed", "name", "agrees")).alias("e"))
     broken = f.groupBy("folder").agg(F.max(F.col("own").isNull()).alias("broken"))
     rows = broken.join(strategy, "folder", "left").join(packets, "folder", "left").join(newest, "folder", "left")
-    agrees = (F.col("e.packet_fp") == F.col("s.packet_fp")) & (F.col("e.strategy_fp") == F.col("s.own"))
-    problem = F.when(F.col("broken"), MALFORMED).when(~F.coalesce(F.col("s.status") == "completed", F.lit(False)), NO_STRATEGY).when(F.col("packet").isNull(), NO_PACKET).when(F.col("e").isNotNull() & ~F.coalesce(agrees, F.lit(False)), OTHER_EVALUATION)
+    problem = F.when(F.col("broken"), MALFORMED).when(~F.coalesce(F.col("s.status") == "completed", F.lit(False)), NO_STRATEGY).when(F.col("packet").isNull(), NO_PACKET).when(~F.col("e.agrees"), OTHER_EVALUATION)
     return rows.select("folder", "packet", F.col("e.name").alias("evaluation"), problem.alias("problem"))
 
 

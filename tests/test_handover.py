@@ -159,3 +159,14 @@ def test_handoffs_agree_by_fingerprint(spark, tmp_path):
         "good": ("packet-2.json", "evaluation-0.json", None), "old": ("packet-2.json", "evaluation-1.json", None), "plain": ("packet-2.json", None, None), "wrong": ("packet-2.json", "evaluation.json", checkpoints.OTHER_EVALUATION),
         "open": ("packet-2.json", None, checkpoints.NO_STRATEGY), "lost": (None, None, checkpoints.NO_PACKET), "broken": ("packet-2.json", None, checkpoints.MALFORMED), "none": (None, None, checkpoints.NO_STRATEGY),
     }
+
+
+def test_handoff_of_two_files_of_one_name_and_time(spark):
+    own = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    packet = '{"a":1}'
+    strategy = '{"packet_fingerprint":"' + own(packet) + '","status":"completed"}'
+    said = lambda s: '{"packet_fingerprint":"' + own(packet) + '","strategy_fingerprint":"' + s + '"}'
+    for order in ((said("no"), said(own(strategy))), (said(own(strategy)), said("no"))):
+        rows = [("f", "packet.json", "packet", 1, packet), ("f", "strategy.json", "strategy", 1, strategy), *[("f", "evaluation.json", "evaluation", 1, e) for e in order]]
+        files = spark.createDataFrame(rows, "folder string, name string, kind string, changed long, body string").coalesce(1)
+        assert [tuple(r) for r in checkpoints.handoffs(files).collect()] == [("f", "packet.json", "evaluation.json", None)]
