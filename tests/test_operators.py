@@ -342,3 +342,11 @@ def test_nearest_of_many_queries_multiplies_matrices(spark, monkeypatch):
     v = spark.range(40).selectExpr("id AS vec_id", "array(cast(id AS float), 1f) AS embedding")
     plan = vectors.nearest(v.selectExpr("vec_id AS query_id", "embedding AS query"), v, 3)._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_self_descriptions_of_judges(spark):
+    texts = ["flow", "judge: flow", "\u00a0I am a flow judge", "I am a\u000bflow judge", "I'm a flow judge\u00df", "I am a flow judges", None]
+    notes = spark.createDataFrame(list(enumerate(texts)), "note_id long, text string")
+    said = lambda **k: [r["category"] for r in rounds.judged(notes, **k).orderBy("note_id").collect()]
+    assert said(labelled=False) == [None, None, "flow", None, "flow", None, None]
+    assert said()[:2] == ["flow", "flow"]
