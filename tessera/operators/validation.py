@@ -26,6 +26,13 @@ def competition_rank(scores: DataFrame, total: str, key: str) -> DataFrame:
     return scores.join(ranks, scores[total].eqNullSafe(F.col("value"))).drop("value")
 
 
+def totals_in_order(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """(key, total): sums of doubles taken one after the other in a stated order, so that no total depends on how rows are dealt out."""
+    w = Window.partitionBy(key).orderBy(*order)
+    running = rows.select(key, F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("running"), F.row_number().over(w).alias("at"))
+    return running.groupBy(key).agg(F.max_by("running", "at").alias("total"))
+
+
 def quotes_within(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """Adds held: whether the quote occurs word for word in the source it cites; a missing source holds nothing."""
     return quotes.join(sources.select("source_id", F.col("text").alias("source_text")), "source_id", "left").withColumn("held", F.coalesce(F.contains(T.collapse(F.lower("source_text")), T.collapse(F.lower("quote"))), F.lit(False))).drop("source_text")

@@ -350,3 +350,18 @@ def test_self_descriptions_of_judges(spark):
     said = lambda **k: [r["category"] for r in rounds.judged(notes, **k).orderBy("note_id").collect()]
     assert said(labelled=False) == [None, None, "flow", None, "flow", None, None]
     assert said()[:2] == ["flow", "flow"]
+
+
+def test_totals_do_not_depend_on_how_rows_are_dealt_out(spark):
+    rows = [(k, i, random.Random(i).randrange(10**7) / 100) for k in range(3) for i in range(40)]
+    want = {k: _in_order(x for c, _, x in rows if c == k) for k in range(3)}
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows[::-1], "k long, i long, x double").repartition(parts)
+        assert {r["k"]: r["total"] for r in validation.totals_in_order(df, "k", "x", ["i"]).collect()} == want
+
+
+def _in_order(values):
+    total = 0.0
+    for x in values:
+        total += x
+    return total
