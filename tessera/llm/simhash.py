@@ -34,7 +34,10 @@ BLOCK = 100_000
 
 def fingerprint(text: str, words_per_shingle: int = 3, seed: int = 42) -> int:
     """SimHash of a whole text as a signed 64-bit integer (0 if it has no word)."""
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
+    return fingerprint_of(_words(text), words_per_shingle, seed)
+
+
+def fingerprint_of(words: list[bytes], words_per_shingle: int = 3, seed: int = 42) -> int:
     if not words:
         return 0
     joined = b" ".join(words)
@@ -115,7 +118,7 @@ class Hashes(dict):
     """Unsigned 64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 50_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -164,8 +167,8 @@ def similar_units(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tu
 
     Shingles have one order, rarest first. Two sets of at least the similarity share a shingle
     among the first n - ceil(similarity * n) + 1 of each, so such prefixes are table keys, and at the first
-    that they share enough shingles follow in both, so no pair is lost. In a few rounds each unit of a bucket
-    is compared with one that meets most others, a new one each round. Then all pairs of a bucket are compared
+    that they share enough shingles follow in both, so no pair is lost. Pairs that SimHash links are compared first, and
+    in a few rounds each unit of a bucket with one that meets most others, a new one each round. Then all pairs of a bucket are compared
     that these links have not put into one component: others change no component. Buckets are
     counted and joined, never gathered.
     """
@@ -178,23 +181,25 @@ def similar_units(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tu
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = set()  # of copies in a task one brings its keys
         for b in batches:
-            names, keys, sizes = [], [], []
+            names, keys, sizes, fps = [], [], [], []
             for w in map(_words, b.column(1).to_pylist()):
                 names.append(unit := unit_of(w))
                 if unit in given:
                     keys.append(None)
                     sizes.append(None)
+                    fps.append(None)
                     continue
                 given.add(unit)
                 h = shingles(w, size)
                 first = np.lexsort((h, order.value[h & (1 << RANK_BITS) - 1]))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
                 keys.append(h[first])
                 sizes.append(len(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "unit", "keys", "size"])
+                fps.append(fingerprint_of(w))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "unit", "keys", "size", "fp"])
 
-    marks = src.mapInArrow(mark, f"doc_id {kind}, unit binary, keys array<bigint>, size long")
-    units = marks.groupBy("unit").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("least"), F.first("keys", True).alias("keys"), F.max("size").alias("size"))
-    units = materialize(units.select("unit", F.col("least.doc_id").alias("least"), "keys", "size", F.monotonically_increasing_id().alias("id")), "units")
+    marks = src.mapInArrow(mark, f"doc_id {kind}, unit binary, keys array<bigint>, size long, fp long")
+    units = marks.groupBy("unit").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("least"), F.first("keys", True).alias("keys"), F.max("size").alias("size"), F.max("fp").alias("fp"))
+    units = materialize(units.select("unit", F.col("least.doc_id").alias("least"), "keys", "size", "fp", F.monotonically_increasing_id().alias("id")), "units")
 
     keys = units.select("id", "size", F.posexplode("keys").alias("pos", "key")).select("key", "id", F.col("size").cast("int"), "pos")
     several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -219,7 +224,7 @@ def similar_units(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tu
             by = F.struct(F.xxhash64(F.lit(k), "root"), F.xxhash64(F.lit(k), "id"))
             hub = member.groupBy("key").agg(F.min_by(F.struct(*partner), by).alias("hub"), F.min_by("root", by).alias("root2"))
         stars = member.join(hub.select("key", "hub.*", *(["root2"] if k else [])), "key").where("root != root2" if k else "id != id2")
-        stars = ordered(stars)
+        stars = ordered(stars) if k else ordered(stars).union(linked_units(units)).distinct()
         stars = materialize(stars.join(seen, ["a", "b"], "left_anti") if seen is not None else stars, "stars")
         found = materialize(scored(stars), "near")
         near, seen = (found, stars) if near is None else (near.unionByName(found), seen.unionByName(stars))
@@ -235,6 +240,18 @@ def similar_units(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tu
     return units.select("unit", "id", "least"), near.unionByName(scored(rest))
 
 
+def linked_units(units: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of ids that connect the units whose fingerprints lie within RADIUS bits; units: id, fp.
+
+    Units of one fingerprint are linked with the first of them, and the first ones with those of the fingerprints beside theirs.
+    """
+    first = units.groupBy("fp").agg(F.min("id").alias("first"))
+    same = units.join(first, "fp").where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    at = lambda k: first.select(F.col("fp").alias(k), F.col("first").alias(f"first_{k}"))
+    beside = links(first.select("fp")).join(at("a"), "a").join(at("b"), "b")
+    return same.union(beside.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
+
+
 def _scored(src: DataFrame, units: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """(a, b, jaccard) of pairs of ids, by their sets of shingles."""
     wanted = units.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "unit")

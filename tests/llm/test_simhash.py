@@ -207,3 +207,20 @@ def test_a_very_long_text(docs_of):
     long = " ".join(f"w{i % 977}x{i % 1013}" for i in range(200_000))
     got = simhash.deduplicate(docs_of([(2, long), (1, long + " end"), (3, "short")])).collect()
     assert sorted(r["doc_id"] for r in got) == [1, 3]
+
+
+def test_units_are_linked_by_fingerprint(spark):
+    """Units of one fingerprint or within two bits are compared, others are not."""
+    units = spark.createDataFrame([(0, 0b0), (1, 0b11), (2, 0b0), (3, 0b1111), (4, 0b11111 << 20), (5, -(1 << 63))], "id long, fp long")
+    pairs = {(r["a"], r["b"]) for r in simhash.linked_units(units).collect()}
+    assert all(a < b for a, b in pairs) and {x for p in pairs for x in p} == {0, 1, 2, 3, 5}
+    assert (0, 2) in pairs and (1, 3) in pairs and (0, 3) not in pairs
+
+
+def test_deduplicate_compares_what_simhash_links(spark, docs_of, monkeypatch):
+    asked = []
+    monkeypatch.setattr(simhash, "linked_units", lambda units, f=simhash.linked_units: asked.append(f(units).count()) or f(units))
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:-1], "other"])), (2, "far away")]
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs_of(rows)).collect()) == [0, 2]
+    assert asked == [1]
