@@ -33,6 +33,30 @@ def test_lcs(a, b):
     assert dedupe.lcs(a, b) == slow_lcs(a, b)
 
 
+@given(st.text("abc ", max_size=60), st.text("abc ", max_size=60), st.integers(0, 120), st.sampled_from([1, 4, 64]))
+@settings(max_examples=300, deadline=None)
+def test_bands_count_indels_up_to_a_limit(a, b, most, band):
+    d = len(a) + len(b) - 2 * slow_lcs(a, b)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(dedupe, "BAND", band)
+        assert dedupe.indels(a, b, most) == (d if d <= most else None)
+
+
+def test_texts_far_apart_are_refused_without_comparing_places(monkeypatch):
+    def profiles(t):
+        return dedupe.profile(t, (1, 2, 4)) + dedupe.profile(" ".join(sorted(t.split())), (2, 4))
+
+    rng = random.Random(4)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(400))
+    a, b = text("abcdefghij"), text("abcdefghik")
+    near = " ".join([*a.split()[:100], *a.split()[101:200], "edited", *a.split()[201:]])
+    assert dedupe.similar(a, near, 0.92, profiles) == dedupe.similarity(a, near) > 0.98
+    assert dedupe.similar(a, near, dedupe.similarity(a, near), profiles) == dedupe.similarity(a, near)
+    assert dedupe.similar(a, near, dedupe.similarity(a, near) + 0.001, profiles) is None
+    monkeypatch.setattr(dedupe, "banded", lambda *_: pytest.fail("compared"))
+    assert dedupe.similar(a, b, 0.92, profiles) is None
+
+
 def test_similarity_bounds():
     words = [f"word{i}" for i in range(100)]
     near = words[:50] + ["changed"] + words[51:]
