@@ -53,3 +53,14 @@ def test_the_fold_within_the_jvm_equals_the_full_one_for_every_character(spark):
     assert df.where(F.col("t").rlike(T.ODD)).count() < df.count() - 20_000
     fine = df.where("t like 'ﬁne%'").select(T.normalized_exact(F.col("t"))).first()[0]
     assert fine == "fine ab12%" or fine == "fine ab12 %" or fine.startswith("fine ab12")
+
+
+def test_significant_words_in_one_pass(spark):
+    norm = "about %about% 1234 12%34 %1234% ab%cd a%b xyz %wxyz% there theres über_ßß ١٢٣٤ abc1 _a_b x%%%y"
+    assert one(spark, T.significant, norm) == ["12%34", "ab%cd", "wxyz", "theres", "über_ßß", "abc1", "_a_b", "x%%%y"]
+    assert one(spark, T.significant, "") == []
+
+
+def test_a_text_is_looked_through_for_odd_characters_once(spark):
+    plan = spark.createDataFrame([("x",)], "t string").select(T.normalized_exact(F.col("t")).alias("norm"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1
