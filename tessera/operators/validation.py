@@ -76,8 +76,11 @@ def unresolved(findings: DataFrame, answers: DataFrame, key: str) -> DataFrame:
 
 def unsupplied(cited: DataFrame, supplied: DataFrame, owner: str, cites: str) -> DataFrame:
     """(owner, cites) once for each citation of something that its owner was not given; null citations are violations too."""
-    given = supplied.select(owner, cites).distinct()
-    return cited.select(owner, cites).distinct().join(given, [owner, cites], "left_anti")
+    # one aggregation of both, combined on the map side, holds a pair once; a join would hold and sort it on both sides
+    given = supplied.where(F.col(owner).isNotNull() & F.col(cites).isNotNull())
+    flagged = cited.select(owner, cites, F.lit(False).alias("_given"), F.lit(True).alias("_cited")).unionByName(given.select(owner, cites, F.lit(True).alias("_given"), F.lit(False).alias("_cited")))
+    each = flagged.groupBy(owner, cites).agg(F.max("_given").alias("_given"), F.max("_cited").alias("_cited"))
+    return each.where("_cited and not _given").select(owner, cites)
 
 
 #: Label of tricks in section types and headings, and phrases of automatic ballots.

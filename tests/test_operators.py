@@ -365,3 +365,13 @@ def _in_order(values):
     for x in values:
         total += x
     return total
+
+
+def test_unsupplied_citations_are_told_by_one_aggregation(spark):
+    kind = "owner long, item long"
+    cited = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 10), (None, 5), (3, None), (3, None), (4, 1)], kind)
+    supplied = spark.createDataFrame([(1, 10), (2, 11), (None, 5), (3, None), (4, 1), (4, 1), (9, 9)], kind)
+    got = validation.unsupplied(cited, supplied, "owner", "item")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, 11), (2, 10), (None, 5), (3, None)]))
