@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -24,8 +24,9 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_table
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
@@ -48,25 +49,45 @@ class Settings:
     prior_weight: float = 0.5
 
 
-class Hashes(dict):
-    """Signed 64-bit hashes of words, remembered."""
+class Folded(dict):
+    """Lower case of a character beyond ASCII, with spaces for what is no letter."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, char: str) -> str:
         if len(self) >= 50_000:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word) - (1 << 63)
-        return h
+        self[char] = low = "".join(c if WORD.match(c) else " " for c in char.lower())
+        return low
 
 
-HASHES = Hashes()
+FOLDED = Folded()
+#: The same for ASCII; bytes of other characters stay.
+ASCII = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
+
+
+def words(text: str) -> list[bytes]:
+    """WORD in the lower-cased text, as UTF-8."""
+    if not text.isascii():
+        if "\u03a3" in text:  # whose lower case depends on its place
+            text = text.lower()
+        odd = [c for c in set(text) if c > "\x7f" and FOLDED[c] != c]
+        if len(odd) > 64:
+            text = text.translate({ord(c): FOLDED[c] for c in odd})
+        else:
+            for c in odd:
+                text = text.replace(c, FOLDED[c])
+    return text.encode().translate(ASCII).split()
+
+
+def hashes(distinct: Collection[bytes]) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct words of a text, rising, and how often each occurs."""
-    n = Counter(WORD.findall(text.lower()))
-    words = np.fromiter(map(HASHES.__getitem__, n), np.int64, len(n))
-    at = np.argsort(words)
-    return words[at], np.fromiter(n.values(), np.int32, len(n))[at]
+    n = Counter(words(text))
+    h = hashes(n)
+    at = np.argsort(h)
+    return h[at], np.fromiter(n.values(), np.int32, len(n))[at]
 
 
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -230,8 +251,8 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
         n = np.zeros(len(shared.value), np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
-                words = np.sort(np.fromiter(map(HASHES.__getitem__, set(WORD.findall(t.lower()))), np.int64))
-                n[index.known(words, words)[0]] += 1
+                found = np.sort(hashes(set(words(t))))
+                n[index.known(found, found)[0]] += 1
             rows += b.num_rows
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], rows))], ["term", "n"])
@@ -265,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
     if len(kept) < 2:
         return spark.sparkContext.broadcast(index), LEVEL
     # at most 2 * per_class rows of two numbers
-    chosen = F.broadcast(spark.createDataFrame(picked, f"learned_id {id_kind}, toxic int"))
+    chosen = F.broadcast(small_table(spark, picked, T.StructType([T.StructField("learned_id", docs.schema["doc_id"].dataType), T.StructField("toxic", T.IntegerType())])))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -67,6 +67,16 @@ def test_a_very_long_text(spark, docs_of):
     assert (got[500], got[501], got[502]) == (0, 1, 0)
 
 
+def test_words_are_those_of_the_expression():
+    rng = random.Random(3)
+    plain = lambda t: toxicity.WORD.findall(t.lower())
+    for t in ("", "\u039f\u03a3 \u03a3\u03a3a \u03a3", "\u0130stanbul \u212a9\u212a", "a_b1c \u00b2x \u0661y \U0001f389z\u00a0\u00c9t\u00c9", "".join(map(chr, range(0x80, 0x2000)))):
+        assert [w.decode() for w in toxicity.words(t)] == plain(t)
+    for _ in range(100):
+        t = "".join(chr(rng.randrange(rng.choice((0x80, 0x250, 0x500, 0xD800)))) for _ in range(rng.choice((5, 50, 500))))
+        assert [w.decode() for w in toxicity.words(t)] == plain(t)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_block_max_search_equals_brute_force(seed, monkeypatch):
     monkeypatch.setattr(toxicity, "LONG", 20 * seed)
