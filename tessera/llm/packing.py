@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, texts
+from .common import materialize, small_table, texts
 from .tokenization import coder, default_vocabulary
 
 CAPACITY = 1024
@@ -108,7 +108,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     base = by_part.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     base = materialize(base, "ranks")
     histogram = {r["length"]: r["n"] for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = spark.createDataFrame(plan(histogram, capacity), PLAN)
+    slots = small_table(spark, plan(histogram, capacity), PLAN)
     ranked = cut.join(base.drop("n"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
     s = slots.withColumnRenamed("length", "slot_length")
     # at most a few rows for each of `capacity` lengths

@@ -15,11 +15,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.graph import components
 
@@ -301,11 +301,13 @@ def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     keep = member.groupBy("root").agg(first.alias("keep")).select(F.col("keep.unit").alias("keep_unit"), F.col("keep.least").alias("keep_id"))
     keep = materialize(keep, "kept")
 
-    @F.pandas_udf("binary")
-    def own(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: unit_of(_words(t)))
+    # not a UDF: the join's filter would run it a second time, in a second Python worker beside the first
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([unit_of(_words(t)) for t in b.column(2).to_pylist()], pa.binary())], ["row", "own_id", "own_unit"])
 
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), own(F.coalesce("text", F.lit(""))).alias("own_unit"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.coalesce("text", F.lit("")).alias("text"))
+    marked = rows.mapInArrow(own, T.StructType([*rows.schema.fields[:2], T.StructField("own_unit", T.BinaryType())]))
     kept = marked.join(keep, (F.col("own_unit") == F.col("keep_unit")) & F.col("own_id").eqNullSafe(F.col("keep_id")))
     same = Window.partitionBy("own_unit", "own_id").orderBy(F.lit(0))
     return kept.withColumn("nth", F.row_number().over(same)).where("nth = 1").select("row.*")

@@ -2,13 +2,15 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import types as T
 
 from tessera.llm import simhash
-from tessera.llm.common import table
+from tessera.llm.common import small_table, table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -94,6 +96,21 @@ def test_deduplicate_keeps_one_row_of_each_component(docs_of):
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, None), (3, "a b c d e f"), (8, "x y z x y z q")]
 
 
+def test_texts_are_named_once_in_the_last_step(docs_of):
+    df = simhash.deduplicate(docs_of([(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, "")]))
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert len(re.findall("EvalPython|MapInArrow", plan)) == 1
+    assert sorted(r["doc_id"] for r in df.collect()) == [1, 3]
+
+
+def test_small_tables_need_no_python_workers(spark):
+    kind = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.IntegerType())])
+    for rows in ([], [(1, 2), (3, None)]):
+        df = small_table(spark, rows, kind)
+        assert [tuple(r) for r in df.collect()] == rows and df.dtypes == [("a", "bigint"), ("b", "int")]
+        assert "RDD" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_deduplicate_equals_brute_force_on_near_copies(docs_of):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 10)))
