@@ -109,3 +109,11 @@ def test_repeating_equals_all_pairs(spark):
     of = lambda t: norm[t] if t else ""
     assert got == {(q, i) for q, i, t in subs if any(q == r and similarity(of(t), of(a)) >= 0.98 for r, a in args)}
     assert 2 < len(got) < len(subs) / 2
+
+
+def test_repeating_takes_its_threshold(spark):
+    subs = spark.createDataFrame([(1, 1, "taxes on corn fell"), (1, 2, "taxes on corn fall"), (1, 3, "ships sail")], "request_id long, doc_id long, text string")
+    args = spark.createDataFrame([(1, "taxes on corn fell")], "request_id long, text string")
+    near = similarity("taxes on corn fall", "taxes on corn fell")
+    found = lambda threshold: {r["doc_id"] for r in retrieval.repeating(subs, args, threshold).collect()}
+    assert found(near) == {1, 2} and found(near + 1e-6) == {1}
