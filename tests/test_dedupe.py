@@ -149,6 +149,44 @@ def test_near_groups_equal_the_sequential_fold(spark, monkeypatch, links):
         assert got == want and (level == "fallback" or len({r[1] for r in want}) > 3)
 
 
+def families() -> list[str]:
+    rng, texts = random.Random(5), []
+    for family in range(3):
+        base = [f"{rng.choice('bcdfg')}{family}{rng.randrange(10**5):05d}x" for _ in range(50)]
+        for _ in range(7):
+            t = list(base)
+            for i in rng.sample(range(50), rng.choice([1, 2, 4])):
+                t[i] = f"edit{i % 10}"
+            texts.append(" ".join(t))
+    return texts
+
+
+def test_components_are_folded_without_rounds(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(dedupe, "LINKS", 5)
+    monkeypatch.setattr(dedupe, "materialize", lambda df, name, real=dedupe.materialize: taken.append(name) or real(df, name))
+    x, wide = chunks(spark, families()).cache(), dedupe.Settings(anchor_share=0.4)
+    got = sorted(tuple(r) for r in dedupe.near_groups(x, wide).collect())
+    assert got == slow_groups(inputs(x, wide)) and "folded" not in taken
+
+
+def test_large_components_are_folded_by_rounds(spark, monkeypatch):
+    x, wide = chunks(spark, families()).cache(), dedupe.Settings(anchor_share=0.4)
+    want = slow_groups(inputs(x, wide))
+    monkeypatch.setattr(dedupe, "WHOLE_CHARS", 0)
+    assert sorted(tuple(r) for r in dedupe.near_groups(x, wide).collect()) == want
+
+
+def test_fold_whole_asks_for_pairs_that_blocking_missed():
+    pairs = [(0.99, "a", "b", True), (0.98, "b", "c", True), (0.97, "c", "d", True), (None, "b", "d", False)]
+    fold = lambda near, **k: dedupe.fold_whole(pairs, lambda f, g: near.get((f, g)), k.get("possible", lambda f, g: True))
+    at, asked = fold({("a", "c"): 0.95})
+    assert at["a"] == at["b"] == at["c"] and at["d"] == "d" and asked == [(0.95, "a", "c")]
+    at, asked = fold({})
+    assert at["a"] == at["b"] and at["c"] == at["d"] != at["a"] and asked == []
+    assert fold({("a", "c"): 0.95}, possible=lambda f, g: False)[1] == []
+
+
 def test_a_pair_that_blocking_missed_is_asked_for():
     link = lambda s, x, y: {"step": "link", "x": x, "y": y, "s": s, "f": x, "g": y, "n": None, "bad": None}
     size = [{"step": "size", "x": x, "n": 1} for x in "abcd"]
