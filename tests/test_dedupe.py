@@ -57,6 +57,21 @@ def test_texts_far_apart_are_refused_without_comparing_places(monkeypatch):
     assert dedupe.similar(a, b, 0.92, profiles) is None
 
 
+def test_texts_are_taken_apart_once_for_many_comparisons():
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdé 日本") for _ in range(900))
+    dedupe.places.cache_clear()
+    for _ in range(12):
+        t = list(base)
+        for _ in range(rng.randrange(1, 40)):
+            t[rng.randrange(len(t))] = rng.choice("abcx\U0001f600")
+        a = "".join(t)
+        d = len(a) + len(base) - 2 * dedupe.lcs(a, base)
+        assert dedupe.indels(a, base, d) == d and dedupe.indels(a, base, d - 1) is None
+    assert dedupe.places.cache_info().misses == 1
+    assert {ch: bits for ch, bits in dedupe.places("abca").items()} == {"a": 0b1001, "b": 0b10, "c": 0b100}
+
+
 def test_similarity_bounds():
     words = [f"word{i}" for i in range(100)]
     near = words[:50] + ["changed"] + words[51:]
